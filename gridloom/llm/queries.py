@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid
+from gridloom.llm import decontam, langid, simhash
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -49,8 +49,12 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate}
+    return {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op5_simhash": op5_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
