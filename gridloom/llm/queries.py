@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, simhash
+from gridloom.llm import decontam, langid, mixing, quality_gbt, simhash, tokens
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -49,12 +49,29 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    forest = quality_gbt.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_gbt.score(docs, forest).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op5_simhash": op5_simhash}
+    return {
+        "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
+        "op5_simhash": op5_simhash, "op10_token_ids": op10_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
