@@ -117,8 +117,9 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     def seats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable").reset_index(drop=True)
         size = pdf["cell_size"].to_numpy(np.int64)
-        votes = np.where(pdf["source_size"] > 0, pdf["target"] * size / np.maximum(pdf["source_size"], 1), 0.0)
-        pdf["quota"] = apportion(votes, REPEAT * -(-size // block), round(float(votes.sum()) / block))
+        blocks = -(-size // block)  # the last one may be short: votes are in blocks of the cell's mean length
+        votes = np.where(pdf["source_size"] > 0, pdf["target"] * blocks / np.maximum(pdf["source_size"], 1), 0.0)
+        pdf["quota"] = apportion(votes, REPEAT * blocks, round(float(votes.sum())))
         return pdf
 
     quotas = cell.groupBy("shard").applyInPandas(seats, "shard int, source string, cell_size long, source_size long, target double, quota long")
