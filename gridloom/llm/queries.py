@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, mixing, quality_gbt, simhash, tokens
+from gridloom.llm import chat, decontam, langid, mixing, quality_gbt, simhash, tokens
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -63,6 +63,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    messages = rows.union(extra).withColumn("content", chat.text_part(F.col("text")))
+    return chat.digests(chat.format_messages(messages))
+
+
+OP6_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '\[/INST\]', '[\\/INST]', 'g')) AS n FROM m)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + length(role) + 23) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -70,9 +92,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
-        "op5_simhash": op5_simhash, "op10_token_ids": op10_token_ids,
+        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op10_token_ids": op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_chat_format": OP6_SQL}
