@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, langid, mixing, quality_gbt, simhash, tokens
+from gridloom.llm import chat, decontam, langid, mixing, quality_gbt, quality_rules, simhash, tokens
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -85,6 +85,41 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT rid, i, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c >= 2) GROUP BY rid),
+m AS (
+  SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (rid)),
+v AS (
+  SELECT *, CASE WHEN word_chars > 0 THEN (1000000 * n_symbols) // word_chars ELSE 0 END AS a, CASE WHEN n_lines > 0 THEN (1000000 * n_dup_lines) // n_lines ELSE 0 END AS b,
+    CASE WHEN n_words > 0 THEN (100000 * word_chars) // n_words ELSE 0 END AS c FROM m),
+s AS (
+  SELECT lang, source, k, greatest(0, length(bin(x)) - 5) * 16 + (x >> greatest(0, length(bin(x)) - 5)) AS bucket, count(*) AS n
+  FROM (SELECT lang, source, unnest([1, 2, 3]) AS k, unnest([a, b, c]) AS x FROM v) GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, k) AS total FROM s),
+q AS (SELECT lang, source, k, min(bucket) FILTER (4 * below >= total) AS b1, min(bucket) FILTER (4 * below >= 3 * total) AS b3 FROM r GROUP BY ALL),
+f AS (
+  SELECT lang, source, k, CASE WHEN b1 < 32 THEN b1 ELSE ((b1 - ((b1 - 16) // 16) * 16 + 1) << ((b1 - 16) // 16)) - 1 END AS q1,
+    CASE WHEN b3 < 32 THEN b3 ELSE ((b3 - ((b3 - 16) // 16) * 16 + 1) << ((b3 - 16) // 16)) - 1 END AS q3 FROM q),
+g AS (
+  SELECT lang, source, max(q3 + 5 * greatest(10000, q3 - q1)) FILTER (k = 1) AS ma, max(q3 + 5 * greatest(60000, q3 - q1)) FILTER (k = 2) AS mb, max(q3 + 8 * greatest(100000, q3 - q1)) FILTER (k = 3) AS mc
+  FROM f GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND a <= ma AND b <= mb AND c <= mc AS kept
+FROM v LEFT JOIN g ON v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DISTINCT FROM g.source
+"""
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -92,9 +127,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
-        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op10_token_ids": op10_token_ids,
+        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op8_quality_rules": op8_quality_rules, "op10_token_ids": op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL}
