@@ -20,7 +20,7 @@ from gridloom.llm.common import cut
 #: metric -> (expression in parts per million, least spread, fence in spreads above the upper quartile)
 METRICS = {
     "symbols": ("CASE WHEN word_chars > 0 THEN (1000000 * n_symbols) DIV word_chars ELSE 0 END", 10_000, 5),
-    "dup_lines": ("CASE WHEN n_lines > 0 THEN (1000000 * n_dup_lines) DIV n_lines ELSE 0 END", 60_000, 5),
+    "dup_lines": ("CASE WHEN n_lines > 0 THEN (1000000 * n_dup_lines) DIV n_lines ELSE 0 END", 100_000, 5),
     "word_length": ("CASE WHEN n_words > 0 THEN (100000 * word_chars) DIV n_words ELSE 0 END", 100_000, 8),
 }
 MIN_WORDS, MAX_REPEAT = 10, 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, langid, mixing, quality_gbt, quality_rules, simhash, tokens
+from gridloom.llm import chat, decontam, langid, mixing, pii, quality_gbt, quality_rules, simhash, tokens
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -112,7 +112,7 @@ f AS (
   SELECT lang, source, k, CASE WHEN b1 < 32 THEN b1 ELSE ((b1 - ((b1 - 16) // 16) * 16 + 1) << ((b1 - 16) // 16)) - 1 END AS q1,
     CASE WHEN b3 < 32 THEN b3 ELSE ((b3 - ((b3 - 16) // 16) * 16 + 1) << ((b3 - 16) // 16)) - 1 END AS q3 FROM q),
 g AS (
-  SELECT lang, source, max(q3 + 5 * greatest(10000, q3 - q1)) FILTER (k = 1) AS ma, max(q3 + 5 * greatest(60000, q3 - q1)) FILTER (k = 2) AS mb, max(q3 + 8 * greatest(100000, q3 - q1)) FILTER (k = 3) AS mc
+  SELECT lang, source, max(q3 + 5 * greatest(10000, q3 - q1)) FILTER (k = 1) AS ma, max(q3 + 5 * greatest(100000, q3 - q1)) FILTER (k = 2) AS mb, max(q3 + 8 * greatest(100000, q3 - q1)) FILTER (k = 3) AS mc
   FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND a <= ma AND b <= mb AND c <= mc AS kept
@@ -120,6 +120,10 @@ FROM v LEFT JOIN g ON v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DIS
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -127,7 +131,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
-        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op8_quality_rules": op8_quality_rules, "op10_token_ids": op10_token_ids,
+        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
     }
 
 
