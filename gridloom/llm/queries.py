@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, langid, mixing, pii, quality_gbt, quality_rules, simhash, tokens
+from gridloom.llm import chat, decontam, langid, licenses, mixing, pii, quality_gbt, quality_rules, simhash, tokens
 from gridloom.llm.common import crc_mod, read_table
 
 
@@ -85,6 +85,37 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    """Base phrases by word windows; the method's pairs by brute force over all blocks and templates."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in licenses.BASE)
+    templates = ", ".join(f"({k}, '{label}', list_distinct(string_split('{words}', ' ')))" for k, (label, words) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, {word}) AS w FROM d),
+p(phrase, m, label) AS (VALUES {phrases}),
+hit AS (
+  SELECT rid, label, i FROM (SELECT rid, w, label, phrase, m, unnest(range(greatest(0, len(w) - m + 1))) AS i FROM w, p)
+  WHERE list_aggregate(w[i + 1 : i + m], 'string_agg', ' ') = phrase),
+b AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY rid),
+tp(k, label, tokens) AS (VALUES {templates}),
+blk AS (SELECT rid, list_distinct(regexp_extract_all(line, {word})) AS has FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (
+  SELECT rid, label, CAST(len(list_intersect(has, tokens)) AS DOUBLE) / len(tokens) AS c FROM blk, tp
+  WHERE len(list_intersect(has, tokens)) >= ceil({licenses.THRESHOLD} * len(tokens) - 1e-9)),
+best AS (SELECT rid, max(c) AS c FROM m GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hit UNION SELECT rid, label FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE coalesce(best.c, 0.0) END AS score
+FROM w LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN best USING (rid)
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -131,9 +162,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
-        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
+        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op7_licenses": op7_licenses, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_licenses": _op7_sql(), "op8_quality_rules": OP8_SQL}
