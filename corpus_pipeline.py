@@ -1 +1,69 @@
-"""placeholder, filled in as the stages' operators are written"""
+"""A corpus pipeline: language ID, near-dedup, decontamination, source mixing, token-id output.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontam, langid, mixing, simhash, tokens
+from gridloom.llm.common import read_table, shared_dir
+from gridloom.llm.queries import vocabulary
+
+#: Documents whose language is found with less posterior probability are rejected, as are those without letters.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is identified."""
+    model = langid.train(docs, vocabulary("byte_bpe_50k.json"))
+    found = langid.identify(docs, model, docs.columns).where(langid.accepted(MIN_LANGUAGE_SCORE))
+    return found.select(*[F.col("text") if c == "text" else F.col(f"`keep_{c}`").alias(c) for c in docs.columns])
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate class."""
+    return simhash.dedup(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages."""
+    return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes of each source its target of words: documents may be repeated, cut or left out."""
+    return mixing.mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token ids, and returns what the files hold of each document."""
+    return tokens.read(spark, tokens.write(docs, vocabulary("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mix_sources", mixing_stage),
+    ("token_output", token_stage),
+]
+
+#: SQL cannot express the language model's training or the tokeniser.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; each stage's rows are written and read again."""
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -159,8 +159,15 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
         "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op7_licenses": op7_licenses, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
     }
