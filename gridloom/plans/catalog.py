@@ -47,7 +47,7 @@ class Ctx:
     """The derived grid and its sets."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.px = spark, G.derived_grid(spark, sf_dir)
+        self.spark, self.sf_dir, self.px = spark, sf_dir, G.derived_grid(spark, sf_dir)
         self.pred = self.px.where("d >= 9").select("y", "x", F.least(F.col("d") / F.lit(10.0), F.lit(1.0)).alias("p"))
         self.truth = self.px.where("q <= 2").select("y", "x")
         self.free = self.px.where("q in (3, 4)").select("y", "x")
@@ -235,8 +235,8 @@ add(
     "prepare_output", lambda c: G.prepare_output(c.px.select("y", "x", _dirty().alias("p")), c.grid, outside="zero").select("y", "x", F.col("p").cast("double").alias("p")),
     f"WITH {PX} SELECT y, x, CASE WHEN q % 7 = 0 THEN 0.0e0 WHEN q % 5 = 0 THEN 0.0e0 ELSE least(greatest(v, 0.0e0), 1.0e0) END AS p FROM px",
 )
-query("file_listing", "SELECT p_name AS path, CAST(p_partkey AS BIGINT) AS length FROM part WHERE p_name LIKE '%1' AND p_partkey BETWEEN 10 AND 900")(
-    _on("part", lambda t: G.listing(t.select(F.col("p_name").alias("path"), F.col("p_partkey").cast("long").alias("length")), "1", 10, 900))
+query("file_listing", "SELECT p_name AS path, CAST(p_partkey AS BIGINT) AS length FROM part WHERE p_name LIKE '%bolt' AND p_partkey BETWEEN 10 AND 900")(
+    _on("part", lambda t: G.listing(t.select(F.col("p_name").alias("path"), F.col("p_partkey").cast("long").alias("length")), "bolt", 10, 900))
 )
 
 # ---------------------------------------------------------------- geometry
