@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalars import in_support
 from gridloom.operators import filters, geometry
 from gridloom.operators.stencil import anti
+from gridloom.session import cut
 from gridloom.sources.grid import Grid
 
 #: Fixed weights of the default multi-band lineament field.
@@ -149,10 +150,12 @@ def screened_fields(cells: DataFrame, known: DataFrame, grid: Grid, prior: DataF
 def signed_blend(cells: DataFrame, weights: dict[str, float], inside: Column) -> DataFrame:
     """The rank transform of a signed sum of rank-transformed bands; bands that are missing are left out."""
     have = {b: w for b, w in weights.items() if b in cells.columns}
-    for b in have:
-        cells = filters.rank_transform(cells, b, inside, out=f"r_{b}")
+    base = cut(cells.select("y", "x", inside.alias("inside"), *have))
+    flag = F.col("inside")
+    ranks = _merge({f"r_{b}": filters.rank_transform(base.select("y", "x", "inside", b), b, flag).select("y", "x", F.col("z").alias("v")) for b in have})
     total = sum((F.lit(w) * F.col(f"r_{b}") for b, w in have.items()), F.lit(0.0))
-    return filters.rank_transform(cells.select("y", "x", "inside", total.alias("v")), "v", F.col("inside")).select("y", "x", F.col("z").alias("v"))
+    blended = base.select("y", "x", "inside").join(ranks.select("y", "x", total.alias("v")), ["y", "x"])
+    return filters.rank_transform(blended, "v", flag).select("y", "x", F.col("z").alias("v"))
 
 
 #: Fixed weights of the measured habitat and of the shadow habitat.
