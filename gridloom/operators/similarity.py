@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import in_support
-from gridloom.operators.stats import binary_pearson, block_density, centroid, density_array, is_binary
+from gridloom.operators.stats import average_ranks, binary_pearson, block_density, centroid, density_array, is_binary
 from gridloom.sources.grid import Grid, support_hash, value_hash
 
 #: Fixed thresholds of the gate.
@@ -113,14 +113,13 @@ def surface_correlation(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
     vu, vw = F.col("suu") - F.col("su") * F.col("su") / n, F.col("sww") - F.col("sw") * F.col("sw") / n
     full = F.when((vu > 0) & (vw > 0), (F.col("suw") - F.col("su") * F.col("sw") / n) / F.sqrt(vu * vw)).when((vu <= 0) & (vw <= 0), F.lit(1.0)).otherwise(F.lit(0.0))
     s = j.where("u > 0 or w > 0")
-    avg_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0)
     part = s.agg(F.count("*").alias("n_support"), F.corr("u", "w").alias("r"), (is_binary(F.col("u")) & is_binary(F.col("w"))).alias("binary"))
     out = sums.select(full.alias("pearson_full")).crossJoin(part)
     first = out.first()
     r = F.when((F.col("n_support") > 8) & ~F.isnan("r"), F.col("r"))
     out = out.select("pearson_full", "n_support", r.alias("pearson_support"), "binary")
     if first["n_support"] > 8 and first["r"] is not None and first["r"] >= 0.9 and not first["binary"]:
-        ranks = s.select(avg_rank("u").alias("ru"), avg_rank("w").alias("rw")).agg(F.corr("ru", "rw").alias("spearman_support"))
+        ranks = average_ranks(s, ["u", "w"], ["y", "x"]).agg(F.corr("r_u", "r_w").alias("spearman_support"))
         return out.crossJoin(ranks).drop("binary")
     return out.withColumn("spearman_support", F.col("pearson_support")).drop("binary")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.geometry import components
-from gridloom.sources.grid import Grid
+from gridloom.sources.grid import Grid, ranked
 
 #: Distances of the descriptor's cumulative profile.
 DISTANCES = (1, 2, 3, 5, 10, 20, 40, 80)
@@ -113,6 +113,15 @@ def spearman(rows: DataFrame, a: str, b: str, ties: str = "ordinal", key: str =
     return ranks.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("ra", "rb")).alias("spearman"))
 
 
+def average_ranks(rows: DataFrame, cols: list[str], key: list[str]) -> DataFrame:
+    """Columns r_<c>: average ranks of large tables: global row numbers, averaged over equal values."""
+    for c in cols:
+        order = ranked(rows.select(*key, c), F.col(c).asc(), *[F.col(k).asc() for k in key], name="_r")
+        tied = order.groupBy(c).agg(F.avg("_r").alias(f"r_{c}"))
+        rows = rows.join(order.join(tied, c).select(*key, f"r_{c}"), key)
+    return rows
+
+
 def fit_quality(rows: DataFrame, y: str, pred: str) -> DataFrame:
     """N, RMSE, R squared, mean and largest absolute residual."""
     e = F.col(y).cast("double") - F.col(pred).cast("double")

@@ -224,9 +224,9 @@ def _on(table: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")(_on("events", lambda t: t.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))))
 def _hash_sql(rows: str) -> str:
-    """Bucket hashes of y modulo 1024 over rows (y, x, p), then the hash of those."""
-    return f"""WITH {PX}, r AS ({rows}), b AS (SELECT y % 1024 AS b, sha256(string_agg(s, ';' ORDER BY s)) AS h FROM (SELECT y, y || ',' || x || ',' || p AS s FROM r) GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS"""
+    """Hashes of grid rows over rows (y, x, p), of 1,024 grid rows, and of those."""
+    return f"""WITH {PX}, r AS ({rows}), l AS (SELECT y, sha256(string_agg(x || ',' || p, ';' ORDER BY x)) AS h FROM r GROUP BY 1),
+b AS (SELECT y // 1024 AS b, sha256(string_agg(y || ':' || h, ';' ORDER BY y)) AS h FROM l GROUP BY 1) SELECT sha256(string_agg(b || ':' || h, ';' ORDER BY b)) AS"""
 
 
 add("content_hash", lambda c: G.value_hash(c.px.select("y", "x", (F.col("d") / 8.0).alias("p"))), _hash_sql("SELECT y, x, d / 8.0e0 AS p FROM px") + " sha256_values FROM b")

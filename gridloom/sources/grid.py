@@ -128,15 +128,18 @@ def receipt(cells: DataFrame, grid: Grid, v: str = "p") -> DataFrame:
     )
 
 
-def value_hash(cells: DataFrame, v: str = "p", by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def value_hash(cells: DataFrame, v: str = "p", by: list[str] | None = None, fan: int = 1024) -> DataFrame:
     """A hash of the stored values that depends on no order.
 
-    Rows are hashed in buckets of y, and the bucket hashes in order, so that no task gathers more than a bucket.
+    A grid row's cells are hashed in order, then the hashes of `fan` grid rows, then those hashes: no task gathers more than a grid
+    row or `fan` hashes, until the last step, which has a hash for each `fan` grid rows.
     """
     by = by or []
-    row = F.concat_ws(",", F.col("y"), F.col("x"), F.col(v).cast("float").cast("double").cast("string"))
-    part = cells.groupBy(*by, F.pmod("y", F.lit(buckets)).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ";"), 256).alias("h"))
-    return part.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda s: s["h"]), ""), 256).alias("sha256_values"))
+    one = F.concat_ws(",", F.col("x"), F.col(v).cast("float").cast("double").cast("string"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda s: F.concat_ws(":", s[key], s["h"])), ";"), 256).alias("h")
+    rows = cells.groupBy(*by, "y").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", one.alias("c")))), lambda s: s["c"]), ";"), 256).alias("h"))
+    bands = rows.groupBy(*by, F.floor(F.col("y") / fan).alias("band")).agg(joined("y"))
+    return bands.groupBy(*by).agg(joined("band")).withColumnRenamed("h", "sha256_values")
 
 
 def support_hash(cells: DataFrame, v: str = "p", by: list[str] | None = None) -> DataFrame:

@@ -334,3 +334,18 @@ def test_stream_gate(spark, tmp_path):
     stream = spark.readStream.schema("y int, x int, p double").parquet(str(tmp_path / "in"))
     stream_gate(stream, lambda b: b.agg(F.count("*").alias("n"), F.sum("p").alias("mass")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().mass == 1.5
+
+
+def test_surface_correlation_ranks_ties(spark):
+    rng = np.random.default_rng(3)
+    at = [(y, x) for y in range(12) for x in range(12)]
+    u = np.round(rng.random(144), 1) + 0.1
+    w = u + rng.choice([0.0, 0.05], 144)
+    r = similarity.surface_correlation(cells(spark, at, u), cells(spark, at, w), G.Grid(20, 20)).first()
+    import pandas as pd
+
+    assert r.pearson_support == pytest.approx(np.corrcoef(u, w)[0, 1]) and r.pearson_support > 0.9
+    assert r.spearman_support == pytest.approx(np.corrcoef(pd.Series(u.round(6)).rank(), pd.Series(w.round(6)).rank())[0, 1], abs=1e-6)
+    full = np.zeros((2, 400))
+    full[0, :144], full[1, :144] = u, w
+    assert r.pearson_full == pytest.approx(np.corrcoef(full)[0, 1])
