@@ -19,7 +19,7 @@ def distance(cells: DataFrame, mask: DataFrame, grid: Grid, band: int = 64) -> D
     """G1: the exact Euclidean distance of each cell to the mask (null where the mask is empty).
 
     First the nearest mask row above and below in each column, which takes one row of summary per column and band of rows; then,
-    per row, the lower envelope of the parabolas (x - x')**2 + dy(x')**2, in numpy. A group is one grid row.
+    per row, the lower envelope of the parabolas (x - x')**2 + dy(x')**2, in numpy. A group is 16 grid rows.
     """
     columns = mask.select("y", "x").distinct()
     # for each column and band of rows: the mask's rows, plus the last one above and the first one below the band
@@ -37,13 +37,8 @@ def distance(cells: DataFrame, mask: DataFrame, grid: Grid, band: int = 64) -> D
     best = F.least(gap(F.col("above")), gap(F.col("below")), F.array_min(F.transform("ys", lambda v: F.abs(F.col("y") - v))))
     vertical = near.select("y", "x", best.cast("int").alias("g"))
 
-    def envelope(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        want = pdf["want"].to_numpy(bool)
-        at = pdf["x"].to_numpy()[~want].astype(float)
-        g = pdf["g"].to_numpy()[~want].astype(float)
-        order = np.argsort(at)
-        at, g2 = at[order], g[order] ** 2
-        xs = np.sort(pdf["x"].to_numpy()[want])
+    def envelope(at: np.ndarray, g2: np.ndarray, xs: np.ndarray) -> np.ndarray:
+        """min over at of (x - at)**2 + g2 at each x of xs: the lower envelope of parabolas; at is ascending."""
         hull: list[int] = []
         cuts: list[float] = []
         for k in range(len(at)):
@@ -57,14 +52,25 @@ def distance(cells: DataFrame, mask: DataFrame, grid: Grid, band: int = 64) -> D
                 cuts.append(s)
                 break
             hull.append(k)
-        owner = np.array(hull)[np.searchsorted(np.array(cuts), xs, side="left")] if hull else None
-        d = np.sqrt((xs - at[owner]) ** 2 + g2[owner]) if hull else np.full(len(xs), np.nan)
-        return pd.DataFrame({"y": np.full(len(xs), int(key[0]), np.int32), "x": xs.astype(np.int32), "dist": d})
+        owner = np.array(hull)[np.searchsorted(np.array(cuts), xs, side="left")]
+        return np.sqrt((xs - at[owner]) ** 2 + g2[owner])
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"])
+        y, x, want = pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["want"].to_numpy(bool)
+        g2 = pdf["g"].to_numpy(float) ** 2
+        out = np.full(len(pdf), np.nan)
+        edges = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1], [True]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            mask = want[lo:hi]
+            if mask.any() and not mask.all():
+                out[lo:hi][mask] = envelope(x[lo:hi][~mask].astype(float), g2[lo:hi][~mask], x[lo:hi][mask])
+        return pd.DataFrame({"y": y[want], "x": x[want], "dist": out[want]})
 
     ship_package(cells.sparkSession)
     wanted = cells.select("y", "x").withColumn("g", F.lit(None).cast("int")).withColumn("want", F.lit(True))
     both = vertical.withColumn("want", F.lit(False)).unionByName(wanted)
-    got = both.groupBy("y").applyInPandas(envelope, "y int, x int, dist double")
+    got = both.groupBy(F.floor(F.col("y") / 16)).applyInPandas(rows_of, "y int, x int, dist double")
     return got.withColumn("dist", F.when(~F.isnan("dist"), F.col("dist")))
 
 
