@@ -6,7 +6,7 @@ probability of a word is the sum over all its segmentations into pieces of the p
 the forward algorithm computes. A text's score is the product over its words. Piece probabilities are fitted by
 expectation-maximisation on word counts of a bounded sample of labelled documents.
 
-Scoring is exact over whole texts. Distinct raw words are scored once per worker and kept in a bounded table.
+Scoring is exact over whole texts. Distinct words are scored once per task and kept in a bounded table.
 
 Defined results: null, empty and letterless texts are `und` with score 0; ties go to the language first in code point
 order; an empty training set makes every text `und`; repeated rows are scored alike; only the text column is read.
@@ -32,7 +32,7 @@ MAX_PIECE = 16
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 120_000
 EM_ROUNDS = 4
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 
 _LETTERS = re.compile(rf"[^\W\d_]{{1,{MAX_WORD}}}")
 #: Blanks out every ASCII byte that is no lower-case letter, so that most tokens are words already.
@@ -77,7 +77,7 @@ class Trie:
                     states.append({})
                 s = states[s][c]
             ends[s] = i
-        self.next = np.zeros((len(states), n), np.int32)
+        self.next = np.zeros((len(states), n), np.uint16 if len(states) <= 1 << 16 else np.int32)
         for s, row in enumerate(states):
             for c, t in row.items():
                 self.next[s, c] = t
@@ -124,6 +124,8 @@ class Model:
     def forward(self, words: list[bytes]) -> np.ndarray:
         """(words, languages): the log of each word's probability summed over its segmentations."""
         out = np.zeros((len(words), len(self.langs)))
+        if not self.langs:
+            return out
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for lo in range(0, len(order), 2048):
             idx = order[lo : lo + 2048]
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x pieces: fixed by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(shared.value)
+        scorer = Scorer(shared.value)  # its table lives as long as the task, so that idle workers hold little
         for batch in batches:
             got = scorer.score(batch.column("text").to_pylist())
             cols = [batch.column(n) for n in names]
@@ -275,16 +277,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return map_arrow(df, run, f"{fields}{', ' * bool(fields)}lang_pred string, lang_score double, lang_words long")
 
 
-_LAST: list = []
-
-
-def scorer_of(model: Model) -> Scorer:
-    """The worker's scorer, kept between tasks of one model."""
-    if not _LAST or _LAST[0] is not model:
-        _LAST[:] = [model, Scorer(model)]
-    return _LAST[1]
-
-
 def accepted(min_score: float):
     """The pipeline's rule: a language was found, and its posterior reaches min_score."""
     return (F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)

@@ -40,6 +40,9 @@ SEED = 20_240_501
 DOCS_PER_SHARD = 20_000
 MIN_SHARDS = 256
 
+#: Rows whose texts are cut at a time.
+ROWS = 512
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -149,8 +152,10 @@ def pieces(lo: int, hi: int, size: int, quota: int, start: int, block: int = BLO
 
 def cut_words(text: str, a: int, b: int) -> str:
     """Words a to b of the text, with the white space between them; the whole text where all words are taken."""
+    if a == 0 and b == len(text.encode().split()):
+        return text
     spans = [m.span() for m in _WORD.finditer(text)]
-    return text if a == 0 and b == len(spans) else text[spans[a][0] : spans[b - 1][1]]
+    return text[spans[a][0] : spans[b - 1][1]]
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -175,15 +180,17 @@ def mix(docs: DataFrame) -> DataFrame:
     at = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = zip(*(batch.column(f"m_{c}").to_pylist() for c in ("lo", "hi", "cell_size", "quota", "start")), strict=True)
-            index, texts = [], []
-            for k, (text, p) in enumerate(zip(batch.column(f"d_{at}").to_pylist(), place, strict=True)):
-                for a, b in pieces(*p):
-                    index.append(k)
-                    texts.append(cut_words(text or "", a, b))
-            rows = batch.take(pa.array(index, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(f"d_{at}").type) if c == f"d_{at}" else rows.column(c) for c in kept], names=kept)
+        for whole in batches:
+            for from_ in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(from_, ROWS)
+                place = zip(*(batch.column(f"m_{c}").to_pylist() for c in ("lo", "hi", "cell_size", "quota", "start")), strict=True)
+                index, texts = [], []
+                for k, (text, p) in enumerate(zip(batch.column(f"d_{at}").to_pylist(), place, strict=True)):
+                    for a, b in pieces(*p):
+                        index.append(k)
+                        texts.append(cut_words(text or "", a, b))
+                rows = batch.take(pa.array(index, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(f"d_{at}").type) if c == f"d_{at}" else rows.column(c) for c in kept], names=kept)
 
     schema = joined.select(*kept).schema
     return map_arrow(joined, run, schema).select(*[F.col(f"d_{k}").alias(c) for k, c in enumerate(cols)])
