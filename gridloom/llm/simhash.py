@@ -38,8 +38,6 @@ SEED = 42
 MAX_BITS = 4
 BLOCKS = 7
 TILE = 50_000
-#: Fingerprints above which cells are counted, to find hot ones.
-SAFE = 50_000
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -171,20 +169,19 @@ def _links(max_bits: int):
     return run
 
 
-def links(fps: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """Distinct links (a < b) between representatives that connect all fingerprints at max_bits or fewer; fps: fp, rep."""
     spark = fps.sparkSession
     grid = cells(fps, blocks, max_bits)
-    if fps.count() > SAFE:
-        hot = grid.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-        hot = cut(hot.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")))
-        if not hot.isEmpty():  # each pair of a hot cell's chunks becomes a cell of its own
-            mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-            grid = (
-                grid.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", mine)
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-                .select(F.when(F.col("chunks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"), "fp", "rep")
-            )
+    hot = grid.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    hot = cut(hot.select("cell", F.ceil(F.col("n") / tile).cast("int").alias("chunks")))
+    if not hot.isEmpty():  # each pair of a hot cell's chunks becomes a cell of its own
+        mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
+        grid = (
+            grid.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", mine)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select(F.when(F.col("chunks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"), "fp", "rep")
+        )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = grid.repartition(n, "cell").sortWithinPartitions("cell")
     return map_arrow(dealt, _links(max_bits), "a long, b long").distinct()
