@@ -26,48 +26,143 @@ from gridloom.llm import rans
 from gridloom.llm.common import map_arrow, shared_dir
 
 SEGMENT_IDS = 1 << 20
+#: Bound of a worker's table of pieces.
 KNOWN_PIECES = 500_000
 END_ID = 0
 
-_RUN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: White space other than blank and line feed (the last of it is U+3000).
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+#: A line feed or nothing, letters, then nothing or an ASCII mark or digit and no more white space.
+_SIMPLE = re.compile(r"(\n?)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-@\[-`{-~]\S*)?\Z")
+_RAW = "\x01"
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cuts before each blank that follows a non-blank."""
-    if _RUN.search(text) or text.startswith(" "):
-        return _CUT.split(text)
-    parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] or len(parts) > 1 else []
+def keys_of(text: str) -> tuple[str, list[str]]:
+    """The first piece, and a key for each further one; a piece begins where white space follows other text.
+
+    A key stands for itself after a blank, for itself alone if it begins with a line feed, and without its first character if
+    that is _RAW.
+    """
+    if text[:1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RAW in text or any(c in text for c in _OTHER_SPACE):
+        raw = _CUT.split(text)
+        return raw[0], [_key(r) for r in raw[1:]]
+    parts = text.replace("\n", " \n").split(" ")
+    return parts[0], parts[1:]
+
+
+def _key(raw: str) -> str:
+    alone = not raw[1:2].isspace() and raw[1:2] != _RAW
+    return raw[1:] if alone and raw[0] == " " else raw if alone and raw[0] == "\n" else _RAW + raw
+
+
+def _raw(key: str) -> str:
+    return key[1:] if key[:1] == _RAW else key if key[:1] == "\n" else " " + key
 
 
 class Tokens:
-    """Ids of texts, by pieces; the ids of known pieces are kept."""
+    """Ids of texts, by pieces; the ids of known pieces are kept.
+
+    A piece of letters is one word to a byte-level vocabulary, so new words are given to the vocabulary's model directly, many in
+    one string that is split at line feeds only. Where letters meet an ASCII mark or digit its rules always part words, so a piece's
+    word and tail are looked up apart.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end = np.array([END_ID], self.kind).tobytes()
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.byte = {b: b if b in visible else 256 + hidden.index(b) for b in range(256)}
+        self.line, self.blank = chr(self.byte[10]), chr(self.byte[32])
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Split(self.line, "isolated")
+        self.forget()
+        probe = ["word", "\nWord", "été", "\nñandú", "a"]
+        wanted = self._ids([_raw(p) for p in probe])
+        self.direct = True
+        try:
+            self._learn_words(probe)
+            self.direct = all(self.known[p] == w.tobytes() for p, w in zip(probe, wanted, strict=True))
+        except ValueError:
+            self.direct = False
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, keys: list[str]) -> None:
+        size, feed = self.kind.itemsize, self._ids(["\n"])[0]
+        for lo in range(0, len(keys), 512):
+            part = keys[lo : lo + 512]
+            plain = "\n".join([k[1:] if k[0] == "\n" else " " + k for k in part]) + "\n"
+            mapped = plain.encode().decode("latin-1").translate(self.byte)
+            ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == feed[0])
+            if len(feed) != 1 or len(ends) != len(part):
+                raise ValueError("words cannot be told apart")
+            raw, at, first = ids.tobytes(), 0, feed.tobytes()
+            for k, e in zip(part, ends.tolist(), strict=True):
+                self.known[k] = (first if k[0] == "\n" else b"") + raw[at * size : e * size]
+                at = e + 1
+
+    def _learn(self, keys: set[str]) -> None:
+        words, tails, parted, rest = set(), set(), [], []
+        known, match = self.known, _SIMPLE.match
+        for k in keys:
+            m = match(k) if self.direct else None
+            if m is None:
+                rest.append(k)
+            elif m[3] is None:
+                words.add(k)
+            else:
+                w = k[: m.end(2)]
+                if w not in known:
+                    words.add(w)
+                if m[3] not in self.tails:
+                    tails.add(m[3])
+                parted.append((k, w, m[3]))
+        self._learn_words(list(words))
+        self._learn_texts(list(tails), list(tails), self.tails)
+        for k, w, t in parted:
+            known[k] = known[w] + self.tails[t]
+        self._learn_texts(rest, [_raw(k) for k in rest], known)
+
+    def _learn_texts(self, keys: list[str], texts: list[str], table: dict[str, bytes]) -> None:
+        for k, ids in zip(keys, self._ids(texts), strict=True):
+            table[k] = ids.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [pieces_of(t or "") for t in texts]
-        seen = set().union(*cut) if cut else set()
-        new = seen.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KNOWN_PIECES:
-                self.known, new = {}, seen
-            names = list(new)
-            for lo in range(0, len(names), 20_000):
-                part = names[lo : lo + 20_000]
-                for name, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[name] = np.array(e.ids, self.kind).tobytes()
-        get, end = self.known.__getitem__, np.array([END_ID], self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(get, c)) + end, self.kind) for c in cut]
+        """The ids of each text and the end id."""
+        if len(self.known) + len(self.tails) > KNOWN_PIECES:
+            self.forget()
+        first, found, gaps, missing = [], [], [], set()
+        get = self.known.get
+        for text in texts:
+            head, keys = keys_of(text or "")
+            ids = list(map(get, keys))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                gaps.append((ids, keys, at))
+                missing.update([keys[i] for i in at])
+            first.append(head)
+            found.append(ids)
+        if missing:
+            self._learn(missing)
+            for ids, keys, at in gaps:
+                for i in at:
+                    ids[i] = self.known[keys[i]]
+        return [np.frombuffer(a.tobytes() + b"".join(f) + self.end, self.kind) for a, f in zip(self._ids(first), found, strict=True)]
 
 
 _LAST: dict[str, Tokens] = {}
@@ -106,6 +201,7 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int) -> DataFrame:
                     held += len(x)
         if ids:
             yield flush()
+        tokens.forget()  # idle workers hold little
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
