@@ -93,7 +93,9 @@ def stratified_select(peaks: DataFrame, v: str, d: str, block: str, edges: list[
     nth = F.row_number().over(Window.partitionBy("bin", block).orderBy(*BEST(v)))
     within = Window.partitionBy("bin").orderBy(F.col("nth").asc(), *BEST(v))
     limit = F.array(*[F.lit(max(0, q)) for q in quota])
-    first = cut(peaks.withColumn("nth", nth).where(F.col("nth") <= limit[F.col("bin")]).withColumn("at", F.row_number().over(within)).where(F.col("at") <= limit[F.col("bin")]).select(*peaks.columns))
+    most = max(quota)  # as a literal it lets every task keep only its best rows of a bin or block before the shuffle
+    in_block = peaks.withColumn("nth", nth).where((F.col("nth") <= most) & (F.col("nth") <= limit[F.col("bin")]))
+    first = cut(in_block.withColumn("at", F.row_number().over(within)).where((F.col("at") <= most) & (F.col("at") <= limit[F.col("bin")])).select(*peaks.columns))
     missing = n - first.count()
     if missing <= 0:
         return first
