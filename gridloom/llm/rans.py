@@ -24,8 +24,8 @@ import numpy as np
 MAGIC = b"GLRANS01"
 SCALE = 16
 TOTAL = 1 << SCALE
-LANES = 1024
-BLOCK_IDS = 1 << 18
+LANES = 2048
+BLOCK_IDS = 1 << 19
 _HEAD = struct.Struct("<8sIQIIII")
 
 
@@ -51,38 +51,38 @@ def encode_block(codes: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tupl
     n = len(codes)
     lanes = max(1, min(LANES, n // 64))
     steps = -(-n // lanes)
-    x = np.full(lanes, 1 << 16, np.uint64)
-    f_all, s_all = freq[codes].astype(np.uint64), start[codes].astype(np.uint64)
+    x = np.full(lanes, 1 << 16, np.uint32)
+    f_all, s_all = freq[codes].astype(np.uint32), start[codes].astype(np.uint32)
     chunks: list[np.ndarray] = []
     for t in range(steps - 1, -1, -1):
         f, s = f_all[t * lanes : (t + 1) * lanes], s_all[t * lanes : (t + 1) * lanes]
         y = x[: len(f)]
-        over = y >= (f << np.uint64(16))
+        high = y >> 16
+        over = high >= f  # the state would leave its range
         if over.any():
-            chunks.append((y[over] & np.uint64(0xFFFF)).astype("<u2"))
-            y = np.where(over, y >> np.uint64(16), y)
+            chunks.append(y[over].astype("<u2"))  # the low 16 bits
+            y = np.where(over, high, y)
         q = y // f
-        x[: len(f)] = (q << np.uint64(SCALE)) + (y - q * f) + s
+        x[: len(f)] = (q << SCALE) + (y - q * f) + s
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, "<u2")
     return x.astype("<u4").tobytes() + words.tobytes(), lanes
 
 
 def decode_block(data: bytes, n: int, lanes: int, words: int, slot: np.ndarray, freq: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The n symbol indices of a block."""
-    x = np.frombuffer(data, "<u4", lanes).astype(np.uint64)
-    stream = np.frombuffer(data, "<u2", words, 4 * lanes).astype(np.uint64)
+    x = np.frombuffer(data, "<u4", lanes).astype(np.uint32)
+    stream = np.frombuffer(data, "<u2", words, 4 * lanes).astype(np.uint32)
     out, at = np.empty(n, slot.dtype), 0
-    f64, s64 = freq.astype(np.uint64), start.astype(np.uint64)
-    mask = np.uint64(TOTAL - 1)
+    f32, s32 = freq.astype(np.uint32), start.astype(np.uint32)
     for t in range(0, n, lanes):
         y = x[: min(lanes, n - t)]
-        low = y & mask
+        low = y & (TOTAL - 1)
         c = slot[low]
         out[t : t + len(y)] = c
-        y = f64[c] * (y >> np.uint64(SCALE)) + low - s64[c]
+        y = f32[c] * (y >> SCALE) + (low - s32[c])
         need = np.flatnonzero(y < (1 << 16))
         if len(need):
-            y[need] = (y[need] << np.uint64(16)) | stream[at : at + len(need)]
+            y[need] = (y[need] << 16) | stream[at : at + len(need)]
             at += len(need)
         x[: len(y)] = y
     if at != words or (x != 1 << 16).any():
