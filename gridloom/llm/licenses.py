@@ -13,6 +13,10 @@ notice) whose containment |block and template| / |template| is THRESHOLD or more
   so p <= n - o;
 * verification: the exact overlap of the survivors.
 
+Near twins. Several templates differ by a word or two, so a block of one reaches the threshold of another. `matches` keeps all of
+them, as the SQL of `op7_licenses` does. `notices`, behind `op7_licenses_told`, takes the same join as its candidates and keeps a
+template with twins only where the words that tell it apart (TELLING) stand in the block.
+
 The corpus counts and the join are exact for any input; templates are a fixed list of bounded size, and only they are broadcast.
 
 Defined results: null text is empty: no words, no labels, score 0; score is the largest containment among matching blocks, 1 where
@@ -50,6 +54,18 @@ TEMPLATES = (
     ("proprietary", "this document is confidential and proprietary"),
 )
 THRESHOLD = 0.8
+_VERSION = r"(?:version|license|v) ?(?:[0-9](?: 0)? (?:or|and) (?:version |v ?)?)*"
+#: The wording of a template with near twins, and patterns of words which all stand in its notices and not in a twin's.
+TELLING = {
+    "licensed under the gnu affero general public license": ("affero",),
+    "released under the bsd license": (r"bsd (?:[^ ]+ ){0,2}license|under (?:[^ ]+ ){0,2}bsd",),
+    "licensed under cc by nc 4 0": ("by nc",),
+    "licensed under cc by sa 4 0": ("by sa",),
+    "licensed under the gnu general public license version 2": ("gnu general", f"{_VERSION}2"),
+    "this work is licensed under the gnu general public license version 3": ("gnu general", f"{_VERSION}3"),
+    "licensed under the gnu lesser general public license": ("lesser",),
+    "released under the mit license": (r"mit (?:[^ ]+ ){0,2}license|under (?:[^ ]+ ){0,2}mit",),
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -132,15 +148,35 @@ def matches(docs: DataFrame, counts: dict[str, int], key: str, templates=TEMPLAT
     return met.where(first).select(key, "block", "label", "need", "tokens", overlap.alias("overlap")).where("overlap >= need").select(key, "block", "label", (F.col("overlap") / F.size("tokens")).alias("containment"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The contract's row per document."""
+def telling(words: str) -> str:
+    """A pattern that a normalised lower-case block meets if it has all that tells a template from its twins."""
+    return "^" + "".join(rf"(?=(?:.* )?(?:{p})(?![^ ]))" for p in TELLING.get(words, ()))
+
+
+def notices(docs: DataFrame, counts: dict[str, int], key: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """key, label and containment of `matches`, without those of templates whose near twin the block is."""
+    prefix, pattern = index(docs.sparkSession, counts, templates, threshold)
+    tells = F.element_at(_sql_array([telling(words) for _, words in templates]), F.col("id") + 1)
+    prefix = prefix.withColumn("tells", tells)
+    vocabulary = tuple(sorted(counts))
+    lines = docs.where(F.col("text").rlike(pattern)).select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern))
+    blocks = lines.select(key, F.translate(normal(F.col("line")), _UPPER, _LOWER).alias("words"))
+    sets = blocks.select(key, "words", block_tokens(F.col("words"), vocabulary).alias("has"))
+    met = sets.select("*", F.explode("has").alias("token")).join(F.broadcast(prefix), "token")
+    met = met.where((F.size("has") >= F.col("need")) & (F.col("place") <= F.size("tokens") - F.col("need")))
+    overlap = F.size(F.array_intersect("has", "tokens"))
+    return met.where((overlap >= F.col("need")) & F.expr("words RLIKE tells")).select(key, "label", (overlap / F.size("tokens")).alias("containment"))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, find=matches) -> DataFrame:
+    """The contract's row per document; find: `matches` (as the SQL) or `notices`."""
     counts = token_counts(docs, templates)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base(rows.withColumn("norm", normal(F.col("text")))).drop("norm")
     pattern = index(docs.sparkSession, counts, templates, threshold)[1]
     # few documents have an indexed token: their texts, once, with a key of the row
     held = cut(found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.when(F.col("text").rlike(pattern), F.col("text")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    hits = matches(held.where("text is not null"), counts, "row", templates, threshold)
+    hits = find(held.where("text is not null"), counts, "row", templates, threshold)
     hits = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")).withColumnRenamed("row", "of")
     joined = held.join(hits, held["row"] == hits["of"], "left")
     labels = F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",")

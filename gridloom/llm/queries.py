@@ -89,6 +89,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), find=licenses.notices)
+
+
 def _op7_sql() -> str:
     """Base phrases by word windows; the method's pairs by brute force over all blocks and templates."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -169,7 +173,7 @@ def queries() -> dict:
     return {
         "pipeline": pipeline,
         "op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_quality": op4_quality,
-        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op7_licenses": op7_licenses, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
+        "op5_simhash": op5_simhash, "op6_chat_format": op6_chat_format, "op7_licenses": op7_licenses, "op7_licenses_told": op7_licenses_told, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_ids": op10_token_ids,
     }
 
 

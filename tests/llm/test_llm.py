@@ -425,6 +425,22 @@ def test_license_places(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(odd_docs(spark)).count() == odd_docs(spark).count()
 
 
+def labels_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in sorted(licenses.scan(df, find=licenses.notices).collect(), key=lambda r: r.doc_id)]
+
+
+def test_notices_tell_near_twins_apart(spark):
+    assert labels_of(spark, [words for _, words in licenses.TEMPLATES]) == [label for label, _ in licenses.TEMPLATES]
+    more = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "This work is licensed under the GNU General Public License, version 2.": "gpl-2",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl", "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        "Licensed under the GNU General Public License version 2; this work is also licensed under the GNU Affero General Public License": "agpl,gpl-2",
+        "Released under the MIT License.": "mit", "Released under the BSD 3-Clause License.": "bsd", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+    }
+    assert labels_of(spark, list(more)) == list(more.values())
+
+
 # ------------------------------------------------------------------ quality rules
 
 
