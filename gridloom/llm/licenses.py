@@ -15,7 +15,9 @@ notice) whose containment |block and template| / |template| is THRESHOLD or more
 
 Near twins. Several templates differ by a word or two, so a block of one reaches the threshold of another. `matches` keeps all of
 them, as the SQL of `op7_licenses` does. `notices`, behind `op7_licenses_told`, takes the same join as its candidates and keeps a
-template with twins only where the words that tell it apart (TELLING) stand in the block.
+template with twins only where the words that tell it apart (TELLING) stand in the block. Its blocks are the lines and, for notices
+wrapped over lines, all runs of as many words as the template has and SLACK more, across line ends: overlapping windows of twice
+the longest run are joined, and the runs within the windows that reach a threshold decide.
 
 The corpus counts and the join are exact for any input; templates are a fixed list of bounded size, and only they are broadcast.
 
@@ -54,6 +56,8 @@ TEMPLATES = (
     ("proprietary", "this document is confidential and proprietary"),
 )
 THRESHOLD = 0.8
+#: Words that may stand between those of a wrapped notice.
+SLACK = 4
 _VERSION = r"(?:version|license|v) ?(?:[0-9](?: 0)? (?:or|and) (?:version |v ?)?)*"
 #: The wording of a template with near twins, and patterns of words which all stand in its notices and not in a twin's.
 TELLING = {
@@ -153,19 +157,32 @@ def telling(words: str) -> str:
     return "^" + "".join(rf"(?=(?:.* )?(?:{p})(?![^ ]))" for p in TELLING.get(words, ()))
 
 
+def _runs(words: Column, length: Column) -> Column:
+    """All runs of so many consecutive words; the whole where it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - length + 1)), lambda i: F.slice(words, i, length))
+
+
 def notices(docs: DataFrame, counts: dict[str, int], key: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, label and containment of `matches`, without those of templates whose near twin the block is."""
+    """key, label and containment of lines and of runs of words across lines, without those of templates whose near twin the block is."""
     prefix, pattern = index(docs.sparkSession, counts, templates, threshold)
-    tells = F.element_at(_sql_array([telling(words) for _, words in templates]), F.col("id") + 1)
-    prefix = prefix.withColumn("tells", tells)
-    vocabulary = tuple(sorted(counts))
-    lines = docs.where(F.col("text").rlike(pattern)).select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern))
-    blocks = lines.select(key, F.translate(normal(F.col("line")), _UPPER, _LOWER).alias("words"))
-    sets = blocks.select(key, "words", block_tokens(F.col("words"), vocabulary).alias("has"))
+    per = lambda values: F.element_at(_sql_array(values), F.col("id") + 1)
+    lengths = [len(words.split()) + SLACK for _, words in templates]
+    prefix = prefix.withColumn("tells", per([telling(words) for _, words in templates])).withColumn("length", per(lengths))
+    vocabulary, step = tuple(sorted(counts)), max(lengths)
+    lower = lambda text: F.translate(normal(text), _UPPER, _LOWER)
+    held = docs.where(F.col("text").rlike(pattern))
+    lines = held.select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern)).select(key, lower(F.col("line")).alias("words"), F.lit(True).alias("whole"))
+    wrapped = held.where(F.col("text").contains("\n")).select(key, F.split(lower(F.col("text")), " ").alias("all"))
+    # any run of up to `step` words lies in one window of twice as many
+    windows = wrapped.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(step)), lambda i: F.array_join(F.slice("all", i, 2 * step), " "))).alias("words"))
+    blocks = lines.union(windows.select(key, "words", F.lit(False).alias("whole"))).where(F.col("words").rlike(pattern))
+    sets = blocks.select(key, "words", "whole", block_tokens(F.col("words"), vocabulary).alias("has"))
     met = sets.select("*", F.explode("has").alias("token")).join(F.broadcast(prefix), "token")
     met = met.where((F.size("has") >= F.col("need")) & (F.col("place") <= F.size("tokens") - F.col("need")))
-    overlap = F.size(F.array_intersect("has", "tokens"))
-    return met.where((overlap >= F.col("need")) & F.expr("words RLIKE tells")).select(key, "label", (overlap / F.size("tokens")).alias("containment"))
+    met = met.where((F.size(F.array_intersect("has", "tokens")) >= F.col("need")) & F.expr("words RLIKE tells"))
+    tried = F.when(F.col("whole"), F.array(F.split("words", " "))).otherwise(_runs(F.split("words", " "), F.col("length")))
+    ran = met.select(key, "label", "tokens", "need", "tells", F.explode(tried).alias("run")).withColumn("overlap", F.size(F.array_intersect("run", "tokens")))
+    return ran.where("overlap >= need").where(F.expr("array_join(run, ' ') RLIKE tells")).select(key, "label", (F.col("overlap") / F.size("tokens")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, find=matches) -> DataFrame:

@@ -441,6 +441,17 @@ def test_notices_tell_near_twins_apart(spark):
     assert labels_of(spark, list(more)) == list(more.values())
 
 
+def test_notices_wrapped_over_lines(spark):
+    wrapped, want = [], []
+    for label, words in licenses.TEMPLATES:
+        w = words.split()
+        for k in (len(w) // 3, len(w) // 2, len(w) - 1):
+            wrapped.append("far " * 50 + "off " + " ".join(w[:k]) + "\n * " + " ".join(w[k:]) + "\n" + "and on " * 60)
+            want.append(label)
+    wrapped += ["This work is licensed under the GNU\nGeneral Public License, version 3", "licensed\n" + "far " * 60 + "\nunder the gnu general public\n" + "off " * 60 + "\nlicense version 2"]
+    assert labels_of(spark, wrapped) == [*want, "gpl-3", ""]
+
+
 # ------------------------------------------------------------------ quality rules
 
 
