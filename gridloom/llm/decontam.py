@@ -6,7 +6,8 @@ without missing an occurrence, blocks that end a pattern (shift 0) lead to a buc
 it, and a direct comparison confirms. Words rather than bytes are the symbols, so that a jump passes up to WINDOW - 1 words.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; an empty benchmark hits nothing;
-items with equal windows are all reported; rows with equal doc_id are judged each on its own text; further columns of the
+items with equal windows are all reported; items with a null
+item_id are searched like any other and count together as one item, which has no entry in the item list; rows with equal doc_id are judged each on its own text; further columns of the
 input may have any name (they are carried under a prefix).
 """
 
@@ -64,7 +65,7 @@ class WuManber:
             end += 1
 
 
-def compile_searchers(items: Iterable[tuple[int, bytes]]) -> list[WuManber]:
+def compile_searchers(items: Iterable[tuple[int | None, bytes]]) -> list[WuManber]:
     """One searcher per pattern length: WINDOW, and any shorter whole items."""
     by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
     for item_id, text in items:
@@ -91,13 +92,11 @@ def find(searchers: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int,
     return merged, items
 
 
-def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
     """The benchmark in blocks of bounded size, one partition on the driver at a time."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         text = (row[1] or "").encode()
-        if row[0] is None:
-            continue
         block.append((row[0], text))
         n += text.count(b" ") + 1
         if n >= WORDS_PER_BLOCK:
@@ -107,7 +106,7 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]
         yield block
 
 
-def _pass(block: list[tuple[int, bytes]], names: list[str]):
+def _pass(block: list[tuple[int | None, bytes]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searchers = compile_searchers(block)
         longs = pa.list_(pa.int64())
@@ -120,7 +119,7 @@ def _pass(block: list[tuple[int, bytes]], names: list[str]):
                 n_words.append(len(w))
                 starts.append(had[0][k] + [a for a, _ in spans])
                 ends.append(had[1][k] + [b for _, b in spans])
-                items.append(sorted({*had[2][k], *found}))
+                items.append(sorted({*had[2][k], *found}, key=lambda x: (x is None, x or 0)))
             new = {"wm_words": pa.array(n_words, pa.int64()), "wm_from": pa.array(starts, longs), "wm_to": pa.array(ends, longs), "wm_items": pa.array(items, longs)}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 

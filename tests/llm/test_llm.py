@@ -158,6 +158,21 @@ def test_decontamination_of_odd_tables(spark):
     assert decontam.judge(empty(spark), b).count() == 0
 
 
+@pytest.mark.parametrize("words_per_block", [2_000_000, 1])
+def test_benchmark_rows_without_id_are_searched(spark, con, words_per_block, monkeypatch):
+    monkeypatch.setattr(decontam, "WORDS_PER_BLOCK", words_per_block)
+    docs = [(1, "one two three four"), (2, "five six and one two three"), (3, "nothing at all"), (4, "seven eight")]
+    items = [(None, "one two three"), (7, "five six"), (None, "seven eight"), (12, "seven eight")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    here = con.cursor()
+    here.execute("CREATE TEMP TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in docs) + ") v(doc_id, text)")
+    here.execute("CREATE TEMP TABLE benchmark AS SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if k is None else k}, '{t}')" for k, t in items) + ") v(item_id, text)")
+    got = decontam.judge(d, b)
+    assert same(got.toPandas(), here.sql(Q.OP2_SQL).df())
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (3, 1, True), 2: (5, 2, True), 3: (0, 0, False), 4: (2, 2, True)}
+    assert [r.doc_id for r in decontam.decontaminate(d, b).collect()] == [3]
+
+
 # ------------------------------------------------------------------ mixing
 
 
