@@ -205,8 +205,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, max_bits: i
     """doc_id, fp, component_id of every row."""
     fps = cut(fingerprints(docs, k))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    label = components(links(distinct.where("rep is not null"), blocks, max_bits))
-    named = distinct.join(label, distinct["rep"] == label["node"], "left").select(F.col("fp").alias("of"), F.coalesce("label", "rep").alias("component_id"))
+    # nodes are the fingerprints: those without any doc_id link others too
+    label = components(links(distinct.select("fp", F.col("fp").alias("rep")), blocks, max_bits))
+    least = distinct.join(label, distinct["fp"] == label["node"]).groupBy("label").agg(F.min("rep").alias("least")).withColumnRenamed("label", "class")
+    label = label.join(least, label["label"] == least["class"]).select("node", "least")
+    named = distinct.join(label, distinct["fp"] == label["node"], "left").select(F.col("fp").alias("of"), F.coalesce("least", "rep").alias("component_id"))
     return fps.join(named, fps["fp"] == named["of"], "left").select("doc_id", "fp", "component_id")
 
 

@@ -361,6 +361,13 @@ def test_simhash_of_odd_tables(spark):
     assert simhash.classes(empty(spark)).count() == 0 and simhash.dedup(empty(spark)).count() == 0
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    rows = [(5, 0b0), (None, 0b1111), (3, 0b11111111), (None, 0b11111111 << 30), (9, 1 << 50 | 0b1111 << 56), (None, 0xFFFF << 16)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, k: docs)
+    got = simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert {r.fp: r.component_id for r in got} == {0b0: 3, 0b1111: 3, 0b11111111: 3, 0b11111111 << 30: None, 1 << 50 | 0b1111 << 56: 9, 0xFFFF << 16: None}
+
+
 # ------------------------------------------------------------------ chat formatting
 
 
