@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_mod, map_arrow
+from gridloom.llm.common import crc_mod, cut, map_arrow
 
 MAX_WORD = 64
 MAX_PIECE = 16
-#: Bound of the labelled sample per language (rows, on average; chosen by a hash of the id), and of its distinct words.
+#: Bound of the labelled sample per language (rows, on average; chosen by a hash of the id), and of its distinct words (the most frequent ones of each language).
 SAMPLE_DOCS = 600
 SAMPLE_WORDS = 120_000
 EM_ROUNDS = 4
@@ -252,8 +252,12 @@ def train(docs: DataFrame, vocabulary: str, held_out_mod: int | None = 3, sample
     if sizes:
         limits = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int(min(1_000_000, 1 + 1_000_000 * sample_docs // n))))])
         sample = rows.where(ticket < limits[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), F.lit(0))).alias("w"))
-        grouped = sample.groupBy("lang", "w").agg(F.count("*").alias("n"))
-        for r in grouped.orderBy(F.desc("n"), "lang", "w").limit(SAMPLE_WORDS).collect():
+        grouped = cut(sample.groupBy("lang", "w").agg(F.count("*").alias("n")))
+        large = sorted(r["lang"] for r in grouped.groupBy("lang").agg(F.count("*").alias("words")).where(F.col("words") > SAMPLE_WORDS).collect())
+        found = grouped.where(~F.col("lang").isin(large)).collect()
+        for lang in large:
+            found += grouped.where(F.col("lang") == lang).orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).collect()
+        for r in sorted(found, key=lambda r: (-r["n"], r["lang"], r["w"])):
             counts[r["lang"]][r["w"]] = r["n"]
     return fit(counts, byte_pieces(vocabulary))
 

@@ -47,6 +47,15 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def test_every_language_keeps_its_own_words(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_WORDS", 6)
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda counts, pieces: seen.update({k: dict(v) for k, v in counts.items()}))
+    rows = [(k, "alpha beta gamma delta epsilon zeta eta theta eta theta", "aa") for k in range(9)] + [(100 + k, "un deux trois", "zz") for k in range(2)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Q.vocabulary("byte_bpe_50k.json"), None)
+    assert seen == {"aa": {w: 9 * n for w, n in (("eta", 2), ("theta", 2), ("alpha", 1), ("beta", 1), ("delta", 1), ("epsilon", 1))}, "zz": {"un": 2, "deux": 2, "trois": 2}}
+
+
 @pytest.mark.parametrize("name", list(Q.oracle_sql()))
 def test_queries_equal_sql(name, spark, sf_dir, con):
     assert same(Q.queries()[name](spark, sf_dir).toPandas(), con.sql(Q.oracle_sql()[name]).df())
