@@ -2,7 +2,7 @@
 
 Base. Four fixed patterns (email, ip, card, phone) with their validity rules give base spans, which always stay.
 
-Method. Tokens that may be secrets are candidates. Three kinds of labelers vote on each: a pattern labeler (its shape), a
+Method. Tokens that may be secrets are candidates: long ones with a digit, and any after a telling word. Three kinds of labelers vote on each: a pattern labeler (its shape), a
 gazetteer labeler (a telling word shortly before it) and a context labeler (the characters right before it). The votes are
 counted by pattern over all documents; expectation-maximisation on these counts estimates each labeler's reliability and each
 pattern's probability of being a secret; a logistic span classifier over votes and coarse features is then fitted to those
@@ -35,7 +35,10 @@ PATTERNS = (
 KINDS = tuple(k for k, _, _ in PATTERNS)
 #: Candidates of the method: tokens of 16 or more characters with a digit.
 SECRET = r"(?:\G|(?<![A-Za-z0-9_+/=-]))(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_+/=-]{15,}+"
-GAZETTEER = r"(?i)(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|bearer|credential)[^A-Za-z0-9]{0,8}$"
+TELLING = r"(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|bearer|credential)"
+GAZETTEER = rf"(?i){TELLING}[^A-Za-z0-9]{{0,8}}$"
+#: Further candidates: tokens of any length and make shortly after a telling word.
+TOLD = rf"(?i)(?<![A-Za-z0-9])(?=[A-Za-z0-9])(?<={TELLING}[^A-Za-z0-9]{{1,8}})[A-Za-z0-9](?:[A-Za-z0-9_+/=@#$%^&*!?~.:-]*[A-Za-z0-9_+/=@#$%^&*!?~-])?"
 CONTEXT = 24
 #: Names of votes and features, in the order of the classifier's weights.
 VOTES = ("v_hex", "v_mixed", "v_word", "v_mark")
@@ -90,6 +93,9 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
 def candidates(found: DataFrame) -> DataFrame:
     """Adds `cand`: candidate secrets that overlap no base span, with their votes and features."""
     rows = found.withColumn("raw", spans(F.col("t"), "t RLIKE '[A-Za-z0-9_+/=-]{16}' AND t RLIKE '[0-9]'", SECRET))
+    rows = rows.withColumn("told", spans(F.col("t"), f"t RLIKE '(?i){TELLING}'", TOLD))
+    apart = F.filter("told", lambda c: ~F.exists("raw", lambda b: (b["from"] < c["to"]) & (c["from"] < b["to"])))
+    rows = rows.withColumn("raw", F.array_sort(F.concat("raw", apart))).drop("told")
     base = F.concat(*[F.transform(k, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))) for k in KINDS])
     rows = rows.withColumn("base", base)
     free = F.filter("raw", lambda c: ~F.exists("base", lambda b: (b["from"] < c["to"]) & (c["from"] < b["to"])))

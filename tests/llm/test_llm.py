@@ -560,6 +560,16 @@ def test_secrets_are_added_and_words_are_not(spark):
     assert sum(got[k].spans == "secret:20:60" for k in range(40)) == 40 and sum(got[100 + k].n_secret for k in range(40)) == 0
 
 
+def test_short_and_letters_only_secrets_after_a_telling_word(spark):
+    rng = random.Random(13)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    rows = [(k, f'some words token = "{h}" and more') for k, h in enumerate(hexes)] + [(100 + k, f"Ordinary text with model-name-{k}-of-the-year and chapter2020introduction") for k in range(40)]
+    rows += [(200, "my password: hunter2, it is"), (201, "Password: correcthorse"), (202, 'api_key="Zq7"'), (203, "no tokens here, only passwords and keys")]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(200, 204)] == ["secret:13:20", "secret:10:22", "secret:9:12", ""]
+    assert all(got[k] == "secret:20:60" and got[100 + k] == "" for k in range(40))
+
+
 def test_em_finds_the_better_labeler():
     rng = random.Random(1)
     counts = Counter()
