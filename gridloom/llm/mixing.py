@@ -161,21 +161,24 @@ def cut_words(text: str, a: int, b: int) -> str:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each taken run of a document's words (twice for two copies).
 
-    Rows of equal doc_id and size share a place in the order; each takes what the plan says for it.
+    Rows of equal doc_id, size and source share a place in the order; they are numbered, by text and then the other columns,
+    before those that give nothing are left out, and each takes what the plan says for its number.
     """
     cols = docs.columns
-    same = Window.partitionBy("doc_id", "size").orderBy("lo")
-    planned = plan(docs).where("taken > 0")
-    planned = cut(planned.withColumn("nth", F.row_number().over(same)).select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "size", "nth", "lo", "hi", "cell_size", "quota", "start")]))
+    same = Window.partitionBy("doc_id", "size", "source").orderBy("lo")
+    planned = plan(docs).where("size > 0").withColumn("nth", F.row_number().over(same))
+    planned = cut(planned.select("taken", *[F.col(c).alias(f"m_{c}") for c in ("doc_id", "size", "source", "nth", "lo", "hi", "cell_size", "quota", "start")]))
     twins = not planned.where("m_nth > 1").isEmpty()
+    planned = planned.where("taken > 0").drop("taken")
     left = docs.select(*[F.col(f"`{c}`").alias(f"d_{k}") for k, c in enumerate(cols)])
     doc_id, text = F.col(f"d_{cols.index('doc_id')}").cast("long"), F.col(f"d_{cols.index('text')}").cast("string")
+    source = F.col(f"d_{cols.index('source')}").cast("string")
     left = left.withColumn("m_size_here", word_count(text))
-    on = doc_id.eqNullSafe(F.col("m_doc_id")) & (F.col("m_size_here") == F.col("m_size"))
+    on = doc_id.eqNullSafe(F.col("m_doc_id")) & (F.col("m_size_here") == F.col("m_size")) & source.eqNullSafe(F.col("m_source"))
     if twins:
-        left = left.withColumn("m_nth_here", F.row_number().over(Window.partitionBy(doc_id, "m_size_here").orderBy(text)))
+        left = left.withColumn("m_nth_here", F.row_number().over(Window.partitionBy(doc_id, "m_size_here", source).orderBy(text, *[f"d_{k}" for k in range(len(cols))])))
         on = on & (F.col("m_nth_here") == F.col("m_nth"))
-    joined = left.join(planned, on).drop("m_size_here", "m_nth_here", "m_doc_id", "m_size", "m_nth")
+    joined = left.join(planned, on).drop("m_size_here", "m_nth_here", "m_doc_id", "m_size", "m_source", "m_nth")
     kept = [f"d_{k}" for k in range(len(cols))]
     at = cols.index("text")
 

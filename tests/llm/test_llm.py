@@ -242,6 +242,23 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     assert +words == +want
 
 
+def test_mix_gives_what_the_plan_says_to_rows_of_equal_id(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, k // 3]), " ".join(rng.choice("abcdefg") + str(k) for _ in range(rng.choice([20, 30]))), None, ["s1", "s2", None][k % 3 if k % 2 else 0], 0) for k in range(1500)]
+    df = spark.createDataFrame(rows, DOCS)
+    want, got, texts = Counter(), Counter(), defaultdict(Counter)
+    for r in mixing.plan(df).collect():
+        want[r.doc_id, r.source] += r.taken
+    for r in mixing.mix(df).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        texts[r.source][re.sub("[a-z]", "", r.text.split()[0])] += 1
+    assert +got == +want
+    own = defaultdict(set)
+    for k, r in enumerate(rows):
+        own[r[3]].add(str(k))
+    assert all(set(texts[s]) <= own[s] for s in texts)
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.plan(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
     got = mixing.plan(odd_docs(spark)).collect()
