@@ -43,3 +43,41 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with this package present on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+#: Items that `scan` goes through at a time.
+CHUNK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once for all its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(items: Column, zero: Column, step, emit, kind: str) -> Column:
+    """emit(state, item) of each item in order, an array of `kind`; the state starts as zero and goes on as step(state, item).
+
+    An array that grew by one item at a time would be copied whole each time. Here a chunk of items grows by itself, so an item costs
+    at most CHUNK copies however many there are.
+    """
+    none = F.expr(f"cast(array() AS array<{kind}>)")
+    nothing = F.expr(f"cast(array() AS array<array<{kind}>>)")
+
+    def one(acc, x):
+        return F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(emit(acc["s"], x))).alias("out"))
+
+    def many(acc, part):
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def whole(a):
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / F.lit(CHUNK)).cast("int")))
+        parts = F.transform(starts, lambda k: F.slice(a, k * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(parts, F.struct(zero.alias("s"), nothing.alias("out")), many)["out"])
+
+    return let(items, whole)
+
+
+def running(steps: Column) -> Column:
+    """The total of all steps before each one."""
+    return scan(steps, F.lit(0), lambda s, x: s + x, lambda s, x: s, "int")

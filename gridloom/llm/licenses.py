@@ -22,7 +22,9 @@ the longest run are joined, and the runs within the windows that reach a thresho
 The corpus counts and the join are exact for any input; templates are a fixed list of bounded size, and only they are broadcast.
 
 Defined results: null text is empty: no words, no labels, score 0; score is the largest containment among matching blocks, 1 where
-a base phrase occurs; rows with equal doc_id are scanned each by itself; equal rows get equal labels.
+a base phrase occurs; tokens of equal count are ordered by the token; rows with equal doc_id are scanned each by itself; equal rows
+get equal labels; very long texts are scanned whole, in time proportional to their length and their matches; an empty table gives an
+empty result; of the input only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ALNUM_SEP_ANYCASE, cut
+from gridloom.llm.common import ALNUM_SEP_ANYCASE, cut, let, running
 
 #: Phrase and label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -88,10 +90,8 @@ def places(words: Column, phrase: str) -> Column:
     pieces = F.split(words, _phrase(phrase), -1)
     size = len(phrase.split())
     counts = F.transform(pieces, lambda p: F.when(F.trim(p) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(p), " "))))
-    walk = F.aggregate(
-        F.slice(counts, 1, F.size(counts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n + size).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out")), lambda acc: acc["out"],
-    )
+    before = F.slice(counts, 1, F.size(counts) - 1)
+    walk = let(before, lambda ns: F.zip_with(ns, running(F.transform(ns, lambda n: n + size)), lambda n, at: at + n))
     return F.when(words.rlike(_phrase(phrase)), walk).otherwise(F.array().cast("array<int>"))
 
 

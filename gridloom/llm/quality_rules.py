@@ -7,7 +7,8 @@ quartiles; documents beyond a fence of their own language and source fail, as do
 
 Defined results: null text has no words and fails the base; null languages and sources are groups of their own; a group's fence
 never lies closer to the upper quartile than the metric's least spread, so uniform groups reject nobody; equal rows are judged
-alike; an empty table gives an empty result.
+alike; an empty table gives an empty result; very long texts are measured whole, within their row; of the input only doc_id, text,
+lang and source are read, so further columns may have any name.
 """
 
 from __future__ import annotations
