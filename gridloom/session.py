@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, app: str = "gridloom", **conf: str) -> SparkSes
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in base.items():
@@ -45,12 +46,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset.
+
+    Only a local master may leave it unset: elsewhere the executors could not read what the driver's disk holds.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -59,3 +65,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all checkpoints and intermediate folders of this application; tables built on them can no longer be read.
+
+    A job calls this once its results are written. (With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes single
+    checkpoints as soon as nothing refers to them.)
+    """
+    if folder := spark.sparkContext.getCheckpointDir():
+        remove(spark, folder)
+        spark.sparkContext.setCheckpointDir(folder.rsplit("/", 1)[0])
