@@ -1,12 +1,13 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
-A message's content is text, or an array of typed parts (text, image, audio, document). A visitor flattens the parts in order:
-text is escaped, any other part becomes a numbered placeholder, and its attachment (ordinal, kind, reference, expanded token
-count) is recorded. The template marks turns by control strings that all begin with `<|`; inside texts, roles and references
-every control string (and the common ones of other templates) is broken by a backslash, reversibly.
+A message's content is text, or an array of typed parts (text, image, audio, document). A visitor flattens the parts in order, with
+one visiting rule for each type (VISITORS): text is escaped, any other part becomes a numbered placeholder, and its attachment
+(ordinal, kind, reference, expanded token count) is recorded. The template marks turns by control strings that all begin with `<|`;
+inside texts and roles every control string (and the common ones of other templates) is broken by a backslash, reversibly.
+References never enter the formatted text: placeholders hold the kind and the ordinal, attachments hold the reference as it is.
 
 One output row per message (`segment` is its formatted text), so that a conversation of any length is formatted without being
-gathered; a conversation's document is the concatenation of its segments in `position` order.
+gathered; a conversation's document is the concatenation of its segments in the order of turn, role and text.
 
 Escaping. A head is a backslash, a `<` that begins `<|`, `<s>` or `</s>`, or a `[` that begins `[INST]` or `[/INST]`. A backslash
 is put after each head. Unescaping removes one backslash after any backslash, `<` or `[`, from the left: where an unmarked
@@ -14,8 +15,10 @@ is put after each head. Unescaping removes one backslash after any backslash, `<
 leaving k. So the text comes back whole, and no control string occurs in an escaped text.
 
 Defined results: null text is empty; a null role is the empty role; an unknown part type is treated as text where it has text,
-else as a document; rows with equal turn are ordered by role, then text; repeated rows are repeated turns; a null conv_id is
-one conversation; an empty table gives an empty result.
+else as a document; rows with equal turn are ordered by role, then by text (by bytes, as read back from the output); repeated rows
+are repeated turns; a null conv_id is one conversation; a null turn comes first; very long texts and messages of very many parts are
+formatted within their row, in time proportional to their length; an empty table gives an empty result; of the input only conv_id,
+turn, role and content are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import let, running
+
 #: Fixed strings of the template.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Expanded tokens of one unit: an image tile, a second of audio, a page of a document.
@@ -52,6 +57,26 @@ def _kind(part: Column) -> Column:
     return F.when(part["type"].isin(*TOKENS_PER_UNIT), part["type"]).when(part["text"].isNotNull(), F.lit("text")).otherwise(F.when(part["type"] == "text", F.lit("text")).otherwise(F.lit("document")))
 
 
+def _placeholder(part: Column, ordinal: Column) -> Column:
+    return F.concat(F.lit("<|part:"), part["kind"], F.lit(":"), ordinal.cast("string"), F.lit("|>"))
+
+
+#: What the visitor writes for a part of each type, given the number of attachments before it.
+VISITORS = {"text": lambda part, ordinal: escape(part["text"]), **dict.fromkeys(TOKENS_PER_UNIT, _placeholder)}
+
+
+def visit(parts: Column) -> Column:
+    """The flattened body of a message: every part through the rule of its type, in order."""
+    def each(part: Column, ordinal: Column) -> Column:
+        out = F.lit("")
+        for kind, rule in VISITORS.items():
+            out = F.when(part["kind"] == kind, rule(part, ordinal)).otherwise(out)
+        return out
+
+    ordinals = running(F.transform(parts, lambda p: F.when(p["kind"] == "text", 0).otherwise(1)))
+    return F.array_join(F.zip_with(parts, ordinals, each), "")
+
+
 def format_messages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, segment, loss_from, loss_chars, attachments of each message.
 
@@ -64,18 +89,8 @@ def format_messages(messages: DataFrame) -> DataFrame:
     per_unit = F.create_map(*[x for k, v in TOKENS_PER_UNIT.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     others = F.filter(F.col("parts"), lambda p: p["kind"] != "text")
     attachments = F.transform(others, lambda p, k: F.struct(k.alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), (p["units"] * per_unit[p["kind"]]).alias("n_tokens")))
-    # the visitor: body so far, attachments so far
-    visit = F.aggregate(
-        F.col("parts"),
-        F.struct(F.array().cast("array<string>").alias("body"), F.lit(0).alias("n")),
-        lambda acc, p: F.when(p["kind"] == "text", F.struct(F.concat(acc["body"], F.array(escape(p["text"]))).alias("body"), acc["n"].alias("n"))).otherwise(
-            F.struct(F.concat(acc["body"], F.array(F.concat(F.lit("<|part:"), p["kind"], F.lit(":"), acc["n"].cast("string"), F.lit("|>")))).alias("body"), (acc["n"] + 1).alias("n"))
-        ),
-        lambda acc: F.array_join(acc["body"], ""),
-    )
-    only_text = (F.size("parts") == 1) & (F.col("parts")[0]["kind"] == "text")
     rows = messages.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), typed.alias("parts"))
-    rows = rows.withColumn("body", F.when(only_text, escape(F.col("parts")[0]["text"])).otherwise(visit)).withColumn("attachments", attachments)
+    rows = rows.withColumn("body", let(F.col("parts"), visit)).withColumn("attachments", attachments)
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))
     learned = F.col("role").isin(*LEARNED)
     return rows.select(
@@ -103,20 +118,18 @@ def masked_of(segment: Column, loss_from: Column, loss_chars: Column) -> Column:
 
 def conversations(formatted: DataFrame) -> DataFrame:
     """conv_id and its segments in order, as an array of structs: the document of a conversation."""
-    return formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "segment", "loss_from", "loss_chars"))).alias("segments"))
+    said = formatted.withColumn("said", text_of(F.col("segment")))
+    return said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "said", "segment", "loss_from", "loss_chars"))).alias("segments"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The contract's row per conversation, read back from the formatted segments."""
-    back = formatted.select(
-        "conv_id", "turn", "segment", "role", "loss_chars",
-        F.concat(role_of(F.col("segment")), F.lit("\n"), text_of(F.col("segment")), F.lit("\n")).alias("said"),
-        masked_of(F.col("segment"), F.col("loss_from"), F.col("loss_chars")).alias("masked"),
-    )
-    order = F.sort_array(F.collect_list(F.struct("turn", "role", "segment", "said", "masked")))
-    grouped = back.groupBy("conv_id").agg(order.alias("t"), F.sum(F.length("segment")).alias("formatted_chars"))
+    masked = F.when(F.col("loss_chars") > 0, masked_of(F.col("segment"), F.col("loss_from"), F.col("loss_chars")))
+    back = formatted.select("conv_id", "turn", role_of(F.col("segment")).alias("role"), text_of(F.col("segment")).alias("text"), masked.alias("masked"), F.length("segment").alias("n"))
+    grouped = back.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "masked"))).alias("t"), F.sum("n").alias("formatted_chars"))
+    said = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
     grouped = grouped.withColumn("loss", F.array_join(F.transform("t", lambda x: x["masked"]), ""))
     return grouped.select(
-        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("t", lambda x: x["said"]), ""), 256).alias("turns_sha256"),
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("t", said), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
