@@ -1,15 +1,21 @@
 """Language identification by segmentation-marginalised unigram models.
 
-The vocabulary is a fixed public one (byte-level BPE pieces). A text is cut into words (runs of letters, at most MAX_WORD
-characters, lower-cased, with the vocabulary's leading-blank mark); a language gives every piece a probability, and the
+The vocabulary is a fixed public one (byte-level BPE pieces). A text is cut into words (a letter and the letters and marks that
+follow it, at most MAX_WORD characters, lower-cased, with the vocabulary's leading-blank mark; WORD is the one definition, in
+training and in scoring); a language gives every piece a probability, and the
 probability of a word is the sum over all its segmentations into pieces of the product of the piece probabilities, which
 the forward algorithm computes. A text's score is the product over its words. Piece probabilities are fitted by
 expectation-maximisation on word counts of a bounded sample of labelled documents.
 
 Scoring is exact over whole texts. Distinct words are scored once per task and kept in a bounded table.
 
-Defined results: null, empty and letterless texts are `und` with score 0; ties go to the language first in code point
-order; an empty training set makes every text `und`; repeated rows are scored alike; only the text column is read.
+A longer run of letters goes on as a further word, so runs of any length count whole. The lattice of a word is rescaled as it
+shrinks, so a word of many bytes keeps its weight in training as in scoring.
+
+Defined results: null, empty and letterless texts (digits, fractions, symbols and numerals are no letters) are `und` with score 0;
+ties go to the language first in code point order; an empty training set makes every text `und`; very long texts are scored whole;
+repeated rows are scored alike; an empty table gives an empty result; only the text column is read, and kept columns may have any
+name. Rows without a doc_id are not learned from and are not held out.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +41,18 @@ SAMPLE_WORDS = 120_000
 EM_ROUNDS = 4
 KNOWN_WORDS = 400_000
 
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{MAX_WORD}}}")
+#: More languages than this are not learned: the most frequent ones are.
+MAX_LANGUAGES = 1000
+
+#: A word; both the JVM and `regex` read it alike.
+WORD = rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{MAX_WORD - 1}}}"
+_WORDS = regex.compile(WORD)
 #: Blanks out every ASCII byte that is no lower-case letter, so that most tokens are words already.
 _BLANK = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return _WORDS.findall(text.lower())
 
 
 def byte_pieces(path: str) -> list[bytes]:
@@ -149,6 +161,38 @@ class Model:
         return out
 
 
+#: A lattice value below SMALL is multiplied by 1 / SMALL, with the window of values that it will meet.
+SMALL = 1e-100
+
+
+def _lattice(spans, length: np.ndarray, width: int, p: np.ndarray, floor: float, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (or backward) sums of one language over a batch of words, and how often each was rescaled."""
+    n = len(length)
+    value, scaled = np.zeros((width + 1, n)), np.zeros((width + 1, n), np.int32)
+    if not back:
+        value[0] = 1.0
+    for j in range(width, -1, -1) if back else range(1, width + 1):
+        a = value[j]
+        if back:
+            a += length == j
+            others = range(j + 1, min(width, j + MAX_PIECE) + 1)
+        else:
+            others = range(max(0, j - MAX_PIECE), j)
+        if 0 <= (before := j + 1 if back else j - 1) <= width:
+            a += value[before] * floor
+        for i in others:
+            if (x := spans.get((j, i) if back else (i, j))) is not None:
+                a[x[0]] += value[i, x[0]] * p[x[1]]
+        small = (a > 0) & (a < SMALL)
+        # values of one window share their scale
+        scaled[j] = np.where(a > 0, scaled[before] if 0 <= before <= width else 0, 0)
+        if small.any():
+            window = slice(j, min(width, j + MAX_PIECE) + 1) if back else slice(max(0, j - MAX_PIECE), j + 1)
+            value[window, small] /= SMALL
+            scaled[window, small] += 1
+    return value, scaled
+
+
 def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = EM_ROUNDS) -> Model:
     """Expectation-maximisation of each language's piece probabilities from its word counts."""
     langs = sorted(counts)
@@ -167,24 +211,20 @@ def fit(counts: dict[str, Counter], pieces: list[bytes], rounds: int = EM_ROUNDS
                 idx = order[lo : lo + 4096]
                 classes, length = _matrix([raw[x] for x in idx], trie)
                 spans, width = _spans(classes, length, trie), classes.shape[1]
-                alpha, beta = np.zeros((width + 1, len(idx))), np.zeros((width + 1, len(idx)))
-                alpha[0] = 1.0
-                for j in range(1, width + 1):
-                    alpha[j] = alpha[j - 1] * 1e-9
-                    for i in range(max(0, j - MAX_PIECE), j):
-                        if (x := spans.get((i, j))) is not None:
-                            alpha[j, x[0]] += alpha[i, x[0]] * p[x[1]]
-                total = alpha[length, np.arange(len(idx))]
-                for i in range(width, -1, -1):
-                    beta[i] += length == i
-                    if i < width:
-                        beta[i] += beta[i + 1] * 1e-9
-                    for j in range(i + 1, min(width, i + MAX_PIECE) + 1):
-                        if (x := spans.get((i, j))) is not None:
-                            beta[i, x[0]] += p[x[1]] * beta[j, x[0]]
+                alpha, up = _lattice(spans, length, width, p, 1e-9, False)
+                beta, down = _lattice(spans, length, width, p, 1e-9, True)
+                at = np.arange(len(idx))
+                total, whole = alpha[length, at], up[length, at]
+                plain = not (whole.any() or down.any())
                 scale = weight[idx] / np.maximum(total, 1e-280)
                 for (i, j), (rows, s) in spans.items():
-                    expected += np.bincount(s, weights=alpha[i, rows] * p[s] * beta[j, rows] * scale[rows], minlength=len(pieces) + 1)
+                    if plain:
+                        share = alpha[i, rows] * p[s] * beta[j, rows] * scale[rows]
+                    else:  # in logarithms: each factor has its own scale
+                        with np.errstate(divide="ignore"):
+                            log = np.log(alpha[i, rows]) + np.log(p[s]) + np.log(beta[j, rows]) - np.log(total[rows])
+                        share = np.exp(np.minimum(log + (up[i, rows] + down[j, rows] - whole[rows]) * np.log(SMALL), 0.0)) * weight[idx][rows]
+                    expected += np.bincount(s, weights=share, minlength=len(pieces) + 1)
             expected[-1] = 0.0
             p = (expected + 0.01 * (np.append(size, 0) == 1)) / max(expected.sum() + 0.01 * (size == 1).sum(), 1e-9)
         probs[:, k] = p
@@ -246,12 +286,12 @@ def train(docs: DataFrame, vocabulary: str, held_out_mod: int | None = 3, sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null")
     if held_out_mod:
         rows = rows.where(crc_mod(F.col("doc_id"), held_out_mod) != 1)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     counts: dict[str, Counter] = defaultdict(Counter)
     if sizes:
         limits = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(int(min(1_000_000, 1 + 1_000_000 * sample_docs // n))))])
-        sample = rows.where(ticket < limits[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{MAX_WORD}}}"), F.lit(0))).alias("w"))
+        sample = rows.where(ticket < limits[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w"))
         grouped = cut(sample.groupBy("lang", "w").agg(F.count("*").alias("n")))
         large = sorted(r["lang"] for r in grouped.groupBy("lang").agg(F.count("*").alias("words")).where(F.col("words") > SAMPLE_WORDS).collect())
         found = grouped.where(~F.col("lang").isin(large)).collect()
