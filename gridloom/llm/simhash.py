@@ -5,30 +5,36 @@ bits. The join never compares all pairs:
 
 * Embedding. Each fingerprint is cut into 32 segments of two bits; its vector holds the number of set bits of each segment.
   The Manhattan distance of two vectors is at most the Hamming distance of the fingerprints.
-* Grid. The segments form BLOCKS = 7 blocks. Vectors at Manhattan distance 4 or less differ in at most 4 blocks, so they
-  agree in 3 or more: every fingerprint goes to one grid cell for each choice of 3 blocks (35 tables), its counts there being
-  the cell's coordinates. Every linked pair meets in a cell.
-* Verification. Within a cell the Hamming distance decides. A breadth-first search emits a spanning forest of the cell's
-  links, never all its pairs.
-* Hot cells. A cell with more than TILE fingerprints is cut into chunks, and each pair of chunks is searched by itself.
+* Grid. The segments form b blocks (BLOCKS or more, see `choose_blocks`). Vectors at Manhattan distance 4 or less differ in at
+  most 4 blocks, so they agree in b - 4 or more: every fingerprint goes to one grid cell for each choice of b - 4 blocks (35 tables
+  for 7 blocks), its counts there being the cell's coordinates. Every linked pair meets in a cell, whatever b is.
+* Lower bound. Within a cell, pairs whose vectors are more than 4 apart in Manhattan distance are left out: in unary (a count c as c
+  low bits) the distance is the number of differing bits.
+* Verification. The Hamming distance of the rest decides. A breadth-first search emits a spanning forest of the cell's links,
+  never all its pairs.
+* Hot cells. A cell with more than TILE fingerprints is cut into chunks, and each pair of chunks is searched by itself. Hot cells
+  are found on a hash sample of the fingerprints, so the grid is shuffled once; the sample settles only how work is dealt out, never
+  which pairs are compared.
 
 Exact copies are merged before the join (one row per distinct fingerprint), and classes are found by label propagation with
 pointer jumping over the links, each round cut by a reliable checkpoint.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; rows with a null doc_id get a null
-component unless their fingerprint links to rows that have one; repeated rows fall into one class; an empty table gives an
-empty result.
+component unless their fingerprint links to rows that have one; repeated rows fall into one class; very long texts are hashed whole,
+a bounded number of shingles at a time; an empty table gives an empty result; of the input only doc_id and text are read, and `dedup`
+carries further columns of any name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import LOWER_TABLE, cut, map_arrow, text_bytes
@@ -38,6 +44,8 @@ SEED = 42
 MAX_BITS = 4
 BLOCKS = 7
 TILE = 50_000
+#: One fingerprint in so many is looked at for hot cells.
+SAMPLE = 64
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -92,6 +100,17 @@ def block_masks(blocks: int = BLOCKS) -> list[int]:
     return [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
+def choose_blocks(n: int, max_bits: int = MAX_BITS) -> int:
+    """The number of blocks that makes the least work for n fingerprints: more blocks mean more tables with smaller cells.
+
+    Two fingerprints agree in a segment's count three times in eight; comparing a pair costs about a fiftieth of a table's row.
+    """
+    def work(blocks: int) -> float:
+        return math.comb(blocks, max_bits) * (1 + n * 0.375 ** (32 * (blocks - max_bits) / blocks) / 50)
+
+    return min(range(BLOCKS, 13), key=work)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -104,24 +123,35 @@ def cells(fps: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> Dat
     return fps.withColumn("v", popcounts(F.col("fp"))).select(F.explode(F.array(*keys)).alias("cell"), "fp", "rep")
 
 
-def _near(a: np.ndarray, b, max_bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= max_bits
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The segment counts in unary: both bits of a segment in order, so that vectors' Manhattan distance is their number of differing bits."""
+    low, high = fp & np.uint64(0x5555555555555555), (fp >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return (low | high) | ((low & high) << np.uint64(1))
+
+
+def _near(a: np.ndarray, b, u: np.ndarray, v, max_bits: int) -> np.ndarray:
+    """Places where fingerprints a and b link; u and v are their vectors, whose distance rules out most pairs first."""
+    at = np.flatnonzero(np.bitwise_count(u ^ v) <= max_bits)
+    b = b if np.ndim(b) == 0 else b[at]
+    return at[np.bitwise_count(a[at] ^ b) <= max_bits]
 
 
 def forest(fp: np.ndarray, rep: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links (from, to) that connect what links in one cell: a breadth-first search over the unvisited rest."""
-    out, rest_fp, rest_rep = [], fp, rep
-    frontier: list[tuple[np.uint64, int]] = []
+    out, rest_fp, rest_rep, rest_u = [], fp, rep, unary(fp)
+    frontier: list[tuple[np.uint64, int, np.uint64]] = []
     while len(rest_fp):
         if frontier:
-            x, r = frontier.pop()
+            x, r, u = frontier.pop()
         else:
-            x, r, rest_fp, rest_rep = rest_fp[0], rest_rep[0], rest_fp[1:], rest_rep[1:]
-        hit = _near(rest_fp, x, max_bits)
-        if hit.any():
-            out.append((np.full(int(hit.sum()), r), rest_rep[hit]))
-            frontier += list(zip(rest_fp[hit], rest_rep[hit], strict=True))
-            rest_fp, rest_rep = rest_fp[~hit], rest_rep[~hit]
+            x, r, u, rest_fp, rest_rep, rest_u = rest_fp[0], rest_rep[0], rest_u[0], rest_fp[1:], rest_rep[1:], rest_u[1:]
+        hit = _near(rest_fp, x, rest_u, u, max_bits)
+        if len(hit):
+            out.append((np.full(len(hit), r), rest_rep[hit]))
+            frontier += list(zip(rest_fp[hit], rest_rep[hit], rest_u[hit], strict=True))
+            left = np.ones(len(rest_fp), bool)
+            left[hit] = False
+            rest_fp, rest_rep, rest_u = rest_fp[left], rest_rep[left], rest_u[left]
     return out
 
 
@@ -131,12 +161,12 @@ def _links(max_bits: int):
     def scan(cell: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
         size = np.diff(np.append(start, len(cell)))
-        small = np.repeat(size <= 16, size)
+        small, u = np.repeat(size <= 16, size), unary(fp)
         for k in range(1, min(16, int(size.max(initial=0)))):
             i = np.flatnonzero((cell[k:] == cell[:-k]) & small[k:])
             if not len(i):
                 break
-            i = i[_near(fp[i], fp[i + k], max_bits)]
+            i = i[_near(fp[i], fp[i + k], u[i], u[i + k], max_bits)]
             yield rep[i], rep[i + k]
         for s, n in zip(start[size > 16], size[size > 16], strict=True):
             yield from forest(fp[s : s + n], rep[s : s + n], max_bits)
@@ -169,11 +199,12 @@ def _links(max_bits: int):
     return run
 
 
-def links(fps: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, blocks: int = BLOCKS, max_bits: int = MAX_BITS, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """Distinct links (a < b) between representatives that connect all fingerprints at max_bits or fewer; fps: fp, rep."""
     spark = fps.sparkSession
     grid = cells(fps, blocks, max_bits)
-    hot = grid.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    some = cells(fps.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(sample)) == 0), blocks, max_bits)
+    hot = some.groupBy("cell").agg((F.count("*") * sample).alias("n")).where(F.col("n") > tile)
     hot = cut(hot.select("cell", F.ceil(F.col("n") / tile).cast("int").alias("chunks")))
     if not hot.isEmpty():  # each pair of a hot cell's chunks becomes a cell of its own
         mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
@@ -201,10 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+def classes(docs: DataFrame, k: int = SHINGLE, blocks: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp, component_id of every row; blocks by the number of distinct fingerprints unless given."""
     fps = cut(fingerprints(docs, k))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    blocks = blocks or choose_blocks(distinct.count(), max_bits)
     # nodes are the fingerprints: those without any doc_id link others too
     label = components(links(distinct.select("fp", F.col("fp").alias("rep")), blocks, max_bits))
     least = distinct.join(label, distinct["fp"] == label["node"]).groupBy("label").agg(F.min("rep").alias("least")).withColumnRenamed("label", "class")
@@ -216,14 +248,18 @@ def classes(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, max_bits: i
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each class, the one whose doc_id is the class id; rows without a doc_id stay.
 
-    Of several rows with the kept doc_id, the first by text stays.
+    Of several rows with the kept doc_id, the first by text (then by the other columns) stays: a least row, which partial aggregates
+    find, so that no group of them is gathered.
     """
     found = cut(classes(docs))
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("keep_n")).withColumnRenamed("doc_id", "keep_id")
     keep = cut(keep)
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id") == F.col("k.keep_id"), "left").where("k.keep_id is not null or d.doc_id is null").select(*cols)
-    if not keep.where("keep_n > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ("text", *(c for c in docs.columns if c not in ("doc_id", "text")))])
-        kept = kept.withColumn("dedup_nth", F.row_number().over(first)).where("dedup_nth = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = lambda k: docs.alias("d").join(k.alias("k"), F.col("d.doc_id") == F.col("k.keep_id")).select(*cols)
+    kept = mine(keep.where("keep_n = 1")).union(docs.where(F.col("doc_id").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = keep.where("keep_n > 1")
+    if not again.isEmpty():
+        order = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+        rows = mine(again).groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)])).alias("first_row"))
+        kept = kept.union(rows.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"first_row.c{order.index(c)}").alias(c) for c in docs.columns]))
     return kept
