@@ -1,12 +1,14 @@
 """Token-id output: documents are tokenised, ordered by doc_id and written as rANS segments.
 
-Documents are range-partitioned by doc_id; each partition writes its segments (about SEGMENT_IDS ids of whole documents each,
+Documents are range-partitioned by doc_id and a hash of the text; each partition writes its segments (about SEGMENT_IDS ids of whole documents each,
 with a frequency table of all of its ids) as rows of a Parquet table in the shared folder, which any executor can read back
 and decode in parallel. A long text's tokens are found piecewise: a byte-level BPE never merges across a single blank that
 follows a non-blank, so pieces between such blanks are tokenised once each and kept in a bounded table.
 
-Defined results: a null or empty text has just the end id; rows with equal doc_id are ordered by text, null first; null
-doc_ids come first; an empty table gives an empty file.
+Defined results: a null or empty text has just the end id; rows with equal doc_id are ordered by the XXH64 of the text (seed 42;
+42 for null), then by text; null doc_ids come first; a segment ends before it would hold more than SEGMENT_IDS ids, but a document is
+never cut, so a very long one is a segment by itself, whose table has room for the ids of any vocabulary of up to 65,536 pieces (more
+distinct ids than that raise ValueError); an empty table gives an empty file; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -204,7 +206,8 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int) -> DataFrame:
         tokens.forget()  # idle workers hold little
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # the hash deals rows of one doc_id, or of none, to many tasks
+    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     return map_arrow(ordered, run, "file int, segment int, first_id long, n_ids long, n_docs long, data binary")
 
 
