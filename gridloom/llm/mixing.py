@@ -12,10 +12,11 @@ a seeded block and wraps around, in the seeded document order. What a document g
 taken blocks, so it never gives more than twice its size, and no block is ever made a row.
 
 Nothing depends on partitioning: reruns agree. Shards are sized by the number of documents, so a source with a third of all
-rows is spread over all of them.
+rows is spread over all of them, and a shard has no more sources than documents; sources stay a table, however many there are.
 
-Defined results: null, empty and wordless texts have size 0 and give 0 words; a source of size 0 has target 0; ties in the
-hash order go to the smaller doc_id, then to the smaller size; an empty table gives an empty result.
+Defined results: null, empty and wordless texts have size 0 and give 0 words; a source of size 0 has target 0; ties in the hash
+order go to the smaller doc_id, then to the smaller size and text hash (null doc_ids are spread by the text hash); very long texts
+are counted and cut whole; an empty table gives an empty result; `mix` carries further columns of any name.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, map_arrow, ship_package
+from gridloom.sources.grid import ranked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -102,17 +104,37 @@ def taken_words(lo: Column, hi: Column, size: Column, quota: Column, start: Colu
     return F.when(blocks > 0, times * (hi - lo) + upto(first, F.least(end, size)) + upto(F.lit(0).cast("long"), wrapped)).otherwise(F.lit(0).cast("long"))
 
 
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
+    """source, source_size, target of a table (source, source_size), as `targets` gives them, for any number of sources.
+
+    A source gets its weight times a level, or stops at its limit. The level that uses up the share rises from round to round, each
+    an aggregate over the sources, as the excess of those that stop is spread over the rest.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
+    limit = F.col("source_size") * F.lit(float(repeat))
+    rows = cut(ranked(sizes, F.col("source").asc_nulls_last(), name="nth").select("source", "source_size", weight.alias("weight")))
+    whole = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = share * whole[0] / whole[1] if whole[1] else 0.0
+    while whole[1]:
+        free = F.col("weight") * F.lit(level) < limit
+        r = rows.agg(F.sum(F.when(free, F.col("weight"))), F.sum(F.when(~free, limit))).first()
+        new = max(0.0, share * whole[0] - (r[1] or 0.0)) / r[0] if r[0] else level
+        if new <= level:
+            break
+        level = new
+    return rows.select("source", "source_size", F.least(limit, F.col("weight") * F.lit(level)).alias("target"))
+
+
 def plan(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and the row's word interval lo, hi with its cell's size, quota, start."""
+    """doc_id, source, size, source_size, target, taken, key (a hash of the text), and the row's word interval lo, hi with its cell's size, quota, start."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
-    totals = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    sizes = {s: int(r["size"]) for s, r in totals.items()}
-    target = targets(sizes)
-    shards = max(MIN_SHARDS, 2 ** math.ceil(math.log2(max(1, sum(r["n"] for r in totals.values()) / DOCS_PER_SHARD))))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
-    known = spark.createDataFrame([(s, sizes[s], target[s]) for s in sorted(sizes, key=lambda s: (s is None, s or ""))], "of string, source_size long, target double")
+    text = F.col("text").cast("string")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("key")))
+    sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    shards = max(MIN_SHARDS, 2 ** math.ceil(math.log2(max(1, (sizes.agg(F.sum("n")).first()[0] or 0) / DOCS_PER_SHARD))))
+    known = source_targets(sizes.select("source", "source_size")).withColumnRenamed("source", "of")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "key")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
 
     cell = rows.groupBy("shard", "source").agg(F.sum("size").alias("cell_size"))
     cell = cell.join(known, cell["source"].eqNullSafe(known["of"])).drop("of")
@@ -129,12 +151,12 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("cell_size") / F.lit(block)).cast("long"))
     quotas = cut(quotas.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 1), "shard", "source"), blocks)))
 
-    order = Window.partitionBy("shard", "source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("shard", "source").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("hi", F.sum("size").over(order)).withColumn("lo", F.col("hi") - F.col("size"))
     q = quotas.select(F.col("shard").alias("q_shard"), F.col("source").alias("q_source"), "cell_size", "source_size", "target", "quota", "start")
     joined = placed.join(q, (placed["shard"] == q["q_shard"]) & placed["source"].eqNullSafe(q["q_source"]))
     taken = taken_words(F.col("lo"), F.col("hi"), F.col("cell_size"), F.col("quota"), F.col("start"), block)
-    return joined.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", "lo", "hi", "cell_size", "quota", "start")
+    return joined.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", "key", "lo", "hi", "cell_size", "quota", "start")
 
 
 def pieces(lo: int, hi: int, size: int, quota: int, start: int, block: int = BLOCK) -> list[tuple[int, int]]:
@@ -161,24 +183,24 @@ def cut_words(text: str, a: int, b: int) -> str:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each taken run of a document's words (twice for two copies).
 
-    Rows of equal doc_id, size and source share a place in the order; they are numbered, by text and then the other columns,
-    before those that give nothing are left out, and each takes what the plan says for its number.
+    Rows of equal doc_id, size, source and text hash share a place in the order; they are numbered, by text and then the other
+    columns, before those that give nothing are left out, and each takes what the plan says for its number.
     """
     cols = docs.columns
-    same = Window.partitionBy("doc_id", "size", "source").orderBy("lo")
+    same = Window.partitionBy("doc_id", "size", "source", "key").orderBy("lo")
     planned = plan(docs).where("size > 0").withColumn("nth", F.row_number().over(same))
-    planned = cut(planned.select("taken", *[F.col(c).alias(f"m_{c}") for c in ("doc_id", "size", "source", "nth", "lo", "hi", "cell_size", "quota", "start")]))
+    planned = cut(planned.select("taken", *[F.col(c).alias(f"m_{c}") for c in ("doc_id", "size", "source", "key", "nth", "lo", "hi", "cell_size", "quota", "start")]))
     twins = not planned.where("m_nth > 1").isEmpty()
     planned = planned.where("taken > 0").drop("taken")
     left = docs.select(*[F.col(f"`{c}`").alias(f"d_{k}") for k, c in enumerate(cols)])
     doc_id, text = F.col(f"d_{cols.index('doc_id')}").cast("long"), F.col(f"d_{cols.index('text')}").cast("string")
     source = F.col(f"d_{cols.index('source')}").cast("string")
-    left = left.withColumn("m_size_here", word_count(text))
-    on = doc_id.eqNullSafe(F.col("m_doc_id")) & (F.col("m_size_here") == F.col("m_size")) & source.eqNullSafe(F.col("m_source"))
+    left = left.withColumn("m_size_here", word_count(text)).withColumn("m_key_here", F.xxhash64(text))
+    on = doc_id.eqNullSafe(F.col("m_doc_id")) & (F.col("m_size_here") == F.col("m_size")) & source.eqNullSafe(F.col("m_source")) & (F.col("m_key_here") == F.col("m_key"))
     if twins:
-        left = left.withColumn("m_nth_here", F.row_number().over(Window.partitionBy(doc_id, "m_size_here", source).orderBy(text, *[f"d_{k}" for k in range(len(cols))])))
+        left = left.withColumn("m_nth_here", F.row_number().over(Window.partitionBy(doc_id, "m_size_here", source, "m_key_here").orderBy(text, *[f"d_{k}" for k in range(len(cols))])))
         on = on & (F.col("m_nth_here") == F.col("m_nth"))
-    joined = left.join(planned, on).drop("m_size_here", "m_nth_here", "m_doc_id", "m_size", "m_source", "m_nth")
+    joined = left.join(planned, on).drop("m_size_here", "m_key_here", "m_nth_here", "m_doc_id", "m_size", "m_source", "m_key", "m_nth")
     kept = [f"d_{k}" for k in range(len(cols))]
     at = cols.index("text")
 
