@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, vocabulary("byte_bpe_50k.json"))
     doc_id = F.col("keep_doc_id").cast("long")
     return langid.identify(docs, model, ["doc_id"]).select(
-        doc_id.alias("doc_id"), (crc_mod(doc_id, 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_words").alias("n_words")
+        doc_id.alias("doc_id"), F.coalesce(crc_mod(doc_id, 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_words").alias("n_words")
     )
 
 
@@ -56,7 +56,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     forest = quality_gbt.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality_gbt.score(docs, forest).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality_gbt.score(docs, forest).select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
