@@ -95,6 +95,32 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.forward([long])[0], [math.log(segmentations(long, pieces, probs[:, k], 1e-7)) for k in range(2)])
 
 
+@pytest.mark.parametrize("run", ["中" * 64, "дом" * 21, "ไทย" * 21, "的是不了在人有我他这" * 6])
+def test_long_runs_of_unspaced_scripts_are_learned(run):
+    pieces = langid.byte_pieces(Q.vocabulary("byte_bpe_50k.json"))
+    m = langid.fit({"en": Counter({"the": 60, "of": 30, "and": 20, "house": 10}), "xx": Counter({run[:64]: 50})}, pieces)
+    foreign = sum(m.probs[i, 1] for i, p in enumerate(pieces) if any(b >= 128 for b in p))
+    assert foreign > 0.9 and np.isfinite(m.probs).all()
+    lp = m.forward([b" " + run[:64].encode(), b" the"])
+    assert lp[0, 1] > lp[0, 0] + 20 and lp[1, 0] > lp[1, 1]
+    scorer = langid.Scorer(m)
+    assert [r[0] for r in scorer.score([run * 40, "the house of", "中" if run[0] == "中" else run])] == ["xx", "en", "xx"]
+
+
+def test_only_letters_make_words():
+    m = langid.fit({"en": Counter(the=5), "fr": Counter(le=5)}, langid.byte_pieces(Q.vocabulary("byte_bpe_50k.json")))
+    odd = ["½", "²²", "①", "Ⅷ", "123 _ - ٣", "\u0301", "", None]
+    assert [r[:2] for r in langid.Scorer(m).score(odd)] == [("und", 0.0)] * len(odd)
+    assert langid.words_of("Éa½b²Cé हिन्दी x\u0301y") == ["éa", "b", "cé", "हिन्दी", "x\u0301y"] and langid.words_of("q" * 130) == ["q" * 64, "q" * 64, "qq"]
+
+
+def test_words_are_cut_alike_in_training_and_scoring(spark):
+    texts = [t for t in ODD if t] + ["½a ²b", "हिन्दी भाषा", "x\u0301\u0302y Ⅷz", "中文" * 50]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    for r in df.select("t", F.regexp_extract_all(F.lower("t"), F.lit(langid.WORD), F.lit(0)).alias("w")).collect():
+        assert r.w == langid.words_of(r.t)
+
+
 def test_em_raises_the_likelihood():
     counts = {"x": Counter({"abab": 30, "aba": 10, "bb": 3})}
     pieces = [b" ", b"a", b"b", b"ab", b"aba", b" ab"]
@@ -183,9 +209,38 @@ def test_benchmark_rows_without_id_are_searched(spark, con, words_per_block, mon
     assert [r.doc_id for r in decontam.decontaminate(d, b).collect()] == [3]
 
 
+def test_items_of_any_id_type_in_blocks_of_any_size(spark, monkeypatch):
+    rng = random.Random(14)
+    text = lambda n: " ".join(rng.choice("abcdefg") * rng.randrange(1, 3) for _ in range(n))
+    items = [("q-1", text(90)), ("é", text(20)), (None, text(15)), ("7", text(3)), ("q-1", text(30))]
+    docs = [(k, text(rng.randrange(5)) + " " + (t if k % 2 else " ".join(t.split()[5:25])).upper() + " " + text(rng.randrange(60))) for k, (_, t) in enumerate(items * 3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    seen = []
+    for words, piece in ((2_000_000, 50_000), (40, 7), (1, 1)):
+        monkeypatch.setattr(decontam, "WORDS_PER_BLOCK", words)
+        monkeypatch.setattr(decontam, "PIECE_WORDS", piece)
+        seen.append({r.doc_id: tuple(r)[1:] for r in decontam.judge(d, b).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    named = [(i, t) for i, t in items if i]
+    for k, t in docs:  # as brute force says; hits of the nameless item count, too
+        n, hit, found, sha, _ = contaminated_brute(t, named)
+        every = contaminated_brute(t, [(i or "?", t2) for i, t2 in items])
+        assert seen[0][k][:2] == (n, every[1]) and seen[0][k][2] == every[2] and seen[0][k][3] == sha
+
+
 # ------------------------------------------------------------------ mixing
 
 
+def test_targets_of_a_table_equal_the_plain_ones(spark):
+    rng = random.Random(9)
+    for n in (0, 1, 2, 7, 40):
+        sizes = {f"s{k}é": int(10 ** rng.uniform(0, 6)) * rng.randrange(4) for k in range(n)} | ({None: 50} if n > 1 else {})
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        want = mixing.targets(sizes)
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-12, abs_tol=1e-9) for s in want)
+
+
 def test_targets_stop_at_twice_the_size():
     t = mixing.targets({"a": 100, "b": 1000, "c": 1000, None: 50})
     assert t["a"] == 200 and sum(t.values()) == pytest.approx(1.5 * 2150) and all(t[s] <= 2 * n + 1e-9 for s, n in {"a": 100, "b": 1000, "c": 1000, None: 50}.items())
@@ -362,9 +417,25 @@ def test_links_find_every_pair_within_four_bits(spark):
     rows = sorted((k, f) for k, f in enumerate(sorted(fps)))
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in rows], "fp long, rep long")
     want = components_brute(rows)
-    for tile in (50_000, 3):  # the second cuts nearly every cell into chunks
-        label = {r.node: r.label for r in simhash.components(simhash.links(df, tile=tile)).collect()}
-        assert {k: label.get(k, k) for k, _ in rows} == want
+    # a small tile cuts nearly every cell into chunks; more blocks make more and smaller cells
+    for how in ({"tile": 50_000}, {"tile": 3, "sample": 1}, {"blocks": 8}, {"blocks": 9, "tile": 5, "sample": 2}):
+        label = {r.node: r.label for r in simhash.components(simhash.links(df, **how)).collect()}
+        assert {k: label.get(k, k) for k, _ in rows} == want, how
+
+
+def test_blocks_grow_with_the_fingerprints():
+    chosen = [simhash.choose_blocks(n) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**12)]
+    assert chosen[0] == chosen[1] == 7 and chosen == sorted(chosen) and chosen[-1] > 8
+
+
+def test_unary_vectors_differ_by_the_manhattan_distance():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 63, (2, 300), np.uint64) * np.uint64(2) + rng.integers(0, 2, (2, 300), np.uint64)
+    counts = lambda x: np.array([[bin(int(v) >> (2 * k) & 3).count("1") for k in range(32)] for v in x])
+    want = np.abs(counts(a) - counts(b)).sum(axis=1)
+    assert (np.bitwise_count(simhash.unary(a) ^ simhash.unary(b)) == want).all() and (want <= np.bitwise_count(a ^ b)).all()
+    near = simhash._near(a, a ^ np.uint64(7), simhash.unary(a), simhash.unary(a ^ np.uint64(7)), 4)
+    assert len(near) == 300 and len(simhash._near(a, b, simhash.unary(a), simhash.unary(b), 4)) == (np.bitwise_count(a ^ b) <= 4).sum()
 
 
 def test_popcount_embedding_is_a_lower_bound(spark):
@@ -437,6 +508,32 @@ def test_conversation_digests(spark):
     assert chat.digests(chat.format_messages(df.limit(0))).count() == 0
 
 
+def test_rows_of_one_turn_stand_in_the_order_of_their_texts(spark, con):
+    said = ["a", "a b", "a\tb", "a<", "a<|end|>", "a|", "é", "", "a\n", "[INST]", "a\\"]
+    rows = [(1, 0, "user", t) for t in said] + [(2, 3, r, t) for t in said[::-1] for r in ("assistant", "user")] + [(3, None, "assistant", "x"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = df.withColumn("segment", F.lit("z")).withColumn("parts", F.lit(1)).withColumn("body", F.lit("y")).withColumn("content", chat.text_part(F.col("text")))
+    got = chat.digests(chat.format_messages(clashing))
+    here = con.cursor()
+    here.register("rows_here", df.toPandas())
+    here.execute("CREATE TEMP TABLE conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM rows_here")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    by = {r.conv_id: r for r in got.collect()}
+    assert by[1].turns_sha256 == sha("".join(f"user\n{t}\n" for t in sorted(said, key=str.encode))) and by[3].turns_sha256 == sha("assistant\nx\n\n\n")
+    assert same(got.where("conv_id < 3").toPandas(), here.sql(Q.OP6_SQL).df().query("0 < conv_id < 3"))
+
+
+def test_long_conversations_and_many_parts(spark):
+    part = "struct<type:string,text:string,ref:string,units:bigint>"
+    many = [("text", f"t{k} ", None, None) if k % 3 else ("image", None, f"{k}.png", None) for k in range(3000)]
+    r = chat.format_messages(spark.createDataFrame([(1, 0, "user", many)], f"conv_id long, turn long, role string, content array<{part}>")).first()
+    assert [a.ordinal for a in r.attachments] == list(range(1000)) and r.segment.count("<|part:image:") == 1000 and "<|part:image:999|>" in r.segment
+    assert [a.ref for a in r.attachments[:2]] == ["0.png", "3.png"] and r.attachments[5].n_tokens == 256
+    df = spark.range(20_000).select(F.lit(5).alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "id").alias("text"))
+    got = chat.digests(chat.format_messages(df.withColumnRenamed("id", "turn").withColumn("content", chat.text_part(F.col("text"))))).first()
+    assert got.n_turns == 20_000 and got.loss_sha256 == hashlib.sha256("".join(f"turn {k}" for k in range(1, 20_000, 2)).encode()).hexdigest()
+
+
 # ------------------------------------------------------------------ licenses
 
 
@@ -741,7 +838,8 @@ def token_rows_brute(rows):
     from tokenizers import Tokenizer
 
     whole, at, out = Tokenizer.from_file(Q.vocabulary("byte_bpe_50k.json")), 0, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    signed = lambda t: 42 if t is None else (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1] or "")):
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
         out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
