@@ -28,8 +28,8 @@ from gridloom.llm import rans
 from gridloom.llm.common import map_arrow, shared_dir
 
 SEGMENT_IDS = 1 << 20
-#: Bound of a worker's table of pieces.
-KNOWN_PIECES = 500_000
+#: Bound of a worker's table of pieces, in two generations.
+KNOWN_PIECES = 1_000_000
 END_ID = 0
 
 #: White space other than blank and line feed (the last of it is U+3000).
@@ -97,6 +97,7 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
+        self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -130,7 +131,10 @@ class Tokens:
             else:
                 w = k[: m.end(2)]
                 if w not in known:
-                    words.add(w)
+                    if (v := self.old.get(w)) is None:
+                        words.add(w)
+                    else:
+                        known[w] = v
                 if m[3] not in self.tails:
                     tails.add(m[3])
                 parted.append((k, w, m[3]))
@@ -146,8 +150,8 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        if len(self.known) + len(self.tails) > KNOWN_PIECES:
-            self.forget()
+        if len(self.known) + len(self.tails) > KNOWN_PIECES // 2:  # pieces met again move on to the new generation
+            self.old, self.known, self.tails = self.known, {}, {"": b""}
         first, found, gaps, missing = [], [], [], set()
         get = self.known.get
         for text in texts:
@@ -160,7 +164,9 @@ class Tokens:
             first.append(head)
             found.append(ids)
         if missing:
-            self._learn(missing)
+            kept = {k: v for k in missing if (v := self.old.get(k)) is not None}
+            self.known.update(kept)
+            self._learn(missing.difference(kept))
             for ids, keys, at in gaps:
                 for i in at:
                     ids[i] = self.known[keys[i]]
@@ -203,7 +209,6 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int) -> DataFrame:
                     held += len(x)
         if ids:
             yield flush()
-        tokens.forget()  # idle workers hold little
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # the hash deals rows of one doc_id, or of none, to many tasks
