@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,19 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import in_support
 from gridloom.operators import filters, geometry
-from gridloom.operators.stencil import anti
+from gridloom.operators.stencil import anti, semi
 from gridloom.session import cut
 from gridloom.sources.grid import Grid
 
 #: Fixed weights of the default multi-band lineament field.
-LINEAMENT_WEIGHTS = {"tmi_hg": 0.16, "tmi_vg": 0.12, "tc": 0.12, "iso_grav_anom_hg": 0.12, "rtp": 0.08, "iso_grav_anom_vg": 0.08, "geod_2ndinv": 0.08, "geod_shearrate": 0.08, "det_elev_slope": 0.08, "depth_to_base_surf": 0.08}
+LINEAMENT_WEIGHTS = {
+    "tc": 1.0, "tmi_hg": 0.8, "iso_grav_anom_hg": 0.8, "iso_grav_anom_vg": 0.6, "tmi_vg": 0.6, "geod_2ndinv": 0.7, "geod_shearrate": 0.5, "geod_dilaterate": 0.5,
+    "det_elev": 0.5, "cond_surf": 0.4,
+}
+#: Fixed weights of the screened composite: of votes, of curvature and of tips.
+W_VOTES, W_CURVATURE, W_TIPS = 1.0, 0.85, 0.15
+#: Fixed scales of the curvature and of the step fields.
+SCALES = (1.5, 3.0, 6.0)
 
 
 def gaussian_shell(d: Column, sigma: float) -> Column:
@@ -28,32 +36,37 @@ def near_known(cells: DataFrame, known: DataFrame, grid: Grid, sigma: float = 6.
 
 
 def _blurred(cells: DataFrame, mask: DataFrame, grid: Grid, sigma: float, border: str = "reflect") -> DataFrame:
-    ones = cells.select("y", "x").join(mask.select("y", "x").withColumn("one", F.lit(1.0)), ["y", "x"], "left").select("y", "x", F.coalesce("one", F.lit(0.0)).alias("v"))
-    return filters.gaussian(ones, "v", sigma, grid, border)
+    """The blurred mask at the stored cells; mask cells count wherever they are on the grid."""
+    where = lambda df, v: df.select("y", "x", F.lit(v).alias("v"))
+    ones = where(cells, 0.0).union(where(mask, 1.0)).groupBy("y", "x").agg(F.max("v").alias("v"))
+    return semi(filters.gaussian(ones, "v", sigma, grid, border), cells)
 
 
-def _traced(known: DataFrame, grid: Grid, kind: str) -> tuple[DataFrame, DataFrame]:
+def traced(known: DataFrame, grid: Grid, kind: str = "reference") -> tuple[DataFrame, DataFrame]:
+    """The thinned mask and its local directions, materialised, for the fields that follow a trace."""
     thin = geometry.skeleton(known)
-    return thin, geometry.strike(thin, grid, kind=kind)
+    return thin, cut(geometry.strike(thin, grid, kind=kind))
 
 
-def tip_extension(cells: DataFrame, known: DataFrame, grid: Grid, length: int = 14, sigma: float = 2.0, kind: str = "reference") -> DataFrame:
-    """rays from the tips of the thinned mask, outside it, blurred."""
-    thin, direction = _traced(known, grid, kind)
+def tip_extension(cells: DataFrame, known: DataFrame, grid: Grid, length: int = 14, sigma: float = 2.0, kind: str = "reference", trace: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """rays from the tips of the thinned mask, outside it, blurred. trace: `traced`, if it is at hand."""
+    thin, direction = trace or traced(known, grid, kind)
     rays = geometry.walk(geometry.tips(thin).join(direction, ["y", "x"]), grid, length)
     return _blurred(cells, anti(rays, known), grid, sigma)
 
 
-def gap_linkage(cells: DataFrame, known: DataFrame, grid: Grid, max_gap: float = 16, sigma: float = 2.0, kind: str = "reference") -> DataFrame:
+def gap_linkage(cells: DataFrame, known: DataFrame, grid: Grid, max_gap: float = 16, sigma: float = 2.0, kind: str = "reference", trace: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """bridges between tips, outside the mask, blurred."""
-    thin, direction = _traced(known, grid, kind)
+    thin, direction = trace or traced(known, grid, kind)
     links = geometry.bridges(geometry.tips(thin).join(direction, ["y", "x"]), grid, max_gap, both_ways=kind == "tangent")
     return _blurred(cells, anti(links, known), grid, sigma)
 
 
-def parallel_field(cells: DataFrame, known: DataFrame, grid: Grid, offsets: tuple[int, ...] = (4, 6, 9), sigma: float = 2.0, least: int = 25, kind: str = "reference") -> DataFrame:
+def parallel_field(
+    cells: DataFrame, known: DataFrame, grid: Grid, offsets: tuple[int, ...] = (4, 6, 9), sigma: float = 2.0, least: int = 25, kind: str = "reference", trace: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """strands parallel to the mask, outside it, blurred."""
-    _, direction = _traced(known, grid, kind)
+    _, direction = trace or traced(known, grid, kind)
     strands = geometry.parallel_strands(direction, known, grid, offsets, least)
     return _blurred(cells, anti(strands, known), grid, sigma)
 
@@ -64,20 +77,20 @@ def lineament_energy(cells: DataFrame, grid: Grid, weights: dict[str, float] | N
     have = {b: w for b, w in weights.items() if b in cells.columns}
     if not have:
         raise KeyError("no weighted band is present")
-    out = None
-    for k, b in enumerate(have):
-        one = filters.lineament(cells, b, grid, sigma).withColumnRenamed("v", f"v{k}")
-        out = one if out is None else out.join(one, ["y", "x"])
-    total = sum((F.lit(w) * F.col(f"v{k}") for k, w in enumerate(have.values())), F.lit(0.0))
-    return filters.percentile_scale(out.select("y", "x", total.alias("v")), "v", strided=8).select("y", "x", F.col("z").alias("v"))
+    each = filters.lineaments(cells, list(have), grid, sigma)
+    total = sum((F.lit(float(w)) * F.col(b) for b, w in have.items()), F.lit(0.0))
+    return _scaled(each.select("y", "x", total.alias("v")), 8)
+
+
+def _scaled(field: DataFrame, strided: int = 0) -> DataFrame:
+    return filters.percentile_scale(field.select("y", "x", "v"), "v", strided=strided, out="v")
 
 
 def composite(cells: DataFrame, parts: dict[str, float], strided: int = 8) -> DataFrame:
-    """the weighted mean of F5-scaled columns, F5-scaled again."""
-    for c in parts:
-        cells = filters.percentile_scale(cells, c, strided=strided, out=f"z_{c}")
-    total = sum((F.lit(float(w)) * F.col(f"z_{c}") for c, w in parts.items()), F.lit(0.0)) / F.lit(float(sum(parts.values())))
-    return filters.percentile_scale(cells.select("y", "x", total.alias("v")), "v", strided=strided).select("y", "x", F.col("z").alias("v"))
+    """the weighted sum of F5-scaled columns, F5-scaled again."""
+    each = filters.scale_columns(cells.select("y", "x", *parts), {c: c for c in parts}, strided=strided)
+    total = sum((F.lit(float(w)) * F.col(c) for c, w in parts.items()), F.lit(0.0))
+    return _scaled(each.select("y", "x", total.alias("v")), strided)
 
 
 def habitat(cells: DataFrame, emission: DataFrame, grid: Grid, sep: float = 2.0) -> DataFrame:
@@ -102,9 +115,9 @@ def distance_band(d: Column, centre: float = 8.0, half: float = 4.0) -> Column:
     return F.least(F.greatest(F.lit(1.0) - F.abs(d - F.lit(centre)) / F.lit(half), F.lit(0.0)), F.lit(1.0))
 
 
-def hashed_noise(seed: int = 1) -> Column:
+def hashed_noise() -> Column:
     """C-0: a reproducible draw in [0, 1) from the cell's place."""
-    return F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return filters.fixed_draw() / F.lit(1000003.0)
 
 
 def _merge(parts: dict[str, DataFrame]) -> DataFrame:
@@ -115,47 +128,59 @@ def _merge(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _largest(fields: list[DataFrame]) -> DataFrame:
-    merged = _merge({f"f{k}": f for k, f in enumerate(fields)})
-    cols = [F.col(f"f{k}") for k in range(len(fields))]
-    return merged.select("y", "x", (F.greatest(*cols) if len(cols) > 1 else cols[0]).alias("v"))
+def _largest(*columns: str) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
+
+
+def curvature(cells: DataFrame, grid: Grid) -> DataFrame:
+    """The largest anisotropy of the detrended elevation over the scales."""
+    each = filters.anisotropies(cells, {f"a{k}": ("det_elev", s) for k, s in enumerate(SCALES)}, grid)
+    return each.select("y", "x", _largest(*[f"a{k}" for k in range(len(SCALES))]).alias("v"))
 
 
-def screened_fields(cells: DataFrame, known: DataFrame, grid: Grid, prior: DataFrame | None = None, votes: DataFrame | None = None, prior_weight: float = 0.5, weights: tuple[float, float, float] = (0.5, 0.6, 0.4)) -> dict[str, DataFrame]:
-    """step, lineament, curvature, tip and composite fields; the composite mixes curvature with a prior, with votes, or with tips.
+def basin_step(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Steps of the magnetic tilt that magnetic and gravity fabric corroborate, weighted by the depth and conductivity of the fill."""
+    step = filters.step_edges(cells, {f"s{k}": ("tc", s) for k, s in enumerate(SCALES)}, grid)
+    fabric = filters.anisotropies(cells, {"m0": ("tmi_hg", 2.0), "m1": ("tmi_vg", 2.0), "g": ("iso_grav_anom_hg", 2.0)}, grid)
+    fill = filters.scale_columns(cells.select("y", "x", "depth_to_base_surf", "cond_surf"), {"depth_to_base_surf": "d", "cond_surf": "c"}).select("y", "x", "d", "c")
+    both = F.sqrt(F.greatest(F.greatest("m0", "m1") * F.col("g"), F.lit(0.0)))
+    top = F.greatest(_largest(*[f"s{k}" for k in range(len(SCALES))]), F.lit(0.0))
+    v = F.cbrt(top * top * both) * (F.lit(0.25) + F.lit(0.75) * (F.lit(0.5) * F.col("d") + F.lit(0.5) * F.col("c")))
+    return _scaled(step.join(fabric, ["y", "x"]).join(fill, ["y", "x"]).select("y", "x", v.alias("v")))
 
-    weights: of votes, of curvature and of tips.
+
+def _mix(a: DataFrame, wa: float, b: DataFrame, wb: float) -> DataFrame:
+    """The scaled sum of two scaled fields."""
+    each = filters.scale_columns(_merge({"a": a, "b": b}), {"a": "a", "b": "b"})
+    return _scaled(each.select("y", "x", (F.lit(wa) * F.col("a") + F.lit(wb) * F.col("b")).alias("v")))
+
+
+def screened_fields(cells: DataFrame, known: DataFrame, grid: Grid, prior: DataFrame | None = None, votes: DataFrame | None = None, prior_weight: float = 0.5) -> dict[str, Callable[[], DataFrame]]:
+    """step, lineament, curvature, tip and composite fields, each built when called.
+
+    The composite mixes curvature with a prior, else with votes, else with tips.
     """
-    n = lambda df: filters.percentile_scale(df, "v").select("y", "x", F.col("z").alias("v"))
-    band = lambda b: cells.select("y", "x", F.col(b).alias("v"))
-    step = _largest([filters.step_edge(cells, "tc", grid, s) for s in (1.5, 3.0, 6.0)])
-    magnetic = _largest([filters.anisotropy(cells, b, grid, 2.0) for b in ("tmi_hg", "tmi_vg")])
-    parts = {"step": step, "magnetic": magnetic, "gravity": filters.anisotropy(cells, "iso_grav_anom_hg", grid, 2.0), "depth": n(band("depth_to_base_surf")), "cond": n(band("cond_surf"))}
-    both = F.sqrt(F.greatest(F.col("magnetic") * F.col("gravity"), F.lit(0.0)))
-    basin = F.cbrt(F.pow(F.greatest("step", F.lit(0.0)), F.lit(2)) * both) * (F.lit(0.25) + F.lit(0.75) * (F.lit(0.5) * F.col("depth") + F.lit(0.5) * F.col("cond")))
-    out = {"step": n(_merge(parts).select("y", "x", basin.alias("v")))}
-    out["lineament"] = lineament_energy(cells, grid)
-    out["curvature"] = _largest([filters.anisotropy(cells, "det_elev", grid, s) for s in (1.5, 3.0, 6.0)])
-    out["tips"] = tip_extension(cells, known, grid)
-    mix = lambda a, wa, b, wb: n(_merge({"a": n(a), "b": n(b)}).select("y", "x", (F.lit(wa) * F.col("a") + F.lit(wb) * F.col("b")).alias("v")))
-    if prior is not None:
-        out["composite"] = mix(prior, 1.0 - prior_weight, out["curvature"], prior_weight)
-    elif votes is not None:
-        out["composite"] = mix(votes, weights[0], out["curvature"], weights[1])
-    else:
-        out["composite"] = mix(out["curvature"], weights[1], out["tips"], weights[2])
-    return out
+    def mixed() -> DataFrame:
+        if prior is not None:
+            return _mix(prior, 1.0 - prior_weight, curvature(cells, grid), prior_weight)
+        if votes is not None:
+            return _mix(votes, W_VOTES, curvature(cells, grid), W_CURVATURE)
+        return _mix(curvature(cells, grid), W_CURVATURE, tip_extension(cells, known, grid), W_TIPS)
+
+    return {
+        "step": lambda: basin_step(cells, grid), "lineament": lambda: lineament_energy(cells, grid), "curvature": lambda: curvature(cells, grid),
+        "tips": lambda: tip_extension(cells, known, grid), "composite": mixed,
+    }
 
 
 def signed_blend(cells: DataFrame, weights: dict[str, float], inside: Column) -> DataFrame:
     """The rank transform of a signed sum of rank-transformed bands; bands that are missing are left out."""
     have = {b: w for b, w in weights.items() if b in cells.columns}
     base = cut(cells.select("y", "x", inside.alias("inside"), *have))
-    flag = F.col("inside")
-    ranks = _merge({f"r_{b}": filters.rank_transform(base.select("y", "x", "inside", b), b, flag).select("y", "x", F.col("z").alias("v")) for b in have})
-    total = sum((F.lit(w) * F.col(f"r_{b}") for b, w in have.items()), F.lit(0.0))
-    blended = base.select("y", "x", "inside").join(ranks.select("y", "x", total.alias("v")), ["y", "x"])
-    return filters.rank_transform(blended, "v", flag).select("y", "x", F.col("z").alias("v"))
+    ranks = filters.rank_columns(base, {b: f"r_{b}" for b in have}, F.col("inside"), filters.fixed_draw())
+    total = sum((F.lit(w) * F.coalesce(f"r_{b}", F.lit(0.0)) for b, w in have.items()), F.lit(0.0))
+    blended = base.select("y", "x", "inside").join(ranks, ["y", "x"], "left").select("y", "x", "inside", F.round(total, 9).alias("v"))
+    return filters.rank_transform(blended, "v", F.col("inside")).select("y", "x", F.col("z").alias("v"))
 
 
 #: Fixed weights of the measured habitat and of the shadow habitat.
@@ -176,7 +201,8 @@ def candidate_bank(cells: DataFrame, known: DataFrame, grid: Grid) -> dict[str,
     inside = F.col("inside")
     have = cells.columns
     base = cells.select("y", "x", "inside")
-    rank = lambda df: filters.rank_transform(base.join(df, ["y", "x"], "left"), "v", inside).select("y", "x", F.col("z").alias("v"))
+    # equal values of a filter may differ by rounding errors: they are ranked at 9 places
+    rank = lambda df: filters.rank_transform(base.join(df.select("y", "x", F.round("v", 9).alias("v")), ["y", "x"], "left"), "v", inside, "v")
     band = lambda b: cells.select("y", "x", F.col(b if b in have else "det_elev").cast("double").alias("v"))
     trendless = lambda b, s: filters.detrend(cells, b if b in have else "det_elev", s, grid)
     absolute = lambda df: df.select("y", "x", F.abs("v").alias("v"))
@@ -198,7 +224,7 @@ def candidate_bank(cells: DataFrame, known: DataFrame, grid: Grid) -> dict[str,
         return weighted([(0.65, signed_blend(cells, HABITAT_WEIGHTS, inside)), (0.35, rank(relief))])
 
     def conductivity() -> DataFrame:
-        g = filters.gradient(trendless("cond_surf", 30.0), "v")
+        g = filters.gradient(trendless("cond_surf", 30.0), "v", grid)
         return rank(g.select("y", "x", F.hypot("gy", "gx").alias("v")))
 
     bank = {
@@ -221,32 +247,47 @@ def candidate_bank(cells: DataFrame, known: DataFrame, grid: Grid) -> dict[str,
 
 
 def screen_arms(cells: DataFrame, known: DataFrame, grid: Grid) -> dict[str, Callable[[], DataFrame]]:
-    """the eight arms of the field screen."""
-    return {
-        "wide shell": lambda: near_known(cells, known, grid, 20.0),
-        "tips": lambda: tip_extension(cells, known, grid),
-        "wide parallel": lambda: parallel_field(cells, known, grid, (10, 16, 24, 32)),
-        "lineament": lambda: lineament_energy(cells, grid),
-        "basin step": lambda: screened_fields(cells, known, grid)["step"],
-        "isostatic contrast": lambda: filters.anisotropy(cells, "tmi_hg", grid, 2.0),
-        "curvature": lambda: filters.anisotropy(cells, "det_elev", grid, 3.0),
-        "basement step": lambda: filters.step_edge(cells, "depth_to_base_surf", grid, 3.0),
-    }
+    """the eight arms of the field screen, each 0 outside the footprint and on what is known. cells: y, x, inside and bands."""
+    def steps() -> DataFrame:
+        each = filters.step_edges(cells, {"s0": ("depth_to_base_surf", 2.0), "s1": ("depth_to_base_surf", 5.0)}, grid)
+        return each.select("y", "x", F.greatest("s0", "s1").alias("v"))
+
+    def contrast() -> DataFrame:
+        each = filters.anisotropies(cells, {"m": ("tmi_hg", 2.0), "g": ("iso_grav_anom", 2.0)}, grid)
+        return each.select("y", "x", F.sqrt(F.greatest(F.col("m") * F.col("g"), F.lit(0.0))).alias("v"))
+
+    arms = {
+        "basin step": lambda: basin_step(cells, grid), "lineament": lambda: lineament_energy(cells, grid), "curvature": lambda: curvature(cells, grid),
+        "tips": lambda: tip_extension(cells, known, grid), "wide parallel": lambda: parallel_field(cells, known, grid, (10, 16, 24, 32)),
+        "wide shell": lambda: near_known(cells, known, grid, 20.0), "basement step": steps, "isostatic contrast": contrast,
+    }
+    place = cells.select("y", "x", "inside").join(known.select("y", "x", F.lit(True).alias("known")), ["y", "x"], "left")
+    use = F.col("inside") & F.col("known").isNull()
+
+    def masked(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: build().join(place, ["y", "x"]).select("y", "x", F.when(use, F.col("v")).otherwise(F.lit(0.0)).alias("v"))
 
+    return {name: masked(build) for name, build in arms.items()}
 
-def sweep_fields(cells: DataFrame, known: DataFrame, grid: Grid, bands: bool = True, everything: bool = False) -> dict[str, Callable[[], DataFrame]]:
-    """the sweep's fields and their combinations by the largest value."""
-    one = {
-        "H1": lambda: near_known(cells, known, grid), "H2": lambda: tip_extension(cells, known, grid), "H3": lambda: gap_linkage(cells, known, grid),
-        "H4": lambda: parallel_field(cells, known, grid),
+
+def sweep_fields(cells: DataFrame, known: DataFrame, grid: Grid, bands: bool = True, near: bool = False) -> dict[str, Callable[[], DataFrame]]:
+    """the sweep's fields and their composites (F21, of equal weights), each built when called.
+
+    near: the composites of the near-field sweep, which take the composite of H2 to H4 as one part and add one of everything.
+    """
+    def joint(*builds: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: composite(_merge({f"p{k}": b() for k, b in enumerate(builds)}), {f"p{k}": 1.0 for k in range(len(builds))})
+
+    trace = functools.cache(lambda: traced(known, grid))
+    out = {
+        "H1": lambda: near_known(cells, known, grid), "H2": lambda: tip_extension(cells, known, grid, trace=trace()), "H3": lambda: gap_linkage(cells, known, grid, trace=trace()),
+        "H4": lambda: parallel_field(cells, known, grid, trace=trace()),
     }
-    many = lambda *names: (lambda: _largest([one[n]() for n in names]))
-    out = {**one, "H2+H3+H4": many("H2", "H3", "H4"), "H1+H2+H3+H4": many("H1", "H2", "H3", "H4")}
+    out["H2+H3+H4"] = joint(out["H2"], out["H3"], out["H4"])
+    out["H1+H2+H3+H4"] = joint(out["H1"], out["H2+H3+H4"]) if near else joint(out["H1"], out["H2"], out["H3"], out["H4"])
     if bands:
         out["H5"] = lambda: lineament_energy(cells, grid)
-        out["H5+structure"] = lambda: _largest([lineament_energy(cells, grid), one["H2"](), one["H3"](), one["H4"]()])
-    if everything:
-        out["all"] = out["H5+structure"] if bands else out["H1+H2+H3+H4"]
+        out["H5+structure"] = joint(out["H5"], out["H2+H3+H4"])
+        if near:
+            out["all"] = joint(out["H5"], out["H1+H2+H3+H4"])
     return out
-
-

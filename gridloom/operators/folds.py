@@ -50,9 +50,12 @@ def fold_free(known: DataFrame, folds: DataFrame, n: int, grid: Grid, buffer: in
     return near.select("fold", F.col("ty").alias("y"), F.col("tx").alias("x")).distinct()
 
 
-def cut_runs(known: DataFrame, thin: DataFrame, grid: Grid, n_seeds: int = 400, run_radius: float = 6, halfwidth: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """H6: contiguous runs as truth: cells of the thinned mask near seeds, dilated, within what is known; the rest is visible."""
-    seeds = matched_sample(thin.select("y", "x"), n_seeds, F.xxhash64("y", "x", F.lit(seed)))
+def cut_runs(known: DataFrame, thin: DataFrame, grid: Grid, n_seeds: int = 400, run_radius: float = 6, halfwidth: int = 2, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """H6: contiguous runs as truth: cells of the thinned mask near seeds, dilated, within what is known; the rest is visible.
+
+    Seeds are the first n_seeds cells of the thinned mask by key (a hash of the cell unless given).
+    """
+    seeds = matched_sample(thin.select("y", "x"), n_seeds, F.xxhash64("y", "x", F.lit(0)) if key is None else key)
     truth = semi(known.select("y", "x"), dilate(ball(thin, seeds, run_radius), halfwidth, grid))
     return truth, anti(known.select("y", "x"), truth)
 

@@ -1,6 +1,6 @@
 """The distance-weighted Tversky index on sparse tables.
 
-pred: y, x, p. truth and free: y, x. With `by`, all tables carry the grouping columns and a row per group comes back.
+pred: y, x, p. truth and free: y, x. With `by`, tables carry grouping columns and a row per group comes back.
 """
 
 from __future__ import annotations
@@ -31,27 +31,52 @@ def dilate_weighted(pred: DataFrame, grid: Grid | None = None) -> DataFrame:
     return neighbourhood(pred, K.cone(), F.max(F.col("p") * F.col("k")), "reach", grid)
 
 
-def charge(pred: DataFrame, truth: DataFrame, free: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """p * (1 - reach) of every charged dot: a stencil join from the dots, as only truth within the kernel matters."""
-    dots = pred.select(*by, "y", "x", clip_unit(F.col("p")).alias("p")).where("p > 0")
+def _own(table: DataFrame | None, by: tuple[str, ...]) -> list[str]:
+    return [c for c in by if table is not None and c in table.columns]
+
+
+def score(pred: DataFrame, truth: DataFrame, free: DataFrame | None = None, by: tuple[str, ...] = (), groups: DataFrame | None = None) -> DataFrame:
+    """M5, M8, M9: n_truth, tp, fp, fn, dti, one row, or one for each group of `by`.
+
+    Each table may carry some of the grouping columns: dots without a fold are scored against every fold, truth without a bar serves
+    all bars. No table is repeated for the groups it does not tell apart. Truth is scattered once over the kernel's cells (`reach`), and
+    the dots meet it on their own cells: what is charged is the mass of all dots, less that of dots on the free mask, less p * reach of
+    the others. groups: grouping columns of groups that truth may lack.
+
+    M14: without truth, dti and fn are 0 and the whole mass is charged, also on the free mask.
+    """
+    dots = pred.select(*_own(pred, by), "y", "x", clip_unit(F.col("p")).alias("p")).where("p > 0")
+    pby, tby = _own(pred, by), _own(truth, by)
+    fby = _own(free, by)
+    best = stencil_join(truth.select(*tby, "y", "x"), dots, K.cone(), "inner", tuple(c for c in tby if c in pby))
+    each = [c if c in tby else f"r_{c}" for c in by if c in tby or c in pby]
+    tp = best.groupBy(*each, "y", "x").agg(F.max(F.col("r_p") * F.col("k")).alias("c")).groupBy(*each).agg(F.sum("c").alias("tp"))
+    tp = tp.select(*[F.col(e).alias(c) for c, e in zip([c for c in by if c in tby or c in pby], each, strict=True)], "tp")
+    mass = dots.groupBy(*pby).agg(F.sum("p").alias("mass"))
+    near = reach(truth.select(*tby, "y", "x"), tuple(tby))
+    hit = dots.join(near, ["y", "x", *[c for c in pby if c in tby]])
     if free is not None:
-        dots = dots.join(free.select(*by, "y", "x"), [*by, "y", "x"], "left_anti") if by else anti(dots, free)
-    near = stencil_join(dots, truth.select(*by, "y", "x"), K.cone(), "left", by)
-    best = near.groupBy(*by, "y", "x", "p").agg(F.coalesce(F.max(F.when(F.col("r_y").isNotNull(), F.col("k"))), F.lit(0.0)).alias("reach"))
-    return best.withColumn("charge", F.col("p") * (F.lit(1.0) - F.col("reach")))
-
-
-def score(pred: DataFrame, truth: DataFrame, free: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """M5, M8, M9: n_truth, tp, fp, fn, dti, one row (per group of truth). M14: without truth, dti is 0 and every dot is charged."""
-    tp = credit(pred, truth, by).groupBy(*by).agg(F.count("*").alias("n_truth"), F.coalesce(F.sum("credit"), F.lit(0.0)).alias("tp"))
-    fp = charge(pred, truth, free, by).groupBy(*by).agg(F.coalesce(F.sum("charge"), F.lit(0.0)).alias("fp"))
-    both = tp.join(fp, list(by), "left") if by else tp.crossJoin(fp)  # one row each
-    if not by:
-        every = pred.agg(F.coalesce(F.sum(clip_unit(F.col("p"))), F.lit(0.0)).alias("mass"))
-        both = both.crossJoin(every).withColumn("fp", F.when(F.col("n_truth") == 0, F.col("mass")).otherwise(F.col("fp")))
-    both = both.withColumn("fp", F.coalesce("fp", F.lit(0.0))).withColumn("fn", F.col("n_truth") - F.col("tp"))
-    dti = F.when(F.col("n_truth") == 0, F.lit(0.0)).otherwise(K.tversky(F.col("tp"), F.col("fp"), F.col("fn")))
-    return both.select(*by, "n_truth", "tp", "fp", "fn", dti.alias("dti"))
+        mask = free.select(*fby, "y", "x").distinct().withColumn("_free", F.lit(1))
+        spared = dots.join(mask, ["y", "x", *[c for c in pby if c in fby]])
+        spared = spared.groupBy(*[c for c in by if c in pby or c in fby]).agg(F.sum("p").alias("spared"))
+        hit = hit.join(mask, ["y", "x", *[c for c in fby if c in hit.columns]], "left").where("_free is null")
+    met = hit.groupBy(*[c for c in by if c in pby or c in tby]).agg(F.sum(F.col("p") * F.col("reach")).alias("met"))
+    n = truth.groupBy(*tby).agg(F.count("*").alias("n_truth"))
+    # the groups: a few rows each
+    every = groups.select(*[c for c in by if c in groups.columns]).distinct() if groups is not None else n.select(*tby)
+    for part, own in ((mass, pby), (n, tby)):
+        if missing := [c for c in own if c not in every.columns]:
+            every = every.crossJoin(part.select(*missing).distinct())
+    out = every
+    for part in (n, mass, tp, met, *([spared] if free is not None else [])):
+        keys = [c for c in by if c in part.columns]
+        out = out.join(part, keys, "left") if keys else out.crossJoin(part)
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    out = out.select(*by, F.coalesce("n_truth", F.lit(0)).alias("n_truth"), value("mass").alias("mass"), value("tp").alias("tp"), value("met").alias("met"), (value("spared") if free is not None else F.lit(0.0)).alias("spared"))
+    some = F.col("n_truth") > 0
+    out = out.withColumn("fp", F.when(some, F.greatest(F.col("mass") - F.col("spared") - F.col("met"), F.lit(0.0))).otherwise(F.col("mass"))).withColumn("fn", F.col("n_truth") - F.col("tp"))
+    dti = F.when(some, K.tversky(F.col("tp"), F.col("fp"), F.col("fn"))).otherwise(F.lit(0.0))
+    return out.select(*by, "n_truth", "tp", "fp", "fn", dti.alias("dti"))
 
 
 def score_literal(pred: DataFrame, truth: DataFrame, free: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import ship_package
@@ -86,10 +86,21 @@ def leave_one_out(rows: DataFrame, key: str, features: list[str], y: str, lams:
     return rows.select(key, y, *features).crossJoin(tasks).groupBy("lam", "subset").applyInPandas(run, schema)
 
 
-def loo_summary(loo: DataFrame) -> DataFrame:
-    """L3: R squared and RMSE of each penalty and subset."""
+def loo_summary(loo: DataFrame, key: str | None = None) -> DataFrame:
+    """L3: R squared and RMSE of each penalty and subset; with the key also Spearman of prediction and truth, ties in the key's order."""
     e, n = F.col("y") - F.col("pred"), F.count("*")
-    return loo.groupBy("lam", "subset").agg(n.alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.lit(1.0) - F.sum(e * e) / (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / n)).alias("r2"))
+    aggs = [n.alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.lit(1.0) - F.sum(e * e) / (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / n)).alias("r2")]
+    if key:
+        rank = lambda c: F.row_number().over(Window.partitionBy("lam", "subset").orderBy(c, key))  # noqa: E731  a row per artifact
+        loo = loo.withColumn("_p", rank("pred")).withColumn("_t", rank("y"))
+        aggs.append(F.corr("_p", "_t").alias("spearman"))
+    return loo.groupBy("lam", "subset").agg(*aggs)
+
+
+def coefficients(spark: SparkSession, model: Ridge, features: list[str]) -> DataFrame:
+    """L4: feature, nth, weight (per unit of the feature), the largest first."""
+    rows = sorted(((f, float(w / d)) for f, w, d in zip(features, model.weights, model.deviation, strict=True)), key=lambda r: (-abs(r[1]), r[0]))
+    return spark.createDataFrame([(f, k, w) for k, (f, w) in enumerate(rows, 1)], "feature string, nth int, weight double")
 
 
 def hull_clip(model: Ridge, features: list[str], rows: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -153,6 +164,29 @@ def bounded_least_squares(residual: Callable[[np.ndarray], np.ndarray], start: n
     return p
 
 
+def block_inversion(counts: np.ndarray, scores: np.ndarray, areas: np.ndarray, kernel_mass: float, most: float = 0.95) -> dict[str, np.ndarray | float]:
+    """The share of cells of each block that scores imply, for artifacts (rows) with so many cells in each block (columns).
+
+    An artifact earns its cells times the shares, is charged for the rest, and misses what the blocks' areas times the shares hold,
+    over the kernel's mass. share, pred, rmse, corr, and the same figures with each artifact left out: loo, loo_mae, loo_corr.
+    A fit has a few dozen artifacts and as many blocks.
+    """
+    def predict(c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        t, k = n @ c, areas @ c / kernel_mass
+        return t / (0.2 * t + 0.2 * (n @ (1.0 - c)) + 0.8 * k + 1e-12)
+
+    def solve(use: np.ndarray) -> np.ndarray:
+        p = counts.shape[1]
+        return bounded_least_squares(lambda c: predict(c, counts[use]) - scores[use], np.full(p, 0.02), np.zeros(p), np.full(p, most))
+
+    every = np.arange(len(scores))
+    share = solve(every)
+    pred = predict(share, counts)
+    loo = np.array([predict(solve(every[every != k]), counts[k : k + 1])[0] for k in every])
+    corr = lambda x: float(np.corrcoef(x, scores)[0, 1]) if len(scores) > 2 and x.std() > 0 else float("nan")
+    return {"share": share, "pred": pred, "rmse": float(np.sqrt(np.mean((pred - scores) ** 2))), "corr": corr(pred), "loo": loo, "loo_mae": float(np.abs(loo - scores).mean()), "loo_corr": corr(loo)}
+
+
 def loglog_slope(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The slope of ln y on ln x."""
     a, b = F.ln(F.col(x).cast("double")), F.ln(F.col(y).cast("double"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import kernels as K
+from gridloom.functions.quantiles import quantiles
 from gridloom.operators.geometry import max_filter
 from gridloom.operators.stencil import anti, scatter, semi
 from gridloom.session import cut
@@ -30,21 +33,27 @@ def greedy_nms(cells: DataFrame, v: str, spacing: float = 3.0, n: int | None = N
     """Rank, y, x, v: cells in descending v, each blocking all later ones closer than spacing.
 
     Rounds instead of a sequential loop: a candidate that has the best place in its whole disk is accepted, whatever comes before it;
-    then the accepted cells' disks are cleared. The result and its order equal the loop's, and the first n of the order are what a
+    then the accepted cells' disks are cleared. Only the best cell of each square that no two taken cells share is tried. The result and its order equal the loop's, and the first n of the order are what a
     loop that stops at n would give. The pool keeps the best candidates only, as the parameter says.
     """
     order = ranked(cells.select("y", "x", v), *BEST(v), name="place")
     open_ = cut(order.where(F.col("place") <= pool) if pool else order)
     near = K.disk(spacing)
-    taken = None
+    side = max(1, math.ceil(spacing / 2**0.5 - 1e-9))  # no two cells of such a square are both taken: only its best can be
+    rounds: list[DataFrame] = []
     while True:
-        least = scatter(open_, near).groupBy(F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.min("place").alias("least"))
-        won = cut(open_.join(least, ["y", "x"]).where("place = least").select("y", "x", v, "place"))
-        taken = won if taken is None else cut(taken.union(won))
-        gone = scatter(won, near).select(F.col("ty").alias("y"), F.col("tx").alias("x")).distinct()
+        best = open_.groupBy(F.floor(F.col("y") / side), F.floor(F.col("x") / side)).agg(F.min(F.struct("place", "y", "x", v)).alias("s")).select("s.y", "s.x", f"s.{v}", "s.place")
+        rival = scatter(best, near).select("y", "x", F.col("place").alias("mine"), "ty", "tx")
+        beaten = rival.join(open_.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("place").alias("other")), ["ty", "tx"]).where("other < mine").select("y", "x")
+        won = cut(best.join(beaten, ["y", "x"], "left_anti"))
+        rounds.append(won)
+        gone = scatter(won, near).select(F.col("ty").alias("y"), F.col("tx").alias("x"))
         open_ = cut(anti(open_, gone))
         if open_.isEmpty():
             break
+    taken = rounds[0]
+    for won in rounds[1:]:
+        taken = taken.unionByName(won)
     out = ranked(taken, F.col("place").asc(), name="rank").select("rank", "y", "x", v)
     return out.where(F.col("rank") <= n) if n else out
 
@@ -91,11 +100,12 @@ def stratified_select(peaks: DataFrame, v: str, d: str, block: str, edges: list[
     bin_ = sum((F.when(F.col(d) > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0))
     peaks = peaks.withColumn("bin", bin_)
     nth = F.row_number().over(Window.partitionBy("bin", block).orderBy(*BEST(v)))
-    within = Window.partitionBy("bin").orderBy(F.col("nth").asc(), *BEST(v))
     limit = F.array(*[F.lit(max(0, q)) for q in quota])
-    most = max(quota)  # as a literal it lets every task keep only its best rows of a bin or block before the shuffle
+    most = max(quota)  # as a literal it lets every task keep only its best rows of a block before the shuffle
     in_block = peaks.withColumn("nth", nth).where((F.col("nth") <= most) & (F.col("nth") <= limit[F.col("bin")]))
-    first = cut(in_block.withColumn("at", F.row_number().over(within)).where((F.col("at") <= most) & (F.col("at") <= limit[F.col("bin")])).select(*peaks.columns))
+    order = ranked(in_block, F.col("bin").asc(), F.col("nth").asc(), *BEST(v), name="at")  # bins stand one after another
+    start = order.groupBy(F.col("bin").alias("of")).agg(F.min("at").alias("first"))  # a row for each bin
+    first = cut(order.join(F.broadcast(start), F.col("bin") == F.col("of")).where(F.col("at") - F.col("first") < limit[F.col("bin")]).select(*peaks.columns))
     missing = n - first.count()
     if missing <= 0:
         return first
@@ -105,7 +115,7 @@ def stratified_select(peaks: DataFrame, v: str, d: str, block: str, edges: list[
 
 def pool_draw(cells: DataFrame, v: str, q: float, n: int, key: Column) -> DataFrame:
     """N cells by a fixed key out of the best share q; all cells are the pool if that is too small."""
-    floor = cells.agg(F.percentile(v, F.lit(1.0 - q)).alias("_f"))
+    floor = quantiles(cells, v, [1.0 - q]).select(F.col("q0").alias("_f"))
     pool = cells.crossJoin(F.broadcast(floor)).where(F.col(v) >= F.col("_f")).drop("_f")  # a single row
     if pool.count() < n:
         pool = cells

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import quantiles
 from gridloom.operators.geometry import components
 from gridloom.sources.grid import Grid, ranked
 
@@ -31,12 +32,14 @@ def histogram(cells: DataFrame, v: str, edges: list[float], by: tuple[str, ...]
 
 def percentiles(cells: DataFrame, v: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """A4: exact, by linear interpolation; columns p<100 q>."""
-    return cells.groupBy(*by).agg(*[F.percentile(v, F.lit(q)).alias(f"p{round(100 * q)}") for q in qs])
+    names = [f"p{round(100 * q)}" for q in qs]
+    return quantiles(cells, v, qs, by).select(*by, *[F.col(f"q{k}").alias(n) for k, n in enumerate(names)])
 
 
-def median_offset(d: Column, centre: float) -> Column:
-    """A5: median(|d - centre|)."""
-    return F.percentile(F.abs(d - F.lit(centre)), F.lit(0.5))
+def median_offset(cells: DataFrame, d: str, centre: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """A5: mad: median(|d - centre|)."""
+    rows = cells.select(*by, F.abs(F.col(d) - F.lit(centre)).alias("_d"))
+    return quantiles(rows, "_d", [0.5], by).select(*by, F.col("q0").alias("mad"))
 
 
 def block_density(mask: DataFrame, grid: Grid, size: int = 32, by: tuple[str, ...] = ()) -> DataFrame:
@@ -100,17 +103,15 @@ def binary_pearson(n: Column, na: Column, nb: Column, both: Column) -> Column:
 def spearman(rows: DataFrame, a: str, b: str, ties: str = "ordinal", key: str = "id") -> DataFrame:
     """Ordinal ranks (ties by key) or average ranks, then Pearson; rows with a null or NaN are left out, fewer than 3 give null.
 
-    Meant for result tables of bounded size: both ranks are single-partition windows.
+    Ranks are global row numbers of a distributed sort.
     """
     rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
-
-    def rank(c: str) -> Column:
-        if ties == "ordinal":
-            return F.row_number().over(Window.orderBy(c, key)).cast("double")
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / F.lit(2.0)
-
-    ranks = rows.select(rank(a).alias("ra"), rank(b).alias("rb"))
-    return ranks.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("ra", "rb")).alias("spearman"))
+    if ties == "average":
+        ranks = average_ranks(rows.select(key, F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], [key])
+    else:
+        first, second = (ranked(rows.select(key, F.col(c).alias("v")), F.col("v").asc(), F.col(key).asc(), name=f"r_{n}").select(key, f"r_{n}") for n, c in (("a", a), ("b", b)))
+        ranks = first.join(second, key)
+    return ranks.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("r_a", "r_b")).alias("spearman"))
 
 
 def average_ranks(rows: DataFrame, cols: list[str], key: list[str]) -> DataFrame:
@@ -144,9 +145,8 @@ def percentile_lift(ranks: DataFrame, bands: list[str], sets: DataFrame) -> Data
 def distance_profile(sets: DataFrame, distances: DataFrame) -> DataFrame:
     """For each set: count, p10, p50, p90 and the shares within 3 and 10 cells. distances: y, x, dist."""
     rows = sets.join(distances, ["y", "x"])
-    return rows.groupBy("name").agg(
-        F.count("*").alias("n"), *[F.percentile("dist", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)], fraction_within(F.col("dist"), 3).alias("within_3"), fraction_within(F.col("dist"), 10).alias("within_10")
-    )
+    shares = rows.groupBy("name").agg(F.count("*").alias("n"), fraction_within(F.col("dist"), 3).alias("within_3"), fraction_within(F.col("dist"), 10).alias("within_10"))
+    return shares.join(percentiles(rows, "dist", [0.1, 0.5, 0.9], ("name",)), "name", "left").select("name", "n", "p10", "p50", "p90", "within_3", "within_10")
 
 
 def marginals(curve: DataFrame, n: str, t: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -183,8 +183,10 @@ def descriptor_vector(mask: DataFrame, distances: DataFrame, ranks: DataFrame, b
     rows = mask.select("y", "x").join(distances, ["y", "x"]).join(ranks.select("y", "x", *bands), ["y", "x"], "left")
     wide = rows.agg(
         F.count("*").alias("n"), F.log10(F.count("*").cast("double")).alias("log10_n"), *[fraction_within(F.col("dist"), d).alias(f"frac_le_{d}") for d in DISTANCES],
-        *[median_offset(F.col("dist"), d).alias(f"mad_d_{d}") for d in (5, 20)], *[F.avg(b).alias(f"pr_{b}") for b in bands],
+        *[F.avg(b).alias(f"pr_{b}") for b in bands],
     )
+    for d in (5, 20):
+        wide = wide.crossJoin(median_offset(rows, "dist", d).withColumnRenamed("mad", f"mad_d_{d}"))
     extra = component_stats(mask).select("mean_size").crossJoin(occupancy(mask, inside, block).select("occupancy"))
     return wide.crossJoin(extra).where(F.col("n") >= least)  # single rows
 

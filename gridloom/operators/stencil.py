@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.kernels import Offsets, offsets_column
@@ -69,29 +69,63 @@ def range_join(a: DataFrame, b: DataFrame, radius: float, by: tuple[str, ...] =
     return left.join(right, on).where(square <= radius * radius).withColumn("dist", F.sqrt(square.cast("double"))).drop("_by", "_bx")
 
 
-def nearest(a: DataFrame, b: DataFrame, radius: float, k: int = 1, apart: bool = False, most: float | None = None) -> DataFrame:
-    """The k nearest cells of b for each cell of a, ties by (y, x); apart leaves out the cell itself.
+def nearest(a: DataFrame, b: DataFrame, radius: float, k: int = 1, apart: bool = False) -> DataFrame:
+    """Y, x, nth, dist, ny, nx: the k nearest cells of b for each cell of a, ties by (y, x); apart leaves out the cell itself.
 
-    The radius doubles for the cells that have fewer than k within it, until most (or until no cell is left).
+    Cells that have fewer than k within the radius are searched again with twice the radius, up to the diagonal of both tables: there
+    every cell of b is found, so a cell comes back with fewer than k rows only if b has no more. Only the k best pairs of a cell are
+    kept, in the task that finds them as well as in the last one. Cells of a without any partner have no row.
     """
-    out, rest, limit = None, a.select("y", "x"), most or 1e9
+    a, b = cut(a.select(*KEY).distinct()), cut(b.select(*KEY).distinct())
+    box = a.union(b).agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if box[0] is None:
+        return a.select(*KEY, F.lit(1).alias("nth"), F.lit(0.0).alias("dist"), F.col("y").alias("ny"), F.col("x").alias("nx")).limit(0)
+    diagonal = float(np.hypot(box[1] - box[0], box[3] - box[2])) + 1.0
+    order = Window.partitionBy("a_y", "a_x").orderBy("dist", "b_y", "b_x")
+    out, rest = [], a
     while True:
-        pairs = range_join(rest, b.select("y", "x"), radius)
+        radius = min(float(radius), diagonal)
+        pairs = range_join(rest, b, radius)
         if apart:
             pairs = pairs.where("a_y <> b_y or a_x <> b_x")
-        # the k smallest of a group as a bounded aggregate would need a sorted buffer; min_by serves k = 1
-        near = pairs.groupBy(F.col("a_y").alias("y"), F.col("a_x").alias("x")).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", F.col("b_y").alias("ny"), F.col("b_x").alias("nx")))), 1, k).alias("n"))
-        near = cut(near)
-        done = near if radius >= limit else near.where(F.size("n") >= k)
-        out = done if out is None else out.union(done)
+        near = cut(pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k))
+        done = near.groupBy(F.col("a_y").alias("y"), F.col("a_x").alias("x")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*KEY)
+        if radius >= diagonal:
+            out.append(near)
+            break
+        out.append(near.join(done.select(F.col("y").alias("a_y"), F.col("x").alias("a_x")), ["a_y", "a_x"], "left_semi"))
         rest = cut(anti(rest, done))
-        if radius >= limit or rest.isEmpty() or b.count() <= (k if not apart else k):
-            return out.select("y", "x", F.posexplode("n").alias("nth", "s")).select("y", "x", (F.col("nth") + 1).alias("nth"), "s.dist", "s.ny", "s.nx")
-        radius = min(radius * 2, limit)
+        if rest.isEmpty():
+            break
+        radius *= 2
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found.select(F.col("a_y").alias("y"), F.col("a_x").alias("x"), "nth", "dist", F.col("b_y").alias("ny"), F.col("b_x").alias("nx"))
+
+
+class Edge:
+    """The grid's edge as a tile sees it: how much of the arrays lies beyond it, and the rule that fills it."""
+
+    def __init__(self, pad: tuple[tuple[int, int], tuple[int, int]], mode: str):
+        self.pad, self.mode = pad, mode
+
+    def inside(self, a: np.ndarray) -> np.ndarray:
+        """Without what lies beyond the grid's edge."""
+        (top, bottom), (left, right) = self.pad
+        return a[top : a.shape[0] - bottom, left : a.shape[1] - right]
+
+    def fill(self, a: np.ndarray) -> np.ndarray:
+        """An array without the part beyond the edge, with it."""
+        return np.pad(a, self.pad, mode=self.mode)
+
+    def again(self, a: np.ndarray) -> np.ndarray:
+        """The part beyond the edge filled anew: each filter of a chain sees the edge of its own input."""
+        return self.fill(self.inside(a)) if any(n for side in self.pad for n in side) else a
 
 
 def tile_halo_apply(
-    cells: DataFrame, columns: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], outputs: list[str], grid: Grid, halo: int, tile: int = 256, border: str = "reflect", fill: float = 0.0,
+    cells: DataFrame, columns: list[str], fn: Callable[[dict[str, np.ndarray], Edge], dict[str, np.ndarray]], outputs: list[str], grid: Grid, halo: int, tile: int = 256, border: str = "reflect", fill: float = 0.0,
 ) -> DataFrame:
     """Dense windows with halos: fn gets each column as an array of the tile and its halo, and returns arrays of the same shape.
 
@@ -108,13 +142,14 @@ def tile_halo_apply(
         y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
         y1, x1 = min(grid.h, (ty + 1) * tile + halo), min(grid.w, (tx + 1) * tile + halo)
         pad = ((halo if y0 == 0 else 0, halo if y1 == grid.h else 0), (halo if x0 == 0 else 0, halo if x1 == grid.w else 0))
+        edge = Edge(pad, mode)
         iy, ix = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
         arrays = {}
         for c in columns:
             a = np.full((y1 - y0, x1 - x0), fill)
             a[iy, ix] = np.where(np.isnan(v := pdf[c].to_numpy(float)), fill, v)
-            arrays[c] = np.pad(a, pad, mode=mode)
-        found = fn(arrays)
+            arrays[c] = edge.fill(a)
+        found = fn(arrays, edge)
         core = (pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)
         cy, cx = iy[core] + pad[0][0], ix[core] + pad[1][0]
         return pd.DataFrame({"y": pdf["y"][core], "x": pdf["x"][core], **{o: found[o][cy, cx].astype(float) for o in outputs}})

@@ -308,8 +308,6 @@ add(
     "ball_query", lambda c: geometry.ball(c.free, c.truth, 4),
     f"WITH {SETS} SELECT y, x FROM free f WHERE EXISTS (SELECT 1 FROM truth t WHERE (t.y - f.y) * (t.y - f.y) + (t.x - f.x) * (t.x - f.x) <= 16)",
 )
-add("skeleton", lambda c: geometry.skeleton(c.px.where("d >= 5")), None)
-add("local_strike", lambda c: geometry.strike(c.truth, c.grid).select("y", "x", *r6("cos", "sin")), None)
 add(
     "parallel_offsets", lambda c: geometry.parallel_strands(c.px.where("q <= 2").select("y", "x", F.lit(0.6).alias("cos"), F.lit(0.8).alias("sin")), c.truth, c.grid, (4, 6), 3),
     f"""WITH RECURSIVE {SETS}, o AS (SELECT unnest([4, -4, 6, -6]) AS o), m AS (SELECT DISTINCT y, x FROM (SELECT CAST(round_even(y - o * 0.8e0, 0) AS INT) AS y, CAST(round_even(x + o * 0.6e0, 0) AS INT) AS x FROM truth, o), gs
@@ -321,12 +319,12 @@ lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM rea
 
 
 def queries() -> dict[str, Query]:
-    from gridloom.plans import catalog_analysis  # noqa: F401  registers its own
+    from gridloom.plans import catalog_analysis, catalog_fields  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.plans import catalog_analysis  # noqa: F401
+    from gridloom.plans import catalog_analysis, catalog_fields  # noqa: F401
 
     return dict(_SQL)

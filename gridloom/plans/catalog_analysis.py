@@ -18,36 +18,40 @@ add(
     f"""WITH {SETS}, {_TAPS_SQL}, s AS (SELECT y, i - o AS t, d * k AS c FROM px, gs, tp, (SELECT unnest([0, 1, 2]) AS f), LATERAL (SELECT CASE f WHEN 0 THEN x WHEN 1 THEN -x - 1 ELSE 2 * w - 1 - x END AS i))
 SELECT px.y, px.x, round(sum(c), 6) AS blur FROM px JOIN s ON s.y = px.y AND s.t = px.x GROUP BY 1, 2""",
 )
-_NEAR = """n AS (SELECT a.y, a.x, a.v, coalesce(b.v, 0) AS l, coalesce(c.v, 0) AS r, coalesce(d.v, 0) AS u, coalesce(e.v, 0) AS w FROM px a LEFT JOIN px b ON b.y = a.y AND b.x = a.x - 1 LEFT JOIN px c ON c.y = a.y AND c.x = a.x + 1
-  LEFT JOIN px d ON d.x = a.x AND d.y = a.y - 1 LEFT JOIN px e ON e.x = a.x AND e.y = a.y + 1)"""
 add(
-    "sobel", lambda c: filters.sobel_window(c.px.select("y", "x", F.col("d").cast("double").alias("v")), "v").select("y", "x", *r6("gy", "gx")),
-    f"""WITH {PX.replace("max(l_extendedprice) AS v", "max(l_extendedprice) AS ve").replace("px AS", "px0 AS")}, px AS (SELECT y, x, d AS v FROM px0), {_NEAR}, s AS (SELECT y, x, l + 2 * v + r AS sx, u + 2 * v + w AS sy FROM n)
-SELECT a.y, a.x, round(CAST(coalesce(d.sx, 0) - coalesce(u.sx, 0) AS DOUBLE), 6) AS gy, round(CAST(coalesce(r.sy, 0) - coalesce(l.sy, 0) AS DOUBLE), 6) AS gx FROM s a LEFT JOIN s d ON d.x = a.x AND d.y = a.y + 1 LEFT JOIN s u ON u.x = a.x AND u.y = a.y - 1
-LEFT JOIN s r ON r.y = a.y AND r.x = a.x + 1 LEFT JOIN s l ON l.y = a.y AND l.x = a.x - 1""",
+    "smooth_tau", lambda c: filters.smooth(c.px.select("y", "x", (F.col("d") / 10.0).alias("v")), "v", c.grid).select("y", "x", *r6("tau")),
+    f"WITH {SETS}, {CONE} SELECT y + dy AS y, x + dx AS x, round(sum(d / 10.0e0 * k), 6) AS tau FROM px, k, gs WHERE y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND w - 1 GROUP BY px.y + dy, px.x + dx",
 )
+_SCALE6 = "CASE WHEN hi <= lo THEN 0.0e0 ELSE least(greatest((v - lo) / (hi - lo), 0.0e0), 1.0e0) END"
+_SCALE = "CASE WHEN hi <= lo + 1.0e-7 THEN 0.0e0 ELSE least(greatest((v - lo) / (hi - lo), 0.0e0), 1.0e0) END"
+_DIRTY = "CASE WHEN q % 7 = 0 OR q % 5 = 0 THEN NULL ELSE v END AS v"
+
+
+def _dirtied(c: Ctx) -> DataFrame:
+    """v with NaN and sentinels among its values."""
+    return c.px.select("y", "x", "q", F.when(F.col("q") % 7 == 0, F.lit(float("nan"))).when(F.col("q") % 5 == 0, F.lit(-3.4028e38)).otherwise(F.col("v")).alias("v"))
+
+
 add(
-    "gradient", lambda c: filters.gradient(c.px.select("y", "x", F.col("d").cast("double").alias("v")), "v").select("y", "x", *r6("gy", "gx")),
-    f"""WITH {PX} SELECT a.y, a.x, round(coalesce((e.d - d.d) / 2.0e0, CAST(e.d - a.d AS DOUBLE), CAST(a.d - d.d AS DOUBLE), 0.0e0), 6) AS gy, round(coalesce((r.d - l.d) / 2.0e0, CAST(r.d - a.d AS DOUBLE), CAST(a.d - l.d AS DOUBLE), 0.0e0), 6) AS gx
-FROM px a LEFT JOIN px l ON l.y = a.y AND l.x = a.x - 1 LEFT JOIN px r ON r.y = a.y AND r.x = a.x + 1 LEFT JOIN px d ON d.x = a.x AND d.y = a.y - 1 LEFT JOIN px e ON e.x = a.x AND e.y = a.y + 1""",
+    "norm_percentile", lambda c: filters.percentile_scale(_dirtied(c), "v").select("y", "x", *r6("z")),
+    f"WITH {PX}, n AS (SELECT y, x, {_DIRTY} FROM px), c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM n) SELECT y, x, round(CASE WHEN v IS NULL THEN 0.0e0 ELSE {_SCALE6} END, 6) AS z FROM n, c",
 )
 add(
-    "smooth_tau", lambda c: filters.smooth(c.px.select("y", "x", (F.col("d") / 10.0).alias("v")), "v", c.grid).select("y", "x", *r6("tau")),
-    f"WITH {SETS}, {CONE} SELECT y + dy AS y, x + dx AS x, round(sum(d / 10.0e0 * k), 6) AS tau FROM px, k, gs WHERE y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND w - 1 GROUP BY px.y + dy, px.x + dx",
+    "norm_strided", lambda c: filters.percentile_scale(c.px.select("y", "x", "v"), "v", strided=8).select("y", "x", *r6("z")),
+    f"WITH {PX}, c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px WHERE y % 8 = 0 AND x % 8 = 0) SELECT y, x, round({_SCALE}, 6) AS z FROM px, c",
 )
-_SCALE = "CASE WHEN hi <= lo + 1.0e-7 THEN 0.0e0 ELSE least(greatest((v - lo) / (hi - lo), 0.0e0), 1.0e0) END"
-add("norm_percentile", lambda c: filters.percentile_scale(c.px.select("y", "x", "v"), "v").select("y", "x", *r6("z")), f"WITH {PX}, c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px) SELECT y, x, round({_SCALE}, 6) AS z FROM px, c")
-add("norm_strided", lambda c: filters.percentile_scale(c.px.select("y", "x", "v"), "v", strided=8).select("y", "x", *r6("z")), f"WITH {PX}, c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px WHERE y % 8 = 0 AND x % 8 = 0) SELECT y, x, round({_SCALE}, 6) AS z FROM px, c")
-add("norm_masked", lambda c: filters.percentile_scale(c.px.select("y", "x", "v", "q"), "v", F.col("q") > 10).select("y", "x", *r6("z")), f"WITH {PX}, c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px WHERE q > 10) SELECT y, x, round({_SCALE}, 6) AS z FROM px, c")
 add(
-    "pct_rank", lambda c: filters.pct_rank(c.px.select("y", "x", "q"), "q", c.grid.w, F.col("q") > 2).select("y", "x", *r6("pr")),
+    "norm_masked", lambda c: filters.percentile_scale(c.px.select("y", "x", "v", "q"), "v", F.col("q") > 10).select("y", "x", *r6("z")),
+    f"WITH {PX}, c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px WHERE q > 10) SELECT y, x, round({_SCALE6}, 6) AS z FROM px, c",
+)
+add(
+    "pct_rank", lambda c: filters.pct_rank(c.px.select("y", "x", "q"), "q", F.col("q") > 2).select("y", "x", *r6("pr")),
     f"WITH {PX}, r AS (SELECT y, x, (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE) AS pr FROM px WHERE q > 2) SELECT px.y, px.x, round(pr, 6) AS pr FROM px LEFT JOIN r ON r.y = px.y AND r.x = px.x",
 )
-add("rank_transform", lambda c: filters.rank_transform(c.px.select("y", "x", "q"), "q").select("y", "x", *r6("z")))
 add(
     "composite", lambda c: fields.composite(c.px.select("y", "x", F.col("d").cast("double").alias("d"), "v"), {"d": 2.0, "v": 1.0}).select("y", "x", *r6("v")),
     f"""WITH {PX}, c AS (SELECT quantile_cont(d, 0.01) AS dl, quantile_cont(d, 0.99) AS dh, quantile_cont(v, 0.01) AS vl, quantile_cont(v, 0.99) AS vh FROM px WHERE y % 8 = 0 AND x % 8 = 0),
-a AS (SELECT y, x, (2.0e0 * least(greatest((d - dl) / (dh - dl), 0.0e0), 1.0e0) + least(greatest((v - vl) / (vh - vl), 0.0e0), 1.0e0)) / 3.0e0 AS v FROM px, c), s AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM a WHERE y % 8 = 0 AND x % 8 = 0)
+a AS (SELECT y, x, (2.0e0 * least(greatest((d - dl) / (dh - dl), 0.0e0), 1.0e0) + least(greatest((v - vl) / (vh - vl), 0.0e0), 1.0e0)) AS v FROM px, c), s AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM a WHERE y % 8 = 0 AND x % 8 = 0)
 SELECT y, x, round({_SCALE}, 6) AS v FROM a, s""",
 )
 add(
@@ -68,36 +72,6 @@ add(
 )
 
 
-def _band(c: Ctx) -> DataFrame:
-    return c.px.select("y", "x", F.col("d").cast("double").alias("d"), "v")
-
-
-add("gaussian_2d", lambda c: filters.gaussian(_band(c), "v", 2.0, c.grid).select("y", "x", *r6("v")))
-add("detrend", lambda c: filters.detrend(_band(c), "v", 10.0, c.grid).select("y", "x", *r6("v")))
-add("tensor_coherence", lambda c: filters.coherence(_band(c), "v", c.grid).select("y", "x", *r6("v")))
-add("tensor_anisotropy", lambda c: filters.anisotropy(_band(c), "v", c.grid).select("y", "x", *r6("v")))
-add("lineament", lambda c: filters.lineament(_band(c), "v", c.grid).select("y", "x", *r6("v")))
-add("hessian_ridge", lambda c: filters.ridge(_band(c), "v", c.grid).select("y", "x", *r6("v")))
-add("step_edge", lambda c: filters.step_edge(_band(c), "v", c.grid).select("y", "x", *r6("v")))
-add("tip_extension", lambda c: fields.tip_extension(c.px, c.truth, c.grid).select("y", "x", *r6("v")))
-add("gap_linkage", lambda c: fields.gap_linkage(c.px, c.truth, c.grid, kind="tangent").select("y", "x", *r6("v")))
-add("parallel_field", lambda c: fields.parallel_field(c.px, c.truth, c.grid, least=3).select("y", "x", *r6("v")))
-add("lineament_energy", lambda c: fields.lineament_energy(_band(c).withColumnRenamed("v", "tc").withColumnRenamed("d", "rtp"), c.grid).select("y", "x", *r6("v")))
-add("habitat", lambda c: fields.habitat(c.px, c.pred, c.grid).select("y", "x", *r6("v")))
-
-
-def _stack(c: Ctx) -> DataFrame:
-    return c.px.select(
-        "y", "x", F.lit(True).alias("inside"), F.col("v").alias("det_elev"), F.col("d").cast("double").alias("tmi_hg"), F.col("q").cast("double").alias("tc"), (F.col("v") / F.col("q")).alias("depth_to_base_surf"),
-        (F.col("d") * F.col("q")).cast("double").alias("cond_surf"), (F.col("q") % 9).cast("double").alias("tmi_vg"), (F.col("d") % 4).cast("double").alias("iso_grav_anom_hg"), (F.col("q") % 6).cast("double").alias("lid_relief"),
-    )
-
-
-add("screened_composite", lambda c: fields.screened_fields(_stack(c), c.truth, c.grid)["composite"].select("y", "x", *r6("v")))
-add("candidate_habitat", lambda c: fields.candidate_bank(_stack(c), c.truth, c.grid)["measured habitat"]().select("y", "x", *r6("v")))
-add("screen_arm", lambda c: fields.screen_arms(_stack(c), c.truth, c.grid)["wide shell"]().select("y", "x", *r6("v")))
-add("sweep_field", lambda c: fields.sweep_fields(_stack(c), c.truth, c.grid, bands=False)["H2+H3+H4"]().select("y", "x", *r6("v")))
-
 # ---------------------------------------------------------------- selection
 
 add(
@@ -152,8 +126,6 @@ add(
     f"""WITH {SETS}, b AS (SELECT {_block_sql(3)} AS fold, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1, greatest(min(x) - 6, 0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1, count(*) AS n, any_value(h * w) AS total FROM truth, gs GROUP BY 1)
 SELECT fold, y0, y1, x0, x1, (y1 - y0 + 1) * (x1 - x0 + 1) AS area, CAST(greatest(1, round_even(1000.0e0 * ((y1 - y0 + 1) * (x1 - x0 + 1)) / CAST(total AS DOUBLE), 0)) AS INT) AS budget FROM b WHERE n >= 10""",
 )
-add("cut_runs", lambda c: folds.cut_runs(c.px.where("d >= 7"), c.px.where("d >= 7"), c.grid, 40)[0])
-
 # ---------------------------------------------------------------- statistics
 
 add("mask_stats", lambda c: stats.mask_stats(c.px.where("d >= 5"), "v").select("n", *r6("sum", "mean", "min", "max")), f"WITH {PX} SELECT CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS sum, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max FROM px WHERE d >= 5")
@@ -166,7 +138,7 @@ add(
     "distance_percentiles", lambda c: stats.percentiles(geometry.distance(c.px, c.truth, c.grid).join(c.px, ["y", "x"]), "dist", [0.1, 0.5, 0.9], ("d",)).select("d", *r6("p10", "p50", "p90")),
     f"WITH {SETS}, {DIST} SELECT d, round(quantile_cont(dist, 0.1), 6) AS p10, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.9), 6) AS p90 FROM dist JOIN px USING (y, x) GROUP BY 1",
 )
-add("median_offset", lambda c: c.px.groupBy("d").agg(F.round(stats.median_offset(F.col("v"), 40000.0), 6).alias("mad")), f"WITH {PX} SELECT d, round(quantile_cont(abs(v - 40000.0e0), 0.5), 6) AS mad FROM px GROUP BY 1")
+add("median_offset", lambda c: stats.median_offset(c.px, "v", 40000.0, ("d",)).select("d", *r6("mad")), f"WITH {PX} SELECT d, round(quantile_cont(abs(v - 40000.0e0), 0.5), 6) AS mad FROM px GROUP BY 1")
 add(
     "block_density", lambda c: stats.block_density(c.pred, c.grid).select("bi", "bj", *r6("density")),
     f"WITH {SETS} SELECT CAST(y // 32 AS INT) AS bi, CAST(x // 32 AS INT) AS bj, round(count(*) / CAST(any_value(least(32, h - (y // 32) * 32) * least(32, w - (x // 32) * 32)) AS DOUBLE), 6) AS density FROM pred, gs GROUP BY 1, 2",
@@ -196,7 +168,7 @@ add(
 
 
 def _ranks(c: Ctx) -> DataFrame:
-    return filters.pct_rank(filters.pct_rank(c.px, "v", c.grid.w, out="pv"), "q", c.grid.w, out="pq")
+    return c.px.join(filters.rank_columns(c.px, {"v": "pv", "q": "pq"}), ["y", "x"], "left")
 
 
 def _sets(c: Ctx) -> DataFrame:

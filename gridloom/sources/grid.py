@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.quantiles import column_quantiles
 from gridloom.functions.scalars import clip_unit, in_support, is_finite, nodata_to_null
 
 
@@ -75,9 +76,9 @@ def load_stack(bands: dict[str, DataFrame], labels: DataFrame, label: str = "lab
 
 def median_fill(cells: DataFrame, cols: list[str], inside: Column) -> DataFrame:
     """Nodata becomes the band's median inside the footprint."""
-    medians = cells.agg(*[F.percentile(F.when(inside, nodata_to_null(F.col(c))), F.lit(0.5)).alias(f"m_{c}") for c in cols])
+    medians = column_quantiles(cells, {f"m{k}": F.when(inside, nodata_to_null(F.col(c))) for k, c in enumerate(cols)}, [0.5])
     out = cells.crossJoin(F.broadcast(medians))  # a single row
-    return out.select(*[F.coalesce(nodata_to_null(F.col(c)), F.col(f"m_{c}")).alias(c) if c in cols else F.col(c) for c in cells.columns])
+    return out.select(*[F.coalesce(nodata_to_null(F.col(c)), F.col(f"m{cols.index(c)}_q0")).alias(c) if c in cols else F.col(c) for c in cells.columns])
 
 
 def union_masks(*masks: DataFrame) -> DataFrame:
@@ -173,13 +174,49 @@ def write_archive(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").option("compression", "gzip").parquet(path)
 
 
-def assemble_parts(spark: SparkSession, path: str, digests: dict[str, str] | None = None) -> DataFrame:
-    """The concatenation of split parts in name order, per stem (name without its last suffix), and whether the digest is right."""
-    parts = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "path", "content")
-    whole = parts.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("p"))
-    whole = whole.select("stem", F.size("p").alias("n_parts"), F.aggregate("p", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("content"))
-    known = F.create_map(*[F.lit(y) for x in (digests or {"": ""}).items() for y in x])
-    return whole.select("stem", "n_parts", "content", F.sha2("content", 256).alias("sha256"), (F.coalesce(known[F.col("stem")], F.lit("")) == F.sha2("content", 256)).alias("verified"))
+def assemble_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of split files in name order: stem (the name without its last suffix), part, offset, length, content.
+
+    A stem's bytes are its parts' contents by offset; they stay rows, so that a file of any size can be read and written.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    parts = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.regexp_extract("path", r"([^/]+)$", 1).alias("part"), "length", "content")
+    before = Window.partitionBy("stem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("stem", "part", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return parts.join(offsets, ["stem", "part"]).select("stem", "part", "offset", "length", "content")
+
+
+def verify_parts(parts: DataFrame, digests: dict[str, str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Name (an alias of the stem, if there is one), n_parts, length, sha256 and whether it is the expected one.
+
+    A stem's parts pass one task in order, and its digest is brought up to date part by part: none is ever put together.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        stem, sha, n, size = None, None, 0, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([stem]), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([sha.hexdigest()])], names=["stem", "n_parts", "length", "sha256"])
+
+        for batch in batches:
+            for s, c in zip(batch.column("stem").to_pylist(), batch.column("content"), strict=True):
+                if s != stem:
+                    if stem is not None:
+                        yield row()
+                    stem, sha, n, size = s, hashlib.sha256(), 0, 0
+                body = c.as_buffer()
+                sha.update(body)
+                n, size = n + 1, size + body.size
+        if stem is not None:
+            yield row()
+
+    order = parts.select("stem", "offset", "part", "content").repartition("stem").sortWithinPartitions("stem", "offset", "part").select("stem", "content")
+    whole = order.mapInArrow(run, "stem string, n_parts long, length long, sha256 string")
+    pick = lambda table, default: F.coalesce(F.create_map(*[F.lit(y) for x in (table or {"": ""}).items() for y in x])[F.col("stem")], default)
+    return whole.select(pick(aliases, F.col("stem")).alias("name"), "n_parts", "length", "sha256", (pick(digests, F.lit("")) == F.col("sha256")).alias("verified"))
 
 
 def listing(files: DataFrame, suffix: str = ".tif", least: int = 1, most: int = 1 << 40, folders: list[str] | None = None) -> DataFrame:
@@ -208,9 +245,31 @@ def report_table(rows: DataFrame, columns: list[str], limit: int) -> str:
     return f"<table><tr>{''.join(f'<th>{esc(c)}</th>' for c in columns)}</tr>{body}</table>"
 
 
-def output_name(stem: str, digest: str, when: str) -> str:
-    """A name that tells the time and the code that made the output."""
-    return f"{stem}-{when}-{digest[:8]}"
+def stamp(when: Column) -> Column:
+    """A time of day in UTC as it stands in names."""
+    return F.date_format(when, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def output_name(stem: Column, digest: Column, when: Column) -> Column:
+    """A name that tells the time and the code that made the output; for now, when is current_timestamp()."""
+    return F.concat_ws("-", stem, stamp(when), F.substring(digest, 1, 8))
+
+
+def find_files(entries: DataFrame, files: DataFrame, folders: list[str], name: str = "name") -> DataFrame:
+    """Each registry entry with the path of its file: the first of the folders that holds one of that name, else null.
+
+    files: path, as `spark.read.format("binaryFile")` lists them; folders: a fixed list, in the order they are tried.
+    """
+    at = F.array_position(F.array(*[F.lit(f) for f in folders]), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    found = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"), F.struct(at.alias("at"), F.col("path").alias("path")).alias("_f")).where(F.col("_f.at") > 0)
+    first = found.groupBy("_name").agg(F.min("_f").alias("_f"))
+    return entries.join(first, entries[name] == first["_name"], "left").select(*[entries[c] for c in entries.columns], F.col("_f.path").alias("path"))
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with the table's columns for their key; the first row of a key counts, and a key that is missing gives nulls."""
+    first = table.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*columns)).alias("_first"))
+    return rows.join(first, rows[key] == first["_key"], "left").select(*[rows[c] for c in rows.columns], *[F.col(f"_first.{c}").alias(c) for c in columns])
 
 
 def row_major(grid_w: int) -> Column:
@@ -221,16 +280,15 @@ def row_major(grid_w: int) -> Column:
 def ranked(df: DataFrame, *order: Column, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """A global row number from 1, without moving all rows to one partition.
 
-    Rows are range-partitioned by the order, numbered within each partition, and shifted by the sizes of the partitions before
-    (a row per partition).
+    Rows are range-partitioned by the order, numbered within each partition as they are written, and shifted by the sizes of the
+    partitions before (a row per partition): one shuffle.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     from gridloom.session import cut
 
     placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    within = Window.partitionBy("_part").orderBy("_at")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    numbered = placed.withColumn("_nth", F.row_number().over(within))
-    return numbered.join(F.broadcast(base), F.col("_part") == F.col("_of")).withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_at", "_nth", "_of", "_base")
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1  # the low bits of the id count within the partition
+    return placed.join(F.broadcast(base), F.col("_part") == F.col("_of")).withColumn(name, F.col("_base") + nth).drop("_part", "_at", "_of", "_base")
