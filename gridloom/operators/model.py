@@ -72,7 +72,7 @@ def leave_one_out(rows: DataFrame, key: str, features: list[str], y: str, lams:
     tasks = rows.sparkSession.createDataFrame(grid, "lam double, subset string")
     ship_package(rows.sparkSession)
 
-    def run(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x, t = pdf[subsets[group[1]]].to_numpy(float), pdf[y].to_numpy(float)
         out = np.empty(len(t))

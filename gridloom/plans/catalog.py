@@ -122,9 +122,7 @@ s AS (SELECT fold, n_truth, tp, fp FROM (SELECT fold, CAST(count(*) AS BIGINT) A
 
 def _fold_scores(c: Ctx) -> DataFrame:
     ft = folds.fold_cells(c.truth, 3, c.grid, least=10)
-    names = ft.select("fold").distinct()
-    pred = c.pred.crossJoin(F.broadcast(names))  # nine folds
-    return metric.score(pred, ft, folds.fold_free(c.truth, ft, 3, c.grid), ("fold",))
+    return metric.score(c.pred, ft, folds.fold_free(c.truth, ft, 3, c.grid), ("fold",))
 
 
 add("dti_by_fold", lambda c: _row(_fold_scores(c), "fold"), f"{FOLD_SCORE} SELECT fold, {ROW} FROM s")
@@ -264,15 +262,25 @@ add(
     f"""WITH {SETS} SELECT a.y AS a_y, a.x AS a_x, b.y AS b_y, b.x AS b_x, round(sqrt(CAST((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS DOUBLE)), 6) AS dist
 FROM truth a JOIN truth b ON b.y BETWEEN a.y - 6 AND a.y + 6 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 36 WHERE a.y < b.y OR (a.y = b.y AND a.x < b.x)""",
 )
-add(
-    "bridge_segments", lambda c: geometry.bridges(c.px.where("q <= 1").select("y", "x", F.lit(0.8).alias("cos"), F.when(F.col("d") >= 5, F.lit(0.6)).otherwise(F.lit(-0.6)).alias("sin")), c.grid, 14, 35.0, both_ways=True),
-    f"""WITH {SETS}, e AS (SELECT y, x, 0.8e0 AS c, CASE WHEN d >= 5 THEN 0.6e0 ELSE -0.6e0 END AS s FROM px WHERE q <= 1),
+def _bridge_sql(both_ways: bool) -> str:
+    ab = "abs" if both_ways else ""
+    return f"""WITH {SETS}, e AS (SELECT y, x, 0.8e0 AS c, CASE WHEN d >= 5 THEN 0.6e0 ELSE -0.6e0 END * CASE WHEN q <= 1 AND d % 2 = 0 THEN 1 ELSE -1 END AS s FROM px WHERE q <= 1),
 pr AS (SELECT a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, a.c AS ac, a.s AS as_, b.c AS bc, b.s AS bs, sqrt(CAST((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS DOUBLE)) AS r
   FROM e a JOIN e b ON (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 196 AND (a.y < b.y OR (a.y = b.y AND a.x < b.x))),
-ok AS (SELECT *, CAST(ceil(r) AS INT) AS n FROM pr WHERE abs(ac * ((by_ - ay) / r) + as_ * ((bx - ax) / r)) >= cos(radians(35.0e0)) AND abs(bc * ((by_ - ay) / r) + bs * ((bx - ax) / r)) >= cos(radians(35.0e0)))
-SELECT DISTINCT y, x FROM (SELECT CAST(round_even(ay + (by_ - ay) * (i / CAST(n AS DOUBLE)), 0) AS INT) AS y, CAST(round_even(ax + (bx - ax) * (i / CAST(n AS DOUBLE)), 0) AS INT) AS x FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM ok)), gs
-WHERE y BETWEEN 0 AND h - 1 AND x BETWEEN 0 AND w - 1""",
-)
+ok AS (SELECT *, CAST(ceil(r) AS INT) AS n FROM pr
+  WHERE {ab}(ac * ((by_ - ay) / r) + as_ * ((bx - ax) / r)) >= cos(radians(35.0e0)) AND {ab}(-(bc * ((by_ - ay) / r) + bs * ((bx - ax) / r))) >= cos(radians(35.0e0)))
+SELECT DISTINCT y, x FROM (
+  SELECT CAST(round_even(ay + (by_ - ay) * (i / CAST(n AS DOUBLE)), 0) AS INT) AS y, CAST(round_even(ax + (bx - ax) * (i / CAST(n AS DOUBLE)), 0) AS INT) AS x
+  FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM ok)), gs WHERE y BETWEEN 0 AND h - 1 AND x BETWEEN 0 AND w - 1"""
+
+
+def _bridge_ends(c: Ctx) -> DataFrame:
+    sign = F.when(F.col("d") % 2 == 0, 1.0).otherwise(-1.0)
+    return c.px.where("q <= 1").select("y", "x", F.lit(0.8).alias("cos"), (F.when(F.col("d") >= 5, F.lit(0.6)).otherwise(F.lit(-0.6)) * sign).alias("sin"))
+
+
+add("bridge_segments", lambda c: geometry.bridges(_bridge_ends(c), c.grid, 14, 35.0, both_ways=True), _bridge_sql(True))
+add("bridge_segments_signed", lambda c: geometry.bridges(_bridge_ends(c).withColumn("cos", F.when(F.col("x") % 2 == 0, F.lit(-0.8)).otherwise(F.lit(0.8))), c.grid, 14, 35.0), _bridge_sql(False).replace("0.8e0 AS c", "CASE WHEN x % 2 = 0 THEN -0.8e0 ELSE 0.8e0 END AS c"))
 
 
 def _labelled(c: Ctx) -> DataFrame:
@@ -291,11 +299,18 @@ add(
     _comp_sql(", s AS (SELECT label, count(*) AS n FROM lab GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS components, CAST(max(n) AS BIGINT) AS max_size, round(avg(n), 6) AS mean_size, round(100.0e0 * avg(CASE WHEN n = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_single FROM s"),
 )
 add("large_components", lambda c: geometry.large_components(c.truth, 3), _comp_sql("SELECT y, x FROM lab WHERE label IN (SELECT label FROM lab GROUP BY 1 HAVING count(*) >= 3)", eight=False))
-add(
-    "nearest_neighbour", lambda c: stencil.nearest(c.truth, c.truth, 8, apart=True).select("y", "x", *r6("dist"), "ny", "nx"),
-    f"""WITH {SETS}, p AS (SELECT a.y, a.x, b.y AS ny, b.x AS nx, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS s, row_number() OVER (PARTITION BY a.y, a.x ORDER BY (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x), b.y, b.x) AS n
-FROM truth a JOIN truth b ON a.y <> b.y OR a.x <> b.x) SELECT y, x, round(sqrt(CAST(s AS DOUBLE)), 6) AS dist, ny, nx FROM p WHERE n = 1""",
-)
+def _nearest_sql(a: str, b: str, k: int, apart: bool) -> str:
+    on = "a.y <> b.y OR a.x <> b.x" if apart else "true"
+    return f"""WITH {SETS}, p AS (SELECT a.y, a.x, b.y AS ny, b.x AS nx, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS s FROM ({a}) a JOIN ({b}) b ON {on}),
+n AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY s, ny, nx) AS nth FROM p)
+SELECT y, x, CAST(nth AS INT) AS nth, round(sqrt(CAST(s AS DOUBLE)), 6) AS dist, ny, nx FROM n WHERE nth <= {k}"""
+
+
+_T, _FEW = "SELECT y, x FROM truth", "SELECT y, x FROM px WHERE q = 1 AND d = 10 AND y % 3 = 0"
+_near = lambda df: df.select("y", "x", "nth", *r6("dist"), "ny", "nx")
+add("nearest_neighbour", lambda c: _near(stencil.nearest(c.truth, c.truth, 8, apart=True)), _nearest_sql(_T, _T, 1, True))
+add("nearest_two", lambda c: _near(stencil.nearest(c.truth, c.truth, 4, k=2)), _nearest_sql(_T, _T, 2, False))
+add("nearest_of_few", lambda c: _near(stencil.nearest(c.truth, c.px.where("q = 1 and d = 10 and y % 3 = 0"), 2, k=3)), _nearest_sql(_T, _FEW, 3, False))
 add(
     "bbox_by_block", lambda c: geometry.bbox(c.truth.withColumn("block", folds.block_column(3, c.grid)), c.grid, 6, ("block",)),
     f"WITH {SETS} SELECT {_block_sql(3)} AS block, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1, greatest(min(x) - 6, 0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1 FROM truth, gs GROUP BY 1",
@@ -319,12 +334,12 @@ lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM rea
 
 
 def queries() -> dict[str, Query]:
-    from gridloom.plans import catalog_analysis, catalog_fields  # noqa: F401  they register their own
+    from gridloom.plans import catalog_analysis, catalog_fields, catalog_similarity, catalog_sources  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.plans import catalog_analysis, catalog_fields  # noqa: F401
+    from gridloom.plans import catalog_analysis, catalog_fields, catalog_similarity, catalog_sources  # noqa: F401
 
     return dict(_SQL)

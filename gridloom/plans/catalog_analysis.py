@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import kernels as K
 from gridloom.operators import fields, filters, folds, geometry, metric, model, select, similarity, stats, stencil
 from gridloom.plans.catalog import ART, CONE, DIST, PX, SETS, Ctx, _block_sql, _on, add, query, r6
 from gridloom.sources import grid as G
@@ -79,8 +80,19 @@ add(
     f"""WITH {SETS}, o AS (SELECT * FROM px p WHERE v > 60000.0e0 AND NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x))
 SELECT y, x, 1.0e0 AS p FROM (SELECT y, x, row_number() OVER (PARTITION BY y // 3, x // 3 ORDER BY v DESC, y, x) AS n FROM o) WHERE n = 1 UNION ALL SELECT y, x, 1.0e0 FROM px JOIN free USING (y, x) WHERE v > 0""",
 )
-add("greedy_nms", lambda c: select.greedy_nms(c.px, "v", 3.0))
-add("greedy_prefix", lambda c: select.prefix(select.greedy_nms(c.px, "v", 3.0), 500))
+#: Rounds of a recursive query: a cell next to a taken one goes, a cell before all its open neighbours is taken.
+_GREEDY = f"""WITH RECURSIVE {PX}, o AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx < 9),
+st(step, place, y, x, s) AS (
+  SELECT 0, row_number() OVER (ORDER BY v DESC, y, x), y, x, 0 FROM px
+  UNION ALL
+  SELECT step + 1, place, y, x, CASE WHEN s = 1 OR least = place THEN 1 ELSE 0 END FROM (
+    SELECT a.step, a.place, a.y, a.x, a.s, min(CASE WHEN b.s = 0 THEN b.place END) AS least, max(CASE WHEN b.s = 1 AND b.place <> a.place THEN 1 ELSE 0 END) AS beaten, any_value(u.n) AS n
+    FROM st a CROSS JOIN o JOIN st b ON b.y = a.y + o.dy AND b.x = a.x + o.dx CROSS JOIN (SELECT count(*) FILTER (s = 0) AS n FROM st) u GROUP BY 1, 2, 3, 4, 5)
+  WHERE n > 0 AND (s = 1 OR beaten = 0)),
+g AS (SELECT row_number() OVER (ORDER BY place) AS rank, y, x FROM st WHERE step = (SELECT max(step) FROM st))
+SELECT rank, y, x, v FROM g JOIN px USING (y, x)"""
+add("greedy_nms", lambda c: select.greedy_nms(c.px, "v", 3.0), _GREEDY)
+add("greedy_prefix", lambda c: select.prefix(select.greedy_nms(c.px, "v", 3.0), 500), _GREEDY + " WHERE rank <= 500")
 add("topk_cap", lambda c: select.top(c.px.select("y", "x", "v"), "v", 1000), f"WITH {PX} SELECT y, x, v FROM px ORDER BY v DESC, y, x LIMIT 1000")
 _BLOCKED = "b AS (SELECT y, x, v, CAST((y // 100) * 40 + x // 100 AS INT) AS block FROM px)"
 add(
@@ -205,13 +217,20 @@ add(
 SELECT fold, n, round(t, 6) AS t, round((t - t0) / (n - n0), 6) AS marginal, round(CASE WHEN t0 > 0 AND t > 0 THEN ln(t / t0) / ln(CAST(n AS DOUBLE) / n0) END, 6) AS elasticity FROM l""",
 )
 add("loglog_slope", lambda c: model.loglog_slope(_curve(c), "n", "t", ("fold",)).select("fold", *r6("slope")), f"{_CURVE} SELECT fold, round(regr_slope(ln(t), ln(n)), 6) AS slope FROM cv WHERE t > 0 GROUP BY 1")
+_FRACTIONS = ", ".join(f"round(avg(CASE WHEN dist <= {d} THEN 1.0e0 ELSE 0.0e0 END), 6) AS frac_le_{d}" for d in stats.DISTANCES)
+_DESCRIBED = ["log10_n", *[f"frac_le_{d}" for d in stats.DISTANCES], "mad_d_5", "mad_d_20", "pr_pv", "pr_pq", "mean_size", "occupancy"]
 add(
-    "descriptor_vector", lambda c: stats.descriptor_vector(c.truth, geometry.distance(c.px, c.free, c.grid), _ranks(c), ["pv", "pq"], c.px, folds.fixed_block(10, 100)).select("n", *r6("log10_n", "frac_le_3", "mad_d_5", "pr_pv", "pr_pq", "mean_size", "occupancy")),
-    f"""WITH RECURSIVE {SETS}, {_RANKS_SQL}, dist AS (SELECT px.y, px.x, min(sqrt((px.y - t.y) * (px.y - t.y) + (px.x - t.x) * (px.x - t.x))) AS dist FROM px, free t GROUP BY 1, 2),
+    "descriptor_vector",
+    lambda c: stats.descriptor_vector(c.truth, geometry.distance(c.px, c.free, c.grid), _ranks(c), ["pv", "pq"], c.px, folds.fixed_block(10, 100)).select("n", *r6(*_DESCRIBED)),
+    f"""WITH RECURSIVE {SETS}, {_RANKS_SQL},
+dist AS (SELECT px.y, px.x, min(sqrt((px.y - t.y) * (px.y - t.y) + (px.x - t.x) * (px.x - t.x))) AS dist FROM px, free t GROUP BY 1, 2),
 reach(y, x, ry, rx) AS (SELECT y, x, y, x FROM truth UNION SELECT r.y, r.x, n.y, n.x FROM reach r JOIN truth n ON n.y BETWEEN r.ry - 1 AND r.ry + 1 AND n.x BETWEEN r.rx - 1 AND r.rx + 1),
 lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM reach GROUP BY 1, 2), s AS (SELECT count(*) AS n FROM lab GROUP BY label)
-SELECT count(*) AS n, round(log10(count(*)), 6) AS log10_n, round(avg(CASE WHEN dist <= 3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS frac_le_3, round(quantile_cont(abs(dist - 5), 0.5), 6) AS mad_d_5, round(avg(pv), 6) AS pr_pv, round(avg(pq), 6) AS pr_pq,
-(SELECT round(avg(n), 6) FROM s) AS mean_size, round((SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM truth) / CAST((SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM px) AS DOUBLE), 6) AS occupancy FROM truth JOIN dist USING (y, x) JOIN pr USING (y, x)""",
+SELECT count(*) AS n, round(log10(count(*)), 6) AS log10_n, {_FRACTIONS},
+  round(quantile_cont(abs(dist - 5), 0.5), 6) AS mad_d_5, round(quantile_cont(abs(dist - 20), 0.5), 6) AS mad_d_20, round(avg(pv), 6) AS pr_pv, round(avg(pq), 6) AS pr_pq,
+  (SELECT round(avg(n), 6) FROM s) AS mean_size,
+  round((SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM truth) / CAST((SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM px) AS DOUBLE), 6) AS occupancy
+FROM truth JOIN dist USING (y, x) JOIN pr USING (y, x)""",
 )
 
 # ---------------------------------------------------------------- similarity
@@ -234,47 +253,20 @@ add(
     f"WITH {SETS}, {ART}, py AS (SELECT * FROM art p WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x)), s AS (SELECT (SELECT count(*) FROM py WHERE a = 1) AS na, (SELECT count(*) FROM py WHERE a = 2) AS nb, (SELECT count(*) FROM py u JOIN py v USING (y, x) WHERE u.a = 1 AND v.a = 2) AS i) SELECT {COUNTS}, {AGREE} FROM s",
 )
 add(
-    "all_pairs_overlap", lambda c: similarity.all_pairs(_art(c), c.grid).select("a", "b", "n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a", "pearson")),
-    f"""WITH {SETS}, {PAIRS} SELECT a, b, {COUNTS}, {AGREE}, round((CAST(h * w AS DOUBLE) * i - CAST(na AS DOUBLE) * nb) / sqrt(CAST(na AS DOUBLE) * (h * w - na) * nb * (h * w - nb)), 6) AS pearson FROM pr, gs""",
+    "all_pairs_overlap", lambda c: similarity.all_pairs(_art(c), c.grid).select("a", "b", "n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a", "pearson", "pearson_support")),
+    f"""WITH {SETS}, {PAIRS} SELECT a, b, {COUNTS}, {AGREE}, round((CAST(h * w AS DOUBLE) * i - CAST(na AS DOUBLE) * nb) / sqrt(CAST(na AS DOUBLE) * (h * w - na) * nb * (h * w - nb)), 6) AS pearson,
+round((CAST(i AS DOUBLE) * (na + nb - i) - CAST(na AS DOUBLE) * nb) / sqrt(CAST(na AS DOUBLE) * (nb - i) * nb * (na - i)), 6) AS pearson_support FROM pr, gs""",
 )
 add(
     "binary_pearson", lambda c: c.px.agg(F.count("*").alias("n"), F.count_if(F.col("d") >= 5).alias("na"), F.count_if(F.col("q") > 20).alias("nb"), F.count_if((F.col("d") >= 5) & (F.col("q") > 20)).alias("i")).select(F.round(stats.binary_pearson(F.col("n"), F.col("na"), F.col("nb"), F.col("i")), 6).alias("pearson")),
     f"WITH {PX} SELECT round(corr((d >= 5)::INT, (q > 20)::INT), 6) AS pearson FROM px",
 )
-add(
-    "containment_chain", lambda c: similarity.containment_chain(_art(c).union(_art(c).where("a = 1 and p >= 0.7").withColumn("a", F.lit(9))), c.free).drop("same_payload"),
-    f"""WITH {SETS}, {ART.replace("art AS", "art0 AS")}, art AS (SELECT * FROM art0 UNION ALL SELECT 9, y, x, p FROM art0 WHERE a = 1 AND p >= 0.7e0), n AS (SELECT a, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM free f WHERE f.y = art.y AND f.x = art.x)) AS fn FROM art GROUP BY 1),
-m AS (SELECT u.a AS i, v.a AS o, count(*) AS c, count(*) FILTER (EXISTS (SELECT 1 FROM free f WHERE f.y = u.y AND f.x = u.x)) AS fc FROM art u JOIN art v ON u.y = v.y AND u.x = v.x AND u.a <> v.a GROUP BY 1, 2)
-SELECT i AS "inner", o AS "outer", a.n AS n_inner, b.n AS n_outer, b.n - c AS added, b.fn - fc AS added_on_free FROM m JOIN n a ON a.a = i JOIN n b ON b.a = o WHERE c >= 0.999e0 * a.n AND a.n <= b.n""",
-)
 add(
     "bound_prune", lambda c: similarity.pair_table(_art(c)).select("a", "b", similarity.bound_prune(F.col("na"), F.col("nb"), F.col("a") == 1, F.lit(False)).alias("compared")),
     f"WITH {PAIRS} SELECT a, b, a = 1 OR 2.0e0 * least(na, nb) / greatest(na + nb, 1) >= 0.75e0 AS compared FROM pr",
 )
 
 
-def _gate(c: Ctx, mode: str) -> tuple[DataFrame, DataFrame]:
-    art = _art(c)
-    registry = art.select("a").distinct().withColumn("score", F.when(F.col("a") % 2 == 1, F.col("a") / 10.0))
-    candidate = art.where("a = 2").select("y", "x", "p")
-    return similarity.gate(candidate, registry.where("a <> 2"), art.where("a <> 2"), c.grid, c.free if mode == "reference" else None, mode)
-
-
-_GATE = f"""WITH {SETS}, {ART}, c AS (SELECT y, x, p FROM art WHERE a = 2), e AS (SELECT * FROM art WHERE a <> 2),
-py AS (SELECT * FROM art p WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x)),
-r AS (SELECT e.a, (SELECT count(*) FROM c) AS na, count(*) AS nb, count(c.p) AS i, sum(e.p) AS sb, sum(e.p * e.p) AS sbb, sum(coalesce(c.p, 0.0e0) * e.p) AS sab, (SELECT sum(p) FROM c) AS sa, (SELECT sum(p * p) FROM c) AS saa FROM e LEFT JOIN c ON c.y = e.y AND c.x = e.x GROUP BY 1),
-pa AS (SELECT a, count(*) AS payload_b, count(*) FILTER (EXISTS (SELECT 1 FROM c WHERE c.y = py.y AND c.x = py.x)) AS pi FROM py WHERE a <> 2 GROUP BY 1),
-g AS (SELECT CAST(r.a AS VARCHAR) AS a, {COUNTS}, {AGREE}, round((sab - sa * sb / (na + nb - i)) / sqrt((saa - sa * sa / (na + nb - i)) * (sbb - sb * sb / (na + nb - i))), 6) AS pearson_support, payload_b, round(2.0e0 * pi / (payload_b + (SELECT count(*) FROM py WHERE a = 2)), 6) AS payload_dice FROM r JOIN pa USING (a))"""
-add(
-    "duplicate_gate", lambda c: _gate(c, "reference")[0].where("compared").select("a", "n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a", "pearson_support"), "payload_b", *r6("payload_dice")),
-    f"{_GATE} SELECT * FROM g WHERE CAST(a AS INT) % 2 = 1 OR 2.0e0 * least(n_a, n_b) / (n_a + n_b) >= 0.75e0",
-)
-add(
-    "gate_verdict", lambda c: _gate(c, "reference")[1].select("duplicate", "near_raw", "near_final", "near_payload", "subset", F.round("max_dice", 6).alias("max_dice"), "allowed"),
-    f"{_GATE}, h AS (SELECT * FROM g WHERE CAST(a AS INT) % 2 = 1 OR 2.0e0 * least(n_a, n_b) / (n_a + n_b) >= 0.75e0) SELECT CAST(0 AS BIGINT) AS duplicate, count(*) FILTER (pearson_support >= 0.98) AS near_raw, count(*) FILTER (dice >= 0.95) AS near_final, count(*) FILTER (payload_dice >= 0.95) AS near_payload, CAST(0 AS BIGINT) AS subset, max(dice) AS max_dice, count(*) FILTER (pearson_support >= 0.98 OR payload_dice >= 0.95) = 0 AS allowed FROM h",
-)
-add("strict_gate", lambda c: _gate(c, "strict")[0].select("a", "n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a", "pearson_support")), f"{_GATE} SELECT * EXCLUDE (payload_b, payload_dice) FROM g")
-add("classify_pairs", lambda c: similarity.classify(similarity.all_pairs(_art(c), c.grid)).select("a", "b", "kind"), f"WITH {PAIRS} SELECT a, b, CASE WHEN 2.0e0 * i / (na + nb) >= 1 THEN 'duplicate' WHEN 2.0e0 * i / (na + nb) >= 0.95 THEN 'near duplicate' WHEN i / CAST(least(na, nb) AS DOUBLE) >= 0.999 THEN 'nested' WHEN 2.0e0 * i / (na + nb) >= 0.5 THEN 'related' ELSE 'independent' END AS kind FROM pr")
 add(
     "registry_summary", lambda c: similarity.registry_summary(_art(c), c.truth, geometry.distance(c.px, c.truth, c.grid), c.free).select("a", "n_positive", *r6("pct_on_known", "pct_within_3"), "payload"),
     f"""WITH {SETS}, {ART}, {DIST} SELECT a, count(*) AS n_positive, round(100.0e0 * avg(CASE WHEN dist = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_on_known, round(100.0e0 * avg(CASE WHEN dist <= 3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_within_3,
@@ -285,7 +277,6 @@ add(
     f"""WITH {SETS}, {ART}, j AS (SELECT coalesce(u.p, 0.0e0) AS u, coalesce(v.p, 0.0e0) AS w FROM (SELECT * FROM art WHERE a = 1) u FULL JOIN (SELECT * FROM art WHERE a = 2) v ON u.y = v.y AND u.x = v.x), g AS (SELECT CAST(h AS DOUBLE) * gs.w AS n FROM gs)
 SELECT round((sum(u * w) - sum(u) * sum(w) / any_value(n)) / sqrt((sum(u * u) - sum(u) * sum(u) / any_value(n)) * (sum(w * w) - sum(w) * sum(w) / any_value(n))), 6) AS pearson_full, count(*) AS n_support, round(corr(u, w), 6) AS pearson_support, round(corr(u, w), 6) AS spearman_support FROM j, g""",
 )
-add("fingerprints", lambda c: similarity.fingerprint(_art(c), c.grid).select("a", "n_positive", "is_binary", "sha256_values", "sha256_support", F.size("block_density").alias("blocks"), *r6("cy", "cx")))
 query(
     "ledger_resolve",
     """WITH f AS (SELECT DISTINCT p_name AS name FROM part), l AS (SELECT p_partkey AS claim, split_part(p_name, ' ', 1) AS repo, split_part(p_name, ' ', 2) AS needle FROM part),
@@ -305,8 +296,7 @@ def _sweep(c: Ctx) -> DataFrame:
     """The best bar and fold score of thresholded fields: one plan for all parameters."""
     ft = folds.fold_cells(c.truth, 2, c.grid, 10)
     dots = stencil.sweep(c.px, bar=[7, 8, 9]).where("d >= bar").select("bar", "y", "x", F.lit(1.0).alias("p"))
-    names = ft.select("fold").distinct()
-    scored = metric.score(dots.crossJoin(F.broadcast(names)), stencil.sweep(ft, bar=[7, 8, 9]), None, ("bar", "fold"))
+    scored = metric.score(dots, ft, None, ("bar", "fold"))
     return metric.mean_over_folds(scored, ["bar"])
 
 
@@ -349,7 +339,42 @@ add(
     f"WITH {_ZSQL.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 2 = 0)')}, b AS (SELECT (min(f) - any_value(mu)) / any_value(sd) AS lo, (max(f) - any_value(mu)) / any_value(sd) AS hi FROM z, m), "
     "o AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) - mu) / sd AS s, yb, w, lo, hi FROM embeddings, m, w, b WHERE vec_id % 2 = 1) SELECT vec_id, round(yb + least(greatest(s, lo), hi) * w, 6) AS pred, round(abs(s - least(greatest(s, lo), hi)), 6) AS worst_clip, CAST(abs(s - least(greatest(s, lo), hi)) > 1.0e-9 AS INT) AS n_clipped FROM o",
 )
-add("loo_ridge", lambda c: model.loo_summary(model.leave_one_out(_design(c, 6), "vec_id", [f"f{k}" for k in range(6)], "y", [0.1, 1.0, 10.0], {"all": [f"f{k}" for k in range(6)], "first": ["f0"]})).select("lam", "subset", "n", *r6("rmse", "r2")))
+_SIX = [f"f{k}" for k in range(6)]
+_LAMS = [0.3, 1.0, 3.0, 10.0]
+
+
+def _loo(c: Ctx, subsets: dict[str, list[str]]) -> DataFrame:
+    names = sorted({f for fs in subsets.values() for f in fs})
+    loo = model.leave_one_out(_design(c, 6), "vec_id", names, "y", _LAMS, subsets)
+    return model.loo_summary(loo, "vec_id").select("lam", "subset", "n", *r6("rmse", "r2", "spearman"))
+
+
+#: One feature, all rows but one: the sums without that row give its fit.
+_LOO_1D = """WITH z AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, CAST(embedding[@K@] AS DOUBLE) AS f FROM embeddings),
+t AS (SELECT count(*) - 1 AS m, sum(f) AS sf, sum(f * f) AS sff, sum(y) AS sy, sum(f * y) AS sfy FROM z),
+o AS (SELECT vec_id, y, f, m, (sf - f) / m AS mu, (sy - y) / m AS yb, sqrt((sff - f * f) / m - ((sf - f) / m) * ((sf - f) / m)) + 1.0e-12 AS sd, sfy - f * y AS xy FROM z, t),
+p AS (SELECT lam, vec_id, y, yb + (f - mu) / sd * (((xy - mu * yb * m) / sd) / (m * ((sd - 1.0e-12) / sd) * ((sd - 1.0e-12) / sd) + lam)) AS pred FROM o, (SELECT unnest([0.3e0, 1.0e0, 3.0e0, 10.0e0]) AS lam)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lam ORDER BY pred, vec_id) AS rp, row_number() OVER (PARTITION BY lam ORDER BY y, vec_id) AS rt FROM p)
+SELECT lam, '@N@' AS subset, count(*) AS n, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(1.0e0 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, round(corr(rp, rt), 6) AS spearman
+FROM r GROUP BY 1"""
+add("loo_ridge", lambda c: _loo(c, {"all": _SIX, "first": ["f0"]}))
+add("loo_single", lambda c: _loo(c, {f: [f] for f in _SIX[:3]}), " UNION ALL ".join(f"SELECT * FROM ({_LOO_1D.replace('@K@', str(k + 1)).replace('@N@', f'f{k}')})" for k in range(3)))
+
+
+def _ranked_weights(c: Ctx) -> DataFrame:
+    rows = _design(c, 2)
+    return model.coefficients(c.spark, model.ridge(rows, ["f0", "f1"], "y", 10.0), ["f0", "f1"]).select("feature", "nth", *r6("weight"))
+
+
+add(
+    "coefficient_ranking", _ranked_weights,
+    """WITH z AS (SELECT CAST(label AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) + 1.0e-12 AS da, stddev_pop(b) + 1.0e-12 AS db FROM z),
+g AS (SELECT sum((a - ma) / da * ((a - ma) / da)) + 10.0e0 AS aa, sum((b - mb) / db * ((b - mb) / db)) + 10.0e0 AS bb, sum((a - ma) / da * ((b - mb) / db)) AS ab,
+  sum((a - ma) / da * (y - my)) AS ay, sum((b - mb) / db * (y - my)) AS by_, any_value(da) AS da, any_value(db) AS db FROM z, m),
+w AS (SELECT 'f0' AS feature, (ay * bb - by_ * ab) / (aa * bb - ab * ab) / da AS w FROM g UNION ALL SELECT 'f1', (by_ * aa - ay * ab) / (aa * bb - ab * ab) / db FROM g)
+SELECT feature, CAST(row_number() OVER (ORDER BY abs(w) DESC, feature) AS INT) AS nth, round(w, 6) AS weight FROM w""",
+)
 add(
     "feature_correlations", lambda c: model.correlations(_design(c, 4), [f"f{k}" for k in range(4)], "y").select("feature", "nth", *r6("r")),
     "WITH r AS (" + " UNION ALL ".join(f"SELECT 'f{k}' AS feature, corr(CAST(embedding[{k + 1}] AS DOUBLE), CAST(label AS DOUBLE)) AS r FROM embeddings" for k in range(4)) + ") SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) AS nth, round(r, 6) AS r FROM r",
@@ -387,7 +412,33 @@ def _forward(c: Ctx) -> DataFrame:
     return c.spark.createDataFrame([(k, n, float(s)) for k, (n, s) in enumerate(chosen)], "step int, field string, score double")
 
 
-add("forward_selection", _forward)
+#: All subsets of three fields; the greedy path through them.
+_FORWARD = f"""WITH {SETS}, {CONE}, f AS (SELECT y, x, d / 10.0e0 AS d, 1 - q / 50.0e0 AS low_q, v / 100000.0e0 AS v FROM px),
+mix AS (SELECT @MIXES@),
+r AS (SELECT name, y, x, row_number() OVER (PARTITION BY name ORDER BY val DESC, y, x) AS n FROM mix),
+b AS (SELECT name, t.y, t.x, max(k) AS c FROM truth t CROSS JOIN k JOIN r ON r.y = t.y + dy AND r.x = t.x + dx AND r.n <= 2000 GROUP BY 1, 2, 3),
+s AS (SELECT name, round(sum(c), 6) AS score FROM b GROUP BY 1),
+s1 AS (SELECT name, score FROM s WHERE NOT contains(name, '+') ORDER BY score DESC, name DESC LIMIT 1),
+s2 AS (SELECT s.name, s.score FROM s, s1 WHERE len(string_split(s.name, '+')) = 2 AND starts_with(s.name, s1.name || '+') AND s.score > s1.score + 1.0e-9 ORDER BY s.score DESC, s.name DESC LIMIT 1),
+s3 AS (SELECT s.name, s.score FROM s, s2 WHERE len(string_split(s.name, '+')) = 3 AND starts_with(s.name, s2.name || '+') AND s.score > s2.score + 1.0e-9 ORDER BY s.score DESC, s.name DESC LIMIT 1)
+SELECT CAST(len(string_split(name, '+')) - 1 AS INT) AS step, string_split(name, '+')[-1] AS field, score FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+
+
+def _mixes() -> str:
+    """Every order in which fields can be added, as the mean of the mean so far and the next one."""
+    import itertools
+
+    parts = []
+    for n in (1, 2, 3):
+        for names in itertools.permutations(["d", "low_q", "v"], n):
+            e = names[0]
+            for f in names[1:]:
+                e = f"(({e}) + {f}) / 2.0e0"
+            parts.append(f"'{'+'.join(names)}' AS name, y, x, {e} AS val FROM f")
+    return " UNION ALL SELECT ".join(parts)
+
+
+add("forward_selection", _forward, _FORWARD.replace("@MIXES@", _mixes()))
 
 
 def _inversion(c: Ctx) -> DataFrame:
@@ -400,3 +451,20 @@ def _inversion(c: Ctx) -> DataFrame:
 
 
 add("curve_inversion", _inversion)
+
+
+def _blocks(c: Ctx) -> DataFrame:
+    """A made-up ledger: artifacts of known block shares, inverted; the shares come back."""
+    import numpy as np
+
+    cells = _art(c).withColumn("block", folds.block_column(2, c.grid)).where("block < 4").groupBy((F.col("a") * 3 + F.col("x") % 3).alias("row"), "block").agg(F.count("*").alias("n"))
+    rows = cells.groupBy("row").pivot("block", [0, 1, 2, 3]).agg(F.first("n")).na.fill(0).orderBy("row").toPandas()  # two dozen rows
+    n, share = rows[["0", "1", "2", "3"]].to_numpy(float), np.array([0.02, 0.1, 0.05, 0.3])
+    areas = np.full(4, 100.0)
+    t = n @ share
+    scores = t / (0.2 * t + 0.2 * (n @ (1 - share)) + 0.8 * (areas @ share) / K.kernel_mass() + 1e-12)
+    found = model.block_inversion(n, scores, areas, K.kernel_mass())
+    return c.spark.createDataFrame([(k, round(float(x), 3)) for k, x in enumerate(found["share"])], "block int, share double")
+
+
+add("block_inversion", _blocks, "SELECT CAST(k AS INT) AS block, s AS share FROM (VALUES (0, 0.02e0), (1, 0.1e0), (2, 0.05e0), (3, 0.3e0)) u(k, s)")

@@ -149,13 +149,23 @@ def support_hash(cells: DataFrame, v: str = "p", by: list[str] | None = None) ->
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and SHA-256 of each file."""
+    """Path, length and SHA-256 of each file that is not empty (Spark lists no others)."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of just this name in the store that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def write_document(doc: dict, spark: SparkSession, path: str) -> None:
-    """A result document as one JSON row."""
-    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A result document as one JSON file."""
+    write_file(spark, path, (json.dumps(doc, sort_keys=True, indent=2) + "\n").encode())
 
 
 def write_registry(entries: DataFrame, path: str) -> None:
@@ -165,7 +175,8 @@ def write_registry(entries: DataFrame, path: str) -> None:
 
 def read_registry(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Registry entries, from JSON lines or from a document with an array `entries`."""
-    df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    document = path.endswith(".json")
+    df = (spark.read.schema(schema) if schema else spark.read).option("multiLine", document).json(path)
     return df.select(F.explode("entries").alias("e")).select("e.*") if "entries" in df.columns else df
 
 

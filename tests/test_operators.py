@@ -153,7 +153,7 @@ def test_gaussian_borders_and_tiles(spark, border, mode):
     df, grid = dense(spark, a), G.Grid(50, 41)
     want = blur_brute(a, 1.5, mode)
     assert np.allclose(image(filters.gaussian(df, "v", 1.5, grid, border), a.shape), want)
-    small = stencil.tile_halo_apply(df, ["v"], lambda t: {"v": filters.blur(t["v"], 1.5)}, ["v"], grid, 6, tile=16, border=border)
+    small = stencil.tile_halo_apply(df, ["v"], lambda t, edge: {"v": filters.blur(t["v"], 1.5)}, ["v"], grid, 6, tile=16, border=border)
     assert np.allclose(image(small, a.shape), want)
 
 
@@ -172,7 +172,7 @@ def test_sobel_and_gradient(spark):
     s = filters.sobel(df, "v", grid)
     gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
     assert np.allclose(image(s, a.shape, "gx"), gx)
-    g = filters.gradient(df, "v")
+    g = filters.gradient(df, "v", grid)
     wy, wx = np.gradient(a)
     assert np.allclose(image(g, a.shape, "gy"), wy) and np.allclose(image(g, a.shape, "gx"), wx)
 
@@ -204,7 +204,7 @@ def test_strike_kinds(spark):
 
 def test_rank_ties_get_distinct_ranks(spark):
     a = np.array([[9.0, 9, 9, 9], [1, 2, 3, 4]])
-    for f in (lambda d: filters.pct_rank(d, "v", 4, out="z"), lambda d: filters.rank_transform(d, "v")):
+    for f in (lambda d: filters.pct_rank(d, "v", out="z"), lambda d: filters.rank_transform(d, "v")):
         z = sorted(r.z for r in f(dense(spark, a)).collect())
         assert np.allclose(z, np.arange(8) / 7)
 
@@ -247,9 +247,11 @@ def test_gate_refuses_copies_and_allows_new_payloads(spark):
     assert whole.dice > 0.9 and pay.dice < 0.1
     entries = one("a")
     reg = entries.select("a").distinct().withColumn("score", F.lit(0.1))
-    judge = lambda n, f, mode="reference": similarity.gate(one(n).select("y", "x", "p"), reg, entries, grid, f, mode)[1].first()
-    assert not judge("c", free).allowed and judge("b", free).allowed
-    assert not judge("b", None).allowed and not judge("c", None, "strict").allowed
+    judge = lambda n, f: similarity.gate(one(n).select("y", "x", "p"), reg, entries, grid, f)[1].first()
+    assert judge("c", free).blocking_rules[0] == "exact/support_duplicate" and judge("b", free).allowed and judge("b", free).max_dice_against == "a"
+    assert judge("b", None).blocking_rules == ["near_duplicate_final"] and not judge("b", None).allowed
+    strict = lambda n: similarity.strict_gate(one(n).select("y", "x", "p"), entries, grid, free)[1].first()
+    assert strict("c").subset == ["a"] and not strict("c").allowed and strict("b").final == ["a"] and strict("b").subset == []
 
 
 def test_hashes_ignore_order_and_see_values(spark):
@@ -274,8 +276,13 @@ def test_files_and_registry(spark, tmp_path):
     (tmp_path / "parts" / "x.2").write_bytes(b"cd")
     import hashlib
 
-    r = G.assemble_parts(spark, str(tmp_path / "parts"), {"x": hashlib.sha256(b"abcd").hexdigest()}).first()
-    assert bytes(r.content) == b"abcd" and r.verified and G.file_hashes(spark, str(tmp_path / "parts")).count() == 2
+    parts = G.assemble_parts(spark, str(tmp_path / "parts"))
+    assert [(r.part, r.offset) for r in parts.orderBy("offset").collect()] == [("x.1", 0), ("x.2", 2)]
+    r = G.verify_parts(parts, {"x": hashlib.sha256(b"abcd").hexdigest()}).first()
+    assert r.verified and r.n_parts == 2 and r.length == 4 and G.file_hashes(spark, str(tmp_path / "parts")).count() == 2
+    assert not G.verify_parts(parts, {"x": "0"}).first().verified
+    G.write_document({"a": 1}, spark, str(tmp_path / "doc.json"))
+    assert (tmp_path / "doc.json").read_text() == '{\n  "a": 1\n}\n'
     G.write_registry(spark.createDataFrame([("a", 1)], "name string, n int"), str(tmp_path / "reg"))
     assert G.read_registry(spark, str(tmp_path / "reg")).first().name == "a"
     assert "&lt;b&gt;" in G.report_table(spark.createDataFrame([("<b>",)], "c string"), ["c"], 5)
@@ -349,3 +356,280 @@ def test_surface_correlation_ranks_ties(spark):
     full = np.zeros((2, 400))
     full[0, :144], full[1, :144] = u, w
     assert r.pearson_full == pytest.approx(np.corrcoef(full)[0, 1])
+
+
+# ---------------------------------------------------------------- exact quantiles
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 399, 5000, 60_000])
+def test_quantiles_equal_numpy(spark, n):
+    from gridloom.functions.quantiles import quantiles
+
+    rng = np.random.default_rng(n)
+    for a in (rng.normal(size=n), np.round(rng.normal(size=n), 1), np.full(n, 2.5), rng.exponential(size=n) ** 6):
+        df = spark.createDataFrame([(float(v),) for v in a] + [(None,)] * 3, "v double").repartition(5)
+        qs = [0.0, 0.01, 0.1, 0.5, 0.75, 0.99, 1.0]
+        got = quantiles(df, "v", qs).first()
+        if n == 0:
+            assert got.q0 is None
+        else:
+            assert np.allclose([got[f"q{k}"] for k in range(len(qs))], np.quantile(a, qs), rtol=1e-12)
+
+
+def test_quantiles_by_group(spark):
+    from gridloom.functions.quantiles import quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [(g if g else None, float(v)) for g in range(4) for v in rng.normal(size=1 + 700 * g)]
+    got = {r.g: r.q0 for r in quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0.9], ("g",)).collect()}
+    assert got.keys() == {None, 1, 2, 3}
+    for g in got:
+        assert np.isclose(got[g], np.quantile([v for h, v in rows if h == g], 0.9))
+
+
+# ---------------------------------------------------------------- filters and fields against numpy
+
+
+def np_blur(a, sigma, mode):
+    return blur_brute(a, sigma, mode)
+
+
+def np_sobel(a):
+    p = np.pad(a, 1, mode="symmetric")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    return gy, gx
+
+
+def np_energy(a, sigma, mode="symmetric", slopes=np_sobel):
+    """l1 - l2 by eigenvalues of the blurred tensor, cell by cell."""
+    gy, gx = slopes(a)
+    j = [np_blur(p, sigma, mode) for p in (gx * gx, gx * gy, gx * gy, gy * gy)]
+    e = np.linalg.eigvalsh(np.stack(j, axis=-1).reshape(*a.shape, 2, 2))
+    return e[..., 1] - e[..., 0], e[..., 1] + e[..., 0]
+
+
+def np_scale(a, strided=False):
+    s = a[::8, ::8] if strided else a
+    lo, hi = np.percentile(s, 1), np.percentile(s, 99)
+    return np.zeros_like(a) if hi <= lo + (1e-7 if strided else 0) else np.clip((a - lo) / (hi - lo), 0, 1)
+
+
+def many(spark, bands):
+    names = list(bands)
+    h, w = bands[names[0]].shape
+    rows = [(y, x, True, *(float(bands[n][y, x]) for n in names)) for y in range(h) for x in range(w)]
+    return spark.createDataFrame(rows, "y int, x int, inside boolean, " + ", ".join(f"{n} double" for n in names))
+
+
+#: Entered by hand from the published table.
+HAND_WEIGHTS = [("tc", 1.0), ("tmi_hg", 0.8), ("iso_grav_anom_hg", 0.8), ("iso_grav_anom_vg", 0.6), ("tmi_vg", 0.6), ("geod_2ndinv", 0.7), ("geod_shearrate", 0.5), ("geod_dilaterate", 0.5), ("det_elev", 0.5), ("cond_surf", 0.4)]
+SHAPE = (37, 44)
+
+
+def random_bands(seed=2):
+    rng = np.random.default_rng(seed)
+    return {n: np_blur(rng.normal(size=SHAPE), 1.0, "symmetric") for n in [*dict(HAND_WEIGHTS), "iso_grav_anom", "depth_to_base_surf"]}
+
+
+def np_lineament(bands):
+    return np_scale(sum(w * np_scale(np_energy(np_scale(bands[b], True), 2.0)[0], True) for b, w in HAND_WEIGHTS), True)
+
+
+def np_curvature(bands):
+    return np.max([np_scale(np_energy(bands["det_elev"], s)[0]) for s in (1.5, 3.0, 6.0)], axis=0)
+
+
+def np_step(a, s):
+    return np_scale(np.hypot(*np_sobel(np_blur(a, s, "symmetric"))))
+
+
+def test_lineament_and_curvature_fields_equal_numpy(spark):
+    bands = random_bands()
+    df, grid = many(spark, bands), G.Grid(*SHAPE)
+    assert np.allclose(image(fields.lineament_energy(df, grid), SHAPE), np_lineament(bands), atol=1e-9)
+    assert np.allclose(image(fields.curvature(df, grid), SHAPE), np_curvature(bands), atol=1e-9)
+    some = {b: bands[b] for b in ("tc", "cond_surf")}
+    part = np_scale(sum(w * np_scale(np_energy(np_scale(some[b], True), 2.0)[0], True) for b, w in HAND_WEIGHTS if b in some), True)
+    assert np.allclose(image(fields.lineament_energy(many(spark, some), grid), SHAPE), part, atol=1e-9)
+    with pytest.raises(KeyError):
+        fields.lineament_energy(df.select("y", "x"), grid)
+
+
+def test_basin_step_and_screen_arms_equal_numpy(spark):
+    bands, grid = random_bands(3), G.Grid(*SHAPE)
+    known = [(y, 20) for y in range(5, 30)]
+    df = many(spark, bands).withColumn("inside", F.col("x") > 2)
+    arms = fields.screen_arms(df, cells(spark, known), grid)
+    one = lambda b, s=2.0: np_scale(np_energy(bands[b], s)[0])
+    both = np.sqrt(np.maximum(one("tmi_hg"), one("tmi_vg")) * one("iso_grav_anom_hg"))
+    top = np.max([np_step(bands["tc"], s) for s in (1.5, 3.0, 6.0)], axis=0)
+    want = {
+        "basin step": np_scale(np.cbrt(top**2 * both) * (0.25 + 0.75 * (0.5 * np_scale(bands["depth_to_base_surf"]) + 0.5 * np_scale(bands["cond_surf"])))),
+        "basement step": np.maximum(np_step(bands["depth_to_base_surf"], 2.0), np_step(bands["depth_to_base_surf"], 5.0)),
+        "isostatic contrast": np.sqrt(one("tmi_hg") * one("iso_grav_anom")), "curvature": np_curvature(bands),
+    }
+    yy, xx = np.mgrid[: SHAPE[0], : SHAPE[1]]
+    for y, x in known:
+        for a in want.values():
+            a[y, x] = 0.0
+    for name, a in want.items():
+        assert np.allclose(image(arms[name](), SHAPE), np.where(xx > 2, a, 0.0), atol=1e-9), name
+
+
+def test_composites_equal_numpy(spark):
+    bands, grid = random_bands(4), G.Grid(*SHAPE)
+    df, known = many(spark, bands), cells(spark, [(y, 20) for y in range(5, 30)] + [(20, x) for x in range(3, 15)])
+    tips, curvature = image(fields.tip_extension(df, known, grid), SHAPE), np_curvature(bands)
+    got = image(fields.screened_fields(df, known, grid)["composite"](), SHAPE)
+    assert np.allclose(got, np_scale(0.85 * np_scale(curvature) + 0.15 * np_scale(tips)), atol=1e-9)
+    votes = dense(spark, bands["tc"] ** 2)
+    got = image(fields.screened_fields(df, known, grid, votes=votes)["composite"](), SHAPE)
+    assert np.allclose(got, np_scale(1.0 * np_scale(bands["tc"] ** 2) + 0.85 * np_scale(curvature)), atol=1e-9)
+    got = image(fields.screened_fields(df, known, grid, prior=votes)["composite"](), SHAPE)
+    assert np.allclose(got, np_scale(0.5 * np_scale(bands["tc"] ** 2) + 0.5 * np_scale(curvature)), atol=1e-9)
+    sweep = fields.sweep_fields(df, known, grid)
+    parts = {n: image(sweep[n](), SHAPE) for n in ("H1", "H2", "H3", "H4", "H2+H3+H4")}
+    assert np.allclose(parts["H2+H3+H4"], np_scale(sum(np_scale(parts[n], True) for n in ("H2", "H3", "H4")), True), atol=1e-9)
+    assert np.allclose(image(sweep["H1+H2+H3+H4"](), SHAPE), np_scale(sum(np_scale(parts[n], True) for n in ("H1", "H2", "H3", "H4")), True), atol=1e-9)
+
+
+def test_coherence_and_ridge_equal_numpy(spark):
+    a, grid = random_bands(5)["tc"], G.Grid(*SHAPE)
+    best = np.zeros(SHAPE)
+    for s in (1.5, 3.0, 6.0):
+        diff, trace = np_energy(np_blur(a, s * 0.5, "edge"), s, "edge", np.gradient)
+        best = np.maximum(best, diff / np.maximum(trace, 1e-9))
+    assert np.allclose(image(filters.coherence(dense(spark, a), "v", grid), SHAPE), best, atol=1e-9)
+
+    def second(sigma, oy, ox):
+        out = a
+        for axis, o in ((0, oy), (1, ox)):
+            k = filters.taps(sigma, o)[::-1]
+            r = len(k) // 2
+            p = np.pad(out, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+            out = sum(w * (p[i : i + a.shape[0]] if axis == 0 else p[:, i : i + a.shape[1]]) for i, w in enumerate(k))
+        return out
+
+    best = np.zeros(SHAPE)
+    for s in (1.0, 2.0, 4.0):
+        h = np.stack([second(s, 2, 0), second(s, 1, 1), second(s, 1, 1), second(s, 0, 2)], axis=-1).reshape(*SHAPE, 2, 2)
+        best = np.maximum(best, s * s * np.abs(np.linalg.eigvalsh(h)).max(axis=-1))
+    assert np.allclose(image(filters.ridge(dense(spark, a), "v", grid, (1.0, 2.0, 4.0)), SHAPE), best, atol=1e-9)
+
+
+def test_scales_leave_out_what_is_no_value(spark):
+    rows = [(k // 40, k % 40, float(k)) for k in range(1600)] + [(50, 0, float("nan")), (50, 1, -3.4e38), (50, 2, None), (50, 3, float("inf")), (48, 0, 2e30)]
+    df = spark.createDataFrame(rows, "y int, x int, v double")
+    z = {(r.y, r.x): r.z for r in filters.percentile_scale(df, "v").collect()}
+    lo, hi = np.percentile(np.arange(1600), [1, 99])
+    assert all(z[50, k] == 0 for k in range(4)) and z[48, 0] == 0 and np.isclose(z[20, 0], (800 - lo) / (hi - lo)) and z[39, 39] == 1
+    narrow = spark.createDataFrame([(0, k, 1.0 + k * 1e-9) for k in range(40)], "y int, x int, v double")
+    assert filters.percentile_scale(narrow, "v").agg(F.max("z")).first()[0] == 1.0  # F6 has no margin
+    assert filters.percentile_scale(narrow, "v", strided=8).agg(F.max("z")).first()[0] == 0.0
+
+
+# ---------------------------------------------------------------- neighbours, scores, names
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_nearest_loses_no_cell(spark, k):
+    rng = np.random.default_rng(k)
+    a = {tuple(map(int, c)) for c in rng.integers(0, 60, (40, 2))} | {(0, 0), (100, 100), (700, 3)}
+    for b in ({(1, 1)}, {(1, 1), (650, 650), (2, 2)}, {tuple(map(int, c)) for c in rng.integers(0, 60, (70, 2))}, set()):
+        for apart in (False, True):
+            got = sorted((r.y, r.x, r.nth, round(r.dist, 9), r.ny, r.nx) for r in stencil.nearest(cells(spark, a), cells(spark, b), 8, k, apart).collect())
+            want = []
+            for y, x in a:
+                order = sorted(((y - u) ** 2 + (x - v) ** 2, u, v) for u, v in b if not apart or (u, v) != (y, x))
+                want += [(y, x, n + 1, round(math.sqrt(s), 9), u, v) for n, (s, u, v) in enumerate(order[:k])]
+            assert got == sorted(want)
+
+
+def test_scores_by_group_need_no_copies(spark):
+    rng = np.random.default_rng(8)
+    at = lambda p: [tuple(map(int, c)) for c in np.argwhere(rng.random((20, 20)) > p)]
+    truth, free = {f: at(0.95) for f in (0, 1, 2)}, {f: at(0.9) for f in (0, 1, 2, 3)}
+    pred = {bar: {c: float(rng.choice([0.5, 1.0])) for c in at(0.9)} for bar in (7, 8)}
+    t = spark.createDataFrame([(f, *c) for f, cs in truth.items() for c in cs], "fold int, y int, x int")
+    fr = spark.createDataFrame([(f, *c) for f, cs in free.items() for c in cs], "fold int, y int, x int")
+    p = spark.createDataFrame([(b, *c, v) for b, d in pred.items() for c, v in d.items()], "bar int, y int, x int, p double")
+    groups = spark.createDataFrame([(f,) for f in range(4)], "fold int")
+    got = {(r.bar, r.fold): (r.tp, r.fp, r.fn, r.dti, r.n_truth) for r in metric.score(p, t, fr, ("bar", "fold"), groups).collect()}
+    assert len(got) == 8
+    for (bar, fold), row in got.items():
+        if fold == 3:
+            assert row == (0.0, pytest.approx(sum(pred[bar].values())), 0.0, 0.0, 0)
+        else:
+            assert np.allclose(row[:4], brute_score(pred[bar], truth[fold], set(free[fold]))) and row[4] == len(truth[fold])
+
+
+def test_names_are_found_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abC_.") for _ in range(rng.randrange(9))) for _ in range(80)})
+    ledger = [(k, rng.choice(["ab", "C"]), "".join(rng.choice("abC_.") for _ in range(rng.randrange(5)))) for k in range(60)]
+    got = {r.claim: r.name for r in similarity.resolve_names(spark.createDataFrame(ledger, "claim int, repo string, needle string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    for claim, repo, needle in ledger:
+        found = sorted((not n.startswith(repo + "__"), len(n), n) for n in names if needle in n)
+        assert got[claim] == (found[0][2] if found else None)
+
+
+def test_fingerprint_samples_the_fixed_sites(spark):
+    grid = G.Grid(40, 50)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((40, 50)) > 0.5, rng.random((40, 50)), 0.0)
+    df = dense(spark, a, "p").withColumn("a", F.lit("x"))
+    r = similarity.fingerprint(df, grid, similarity.sample_sites(spark, grid)).first()
+    draw = np.random.RandomState(3400)
+    ys, xs = draw.randint(0, 40, 8192), draw.randint(0, 50, 8192)
+    assert np.allclose(r["sample"], np.round(a[ys, xs], 6)) and (r.n_finite, r.n_positive) == (2000, int((a > 0).sum()))
+
+
+def test_leave_one_out_equals_plain_fits(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(25, 3)), rng.normal(size=25)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "id long, f0 double, f1 double, f2 double, y double")
+    got = {r.lam: r for r in model.loo_summary(model.leave_one_out(df, "id", ["f0", "f1", "f2"], "y", [1.0, 10.0]), "id").collect()}
+    for lam in (1.0, 10.0):
+        pred = []
+        for i in range(25):
+            k = np.arange(25) != i
+            m, d = x[k].mean(0), x[k].std(0) + 1e-12
+            z = (x[k] - m) / d
+            pred.append(y[k].mean() + ((x[i] - m) / d) @ np.linalg.inv(z.T @ z + lam * np.eye(3)) @ z.T @ (y[k] - y[k].mean()))
+        rank = lambda v: np.argsort(np.argsort(v))
+        assert np.isclose(got[lam].rmse, np.sqrt(np.mean((np.array(pred) - y) ** 2))) and np.isclose(got[lam].spearman, np.corrcoef(rank(pred), rank(y))[0, 1])
+
+
+def test_block_inversion_finds_the_shares():
+    rng = np.random.default_rng(7)
+    n, share, areas = rng.integers(0, 400, (30, 16)).astype(float), rng.uniform(0.01, 0.3, 16), np.full(16, 2500.0)
+    t = n @ share
+    scores = t / (0.2 * t + 0.2 * (n @ (1 - share)) + 0.8 * areas @ share / K.kernel_mass() + 1e-12)
+    got = model.block_inversion(n, scores, areas, K.kernel_mass())
+    assert np.allclose(got["share"], share, atol=2e-3) and got["rmse"] < 1e-6 and got["loo_corr"] > 0.99
+
+
+def test_no_shared_folder_off_local_mode():
+    from gridloom import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
