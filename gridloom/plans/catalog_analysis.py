@@ -442,15 +442,17 @@ add("forward_selection", _forward, _FORWARD.replace("@MIXES@", _mixes()))
 
 
 def _inversion(c: Ctx) -> DataFrame:
-    rows = c.px.groupBy("d").agg(F.avg("v").alias("m")).orderBy("d").toPandas()  # eleven rows
-    d, m = rows["d"].to_numpy(float), rows["m"].to_numpy(float) / 1e4
+    """A curve of known parameters at the derived grid's values of d, fitted; the parameters come back."""
     import numpy as np
 
-    p = model.bounded_least_squares(lambda t: t[0] + t[1] * np.exp(-t[2] * d) - m, np.array([1.0, 1.0, 0.1]), np.array([-50.0, -50.0, 0.0]), np.array([50.0, 50.0, 5.0]))
-    return c.spark.createDataFrame([(k, float(x)) for k, x in enumerate(p)], "param int, value double")
+    d = np.array([r["d"] for r in c.px.select("d").distinct().orderBy("d").collect()], float)  # eleven rows
+    curve = lambda t: t[0] + t[1] * np.exp(-t[2] * d)
+    target = curve(np.array([2.0, 1.5, 0.3]))
+    p = model.bounded_least_squares(lambda t: curve(t) - target, np.array([1.0, 1.0, 0.1]), np.array([-50.0, -50.0, 0.0]), np.array([50.0, 50.0, 5.0]))
+    return c.spark.createDataFrame([(k, round(float(x), 3)) for k, x in enumerate(p)], "param int, value double")
 
 
-add("curve_inversion", _inversion)
+add("curve_inversion", _inversion, "SELECT CAST(k AS INT) AS param, v AS value FROM (VALUES (0, 2.0e0), (1, 1.5e0), (2, 0.3e0)) u(k, v)")
 
 
 def _blocks(c: Ctx) -> DataFrame:
