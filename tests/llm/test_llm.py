@@ -885,3 +885,47 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert +words == +Counter(plan)
     final = spark.read.parquet(str(tmp_path / "token_output")).collect()
     assert pairs(final, "doc_id", "start", "n_tokens", "ids_crc32") == token_rows_brute([(r.doc_id, r.text) for r in mixed.collect()])
+
+
+def pipeline_tables(spark, folder, docs, benchmark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    bench = spark.createDataFrame([("b", "same text here now"), (None, "nothing of this kind")], "item_id string, text string")
+    words = "the house of the old man and his garden by the river where they sat".split()
+    rng = random.Random(2)
+    prose = [(100 + k, " ".join(rng.choice(words) for _ in range(40 + k)), "en", ["s1", None, "é"][k % 3], 0) for k in range(60)]
+    odd = clash(odd_docs(spark).union(spark.createDataFrame(prose, DOCS)))
+    sf_dir = pipeline_tables(spark, tmp_path, odd, bench)
+    docs, kept = odd, {}
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert name == "token_output" or out.columns == odd.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.collect()
+        nothing = stage(spark, clash(empty(spark)), sf_dir)
+        assert nothing.count() == 0, name
+    ids = lambda n: [r.doc_id for r in kept[n]]
+    assert {0, 1, 2, 3, 7, 10}.isdisjoint(set(ids("language_id")) - {3}) and len([d for d in ids("language_id") if d and d >= 100]) == 60
+    assert ids("near_dedup").count(8) == 1 and 9 not in ids("near_dedup") and ids("near_dedup").count(3) <= 1
+    assert 8 not in ids("decontamination") and len(ids("decontamination")) == len(ids("near_dedup")) - 1
+    assert pairs(kept["token_output"], "doc_id", "start", "n_tokens", "ids_crc32") == token_rows_brute([(r.doc_id, r.text) for r in kept["mix_sources"]])
+
+
+def test_pipeline_leaves_only_its_result(spark, sf_dir):
+    import os
+
+    import corpus_pipeline as P
+    from gridloom.session import shared_dir
+
+    base = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    assert P.run(spark, sf_dir).count() > 0
+    made = [d for d in set(os.listdir(base)) - before if d.startswith("pipeline-")]
+    assert len(made) == 1 and os.listdir(f"{base}/{made[0]}") == ["4-token_output"]
