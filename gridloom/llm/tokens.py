@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ from gridloom.llm.common import map_arrow, shared_dir
 
 SEGMENT_IDS = 1 << 20
 #: Bound of a worker's table of pieces, in two generations.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 500_000
+#: Bytes of text whose words are looked up together (a longer text by itself), and words whose ids are laid out together.
+BYTES_AT_ONCE = 16 << 20
+WORDS_AT_ONCE = 1 << 19
 END_ID = 0
 
 #: White space other than blank and line feed (the last of it is U+3000).
@@ -38,6 +42,8 @@ _CUT = re.compile(r"(?<=\S)(?=\s)")
 #: A line feed or nothing, letters, then nothing or an ASCII mark or digit and no more white space.
 _SIMPLE = re.compile(r"(\n?)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-@\[-`{-~]\S*)?\Z")
 _RAW = "\x01"
+#: Texts that do not simply fall into words at single blanks and line feeds.
+_ODD = r"\A[ \n]|  |\n\n| \n|\n |[\x01" + "".join(f"\\x{{{ord(c):X}}}" for c in _OTHER_SPACE) + "]"
 
 
 def keys_of(text: str) -> tuple[str, list[str]]:
@@ -148,29 +154,75 @@ class Tokens:
         for k, ids in zip(keys, self._ids(texts), strict=True):
             table[k] = ids.tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
+    def _look_up(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct keys; new ones are learned."""
         if len(self.known) + len(self.tails) > KNOWN_PIECES // 2:  # pieces met again move on to the new generation
             self.old, self.known, self.tails = self.known, {}, {"": b""}
-        first, found, gaps, missing = [], [], [], set()
-        get = self.known.get
-        for text in texts:
-            head, keys = keys_of(text or "")
-            ids = list(map(get, keys))
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                gaps.append((ids, keys, at))
-                missing.update([keys[i] for i in at])
-            first.append(head)
-            found.append(ids)
-        if missing:
-            kept = {k: v for k in missing if (v := self.old.get(k)) is not None}
-            self.known.update(kept)
-            self._learn(missing.difference(kept))
-            for ids, keys, at in gaps:
-                for i in at:
-                    ids[i] = self.known[keys[i]]
-        return [np.frombuffer(a.tobytes() + b"".join(f) + self.end, self.kind) for a, f in zip(self._ids(first), found, strict=True)]
+        found = list(map(self.known.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            missing = [keys[i] for i in gaps]
+            old = list(map(self.old.get, missing))
+            self.known.update((k, v) for k, v in zip(missing, old, strict=True) if v is not None)
+            self._learn({k for k, v in zip(missing, old, strict=True) if v is None})
+            for i, k in zip(gaps, missing, strict=True):
+                found[i] = self.known[k]
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        parted = [keys_of(text or "") for text in texts]
+        distinct = list(dict.fromkeys(k for _, keys in parted for k in keys))
+        get = dict(zip(distinct, self._look_up(distinct), strict=True)).__getitem__
+        heads = self._ids([head for head, _ in parted])
+        return [np.frombuffer(a.tobytes() + b"".join(map(get, keys)) + self.end, self.kind) for a, (_, keys) in zip(heads, parted, strict=True)]
+
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """As `encode`, for an Arrow column: words are cut and told apart by Arrow, looked up once each, and their ids laid out by numpy."""
+        text = column.fill_null("")
+        odd = pc.match_substring_regex(text, _ODD).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(text)
+        if odd.any():
+            at = np.flatnonzero(odd)
+            for i, ids in zip(at.tolist(), self.encode(text.take(pa.array(at)).to_pylist()), strict=True):
+                out[i] = ids
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        parts = pc.split_pattern(pc.replace_substring(text.take(pa.array(plain)), "\n", " \n"), " ")
+        offsets, flat = parts.offsets.to_numpy(), parts.flatten()
+        offsets = offsets - offsets[0]
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        heads = self._ids(flat.filter(pa.array(first)).to_pylist())
+        words = flat.filter(pa.array(~first)).dictionary_encode()
+        values = self._look_up(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        begins = np.cumsum(sizes) - sizes
+        table, index = np.frombuffer(b"".join(values), self.kind), words.indices.to_numpy()
+        laid = []
+        for lo in range(0, len(index), WORDS_AT_ONCE):
+            w = index[lo : lo + WORDS_AT_ONCE]
+            n = sizes[w]
+            ends = np.cumsum(n)
+            laid.append(table[np.repeat(begins[w] - ends + n, n) + np.arange(ends[-1])])
+        ids = np.concatenate(laid) if laid else np.zeros(0, self.kind)
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])[offsets - np.arange(len(offsets))]
+        end = np.frombuffer(self.end, self.kind)
+        for k, (i, head) in enumerate(zip(plain.tolist(), heads, strict=True)):
+            out[i] = np.concatenate([head, ids[upto[k] : upto[k + 1]], end])
+        return out
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about BYTES_AT_ONCE bytes of text."""
+    if not batch.num_rows:
+        return
+    size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - 1) // BYTES_AT_ONCE)) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        yield batch.slice(lo, hi - lo)
 
 
 _LAST: dict[str, Tokens] = {}
@@ -198,9 +250,8 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((file, pa.int32()), (segment, pa.int32()), (first, pa.int64()), (held, pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], names=["file", "segment", "first_id", "n_ids", "n_docs", "data"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc_id, x in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text").to_pylist()), strict=True):
+            for part in _slices(batch):
+                for doc_id, x in zip(part.column("doc_id").to_pylist(), tokens.encode_column(part.column("text")), strict=True):
                     if ids and held + len(x) > SEGMENT_IDS:
                         yield flush()
                         first, segment, held, doc_ids, ids = first + held, segment + 1, 0, [], []

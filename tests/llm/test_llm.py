@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -830,8 +831,21 @@ def test_pieces_give_the_tokenizers_own_ids():
     parts = ["foo", "\x01", " ", "\n", "a", "B", "é", "1", "'s", "'", "#", "\t", "\xa0", "<|endoftext|>", "  ", "\r", " ", "\x1c", "日", "é", "_", "İ"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
     assert own.direct
-    for t, ids in zip(texts, own.encode(texts), strict=True):
-        assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0], repr(t)
+    column = pa.array(texts + [None], pa.string())
+    for how in (own.encode(texts), own.encode_column(column)[:-1], [x for k in range(0, len(texts), 97) for x in own.encode_column(column[k : min(k + 97, len(texts))])]):
+        for t, ids in zip(texts, how, strict=True):
+            assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0], repr(t)
+    assert own.encode_column(column)[-1].tolist() == [0] and own.encode_column(column[:0]) == []
+
+
+def test_slices_of_a_batch_hold_every_row(monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 10)
+    rng = random.Random(3)
+    for n in (0, 1, 2, 50):
+        texts = [None if rng.random() < 0.2 else "x" * rng.randrange(25) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        parts = list(tokens._slices(batch))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == texts and all(p.num_rows for p in parts)
 
 
 def token_rows_brute(rows):
