@@ -32,8 +32,8 @@ SEGMENT_IDS = 1 << 20
 #: Bound of a worker's table of pieces, in two generations.
 KNOWN_PIECES = 500_000
 #: Bytes of text whose words are looked up together (a longer text by itself), and words whose ids are laid out together.
-BYTES_AT_ONCE = 16 << 20
-WORDS_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 8 << 20
+WORDS_AT_ONCE = 1 << 18
 END_ID = 0
 
 #: White space other than blank and line feed (the last of it is U+3000).
