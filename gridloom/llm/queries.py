@@ -160,7 +160,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return tokens.read(spark, tokens.write(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), hold=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
