@@ -42,6 +42,8 @@ SEED = 20_240_501
 DOCS_PER_SHARD = 20_000
 MIN_SHARDS = 256
 
+#: Sources in one partition of the table of sources.
+SOURCES_PER_PART = 100_000
 #: Rows whose texts are cut at a time.
 ROWS = 512
 
@@ -112,7 +114,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
     limit = F.col("source_size") * F.lit(float(repeat))
-    rows = cut(ranked(sizes, F.col("source").asc_nulls_last(), name="nth").select("source", "source_size", weight.alias("weight")))
+    parts = max(1, -(-sizes.count() // SOURCES_PER_PART))
+    rows = cut(ranked(sizes, F.col("source").asc_nulls_last(), name="nth", partitions=parts).select("source", "source_size", weight.alias("weight")))
     whole = rows.agg(F.sum("source_size"), F.sum("weight")).first()
     level = share * whole[0] / whole[1] if whole[1] else 0.0
     while whole[1]:
