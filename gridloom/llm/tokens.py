@@ -31,8 +31,9 @@ from gridloom.llm.common import map_arrow, shared_dir
 SEGMENT_IDS = 1 << 20
 #: Bound of a worker's table of pieces, in two generations.
 KNOWN_PIECES = 500_000
-#: Bytes of text whose words are looked up together (a longer text by itself), and words whose ids are laid out together.
-BYTES_AT_ONCE = 16 << 20
+#: Bytes of text whose words are looked up together (a longer text by itself), where workers hold their tables or not, and words
+#: whose ids are laid out together.
+BYTES_HELD, BYTES_AT_ONCE = 16 << 20, 1 << 20
 WORDS_AT_ONCE = 1 << 19
 END_ID = 0
 
@@ -214,12 +215,12 @@ class Tokens:
         return out
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BYTES_AT_ONCE bytes of text."""
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about so many bytes of text."""
     if not batch.num_rows:
         return
     size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = np.flatnonzero(np.diff((np.cumsum(size) - 1) // BYTES_AT_ONCE)) + 1
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - 1) // most)) + 1
     edges = [0, *cuts.tolist(), batch.num_rows]
     for lo, hi in zip(edges, edges[1:], strict=False):
         yield batch.slice(lo, hi - lo)
@@ -239,7 +240,7 @@ def tokens_of(path: str) -> Tokens:
 def segments(docs: DataFrame, vocabulary: str, partitions: int, hold: bool = False) -> DataFrame:
     """file, segment, first_id (ids before it in its file), n_ids, n_docs and data (a segment) for all documents in doc_id order.
 
-    hold: workers keep their table of pieces for the next task, for less work and about 200 MB of a worker's memory.
+    hold: workers keep their table of pieces for the next task, and look up more words at a time, for less work and about 300 MB of a worker's memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int, hold: bool = Fal
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((file, pa.int32()), (segment, pa.int32()), (first, pa.int64()), (held, pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], names=["file", "segment", "first_id", "n_ids", "n_docs", "data"])
 
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, BYTES_HELD if hold else BYTES_AT_ONCE):
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), tokens.encode_column(part.column("text")), strict=True):
                     if ids and held + len(x) > SEGMENT_IDS:
                         yield flush()
@@ -265,6 +266,7 @@ def segments(docs: DataFrame, vocabulary: str, partitions: int, hold: bool = Fal
             yield flush()
         if not hold:
             tokens.forget()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # the hash deals rows of one doc_id, or of none, to many tasks

@@ -838,13 +838,12 @@ def test_pieces_give_the_tokenizers_own_ids():
     assert own.encode_column(column)[-1].tolist() == [0] and own.encode_column(column[:0]) == []
 
 
-def test_slices_of_a_batch_hold_every_row(monkeypatch):
-    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 10)
+def test_slices_of_a_batch_hold_every_row():
     rng = random.Random(3)
     for n in (0, 1, 2, 50):
         texts = [None if rng.random() < 0.2 else "x" * rng.randrange(25) for _ in range(n)]
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        parts = list(tokens._slices(batch))
+        parts = list(tokens._slices(batch, 10))
         assert [t for p in parts for t in p.column("text").to_pylist()] == texts and all(p.num_rows for p in parts)
 
 
