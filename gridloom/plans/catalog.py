@@ -76,7 +76,8 @@ def r6(*cols: str):
 SCORE_SQL = f"""{SETS}, {CONE},
 credit AS (SELECT t.y, t.x, coalesce(max(p.p * k.k), 0.0e0) AS c FROM truth t CROSS JOIN k LEFT JOIN pred p ON p.y = t.y + k.dy AND p.x = t.x + k.dx GROUP BY 1, 2),
 charged AS (SELECT * FROM pred p WHERE @RULE@),
-reach AS (SELECT c.y, c.x, c.p, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k.k END), 0.0e0) AS k FROM charged c CROSS JOIN k LEFT JOIN truth t ON t.y = c.y + k.dy AND t.x = c.x + k.dx GROUP BY 1, 2, 3),
+reach AS (SELECT c.y, c.x, c.p, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k.k END), 0.0e0) AS k FROM charged c CROSS JOIN k LEFT
+  JOIN truth t ON t.y = c.y + k.dy AND t.x = c.x + k.dx GROUP BY 1, 2, 3),
 s AS (SELECT (SELECT CAST(count(*) AS BIGINT) FROM truth) AS n_truth, (SELECT sum(c) FROM credit) AS tp, (SELECT coalesce(sum(p * (1.0e0 - k)), 0.0e0) FROM reach) AS fp)"""
 ROW = "n_truth, round(tp, 6) AS tp, round(fp, 6) AS fp, round(n_truth - tp, 6) AS fn, round(tp / (tp + 0.2e0 * fp + 0.8e0 * (n_truth - tp) + 1.0e-12), 6) AS dti"
 NOT_FREE = "NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x)"
@@ -116,8 +117,10 @@ ff AS (SELECT adm.fold, kb.y, kb.x FROM kb, adm WHERE kb.fold <> adm.fold)"""
 FOLD_SCORE = f"""WITH {SETS}, {CONE}, {FOLDS_SQL},
 credit AS (SELECT t.fold, t.y, t.x, coalesce(max(p.p * k.k), 0.0e0) AS c FROM ft t CROSS JOIN k LEFT JOIN pred p ON p.y = t.y + k.dy AND p.x = t.x + k.dx GROUP BY 1, 2, 3),
 charged AS (SELECT adm.fold, p.* FROM pred p, adm WHERE NOT EXISTS (SELECT 1 FROM ff WHERE ff.fold = adm.fold AND ff.y = p.y AND ff.x = p.x)),
-reach AS (SELECT c.fold, c.y, c.x, c.p, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k.k END), 0.0e0) AS k FROM charged c CROSS JOIN k LEFT JOIN ft t ON t.fold = c.fold AND t.y = c.y + k.dy AND t.x = c.x + k.dx GROUP BY 1, 2, 3, 4),
-s AS (SELECT fold, n_truth, tp, fp FROM (SELECT fold, CAST(count(*) AS BIGINT) AS n_truth, sum(c) AS tp FROM credit GROUP BY 1) JOIN (SELECT fold, sum(p * (1.0e0 - k)) AS fp FROM reach GROUP BY 1) USING (fold))"""
+reach AS (SELECT c.fold, c.y, c.x, c.p, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k.k END), 0.0e0) AS k FROM charged c CROSS JOIN k LEFT
+  JOIN ft t ON t.fold = c.fold AND t.y = c.y + k.dy AND t.x = c.x + k.dx GROUP BY 1, 2, 3, 4),
+s AS (SELECT fold, n_truth, tp, fp FROM (SELECT fold, CAST(count(*) AS BIGINT) AS n_truth, sum(c) AS tp FROM credit GROUP BY 1) JOIN (SELECT fold,
+  sum(p * (1.0e0 - k)) AS fp FROM reach GROUP BY 1) USING (fold))"""
 
 
 def _fold_scores(c: Ctx) -> DataFrame:
@@ -169,8 +172,10 @@ add(
 
 add(
     "format_receipt", lambda c: G.receipt(c.px.select("y", "x", (F.col("d") / 10.0).alias("p")), c.grid),
-    f"""WITH {SETS}, r AS (SELECT d / 10.0e0 AS p FROM px) SELECT CAST(any_value(h * w) AS BIGINT) AS n_cells, CAST(any_value(h * w) - count(*) AS BIGINT) AS n_not_finite, CAST(count(*) AS BIGINT) AS n_finite, min(p) AS min, max(p) AS max,
-CAST(count(*) FILTER (p > 0) AS BIGINT) AS n_positive, CASE WHEN count(*) = any_value(h * w) THEN 'zero-outside' ELSE 'nan-outside' END AS convention, bool_and(p BETWEEN 0 AND 1) AND count(*) FILTER (p > 0) > 0 AS format_ok FROM r, gs""",
+    f"""WITH {SETS}, r AS (SELECT d / 10.0e0 AS p FROM px) SELECT CAST(any_value(h * w) AS BIGINT) AS n_cells,
+  CAST(any_value(h * w) - count(*) AS BIGINT) AS n_not_finite, CAST(count(*) AS BIGINT) AS n_finite, min(p) AS min, max(p) AS max,
+CAST(count(*) FILTER (p > 0) AS BIGINT) AS n_positive, CASE WHEN count(*) = any_value(h * w) THEN 'zero-outside' ELSE 'nan-outside' END AS convention,
+  bool_and(p BETWEEN 0 AND 1) AND count(*) FILTER (p > 0) > 0 AS format_ok FROM r, gs""",
 )
 def _dirty():
     return F.when(F.col("q") % 7 == 0, F.lit(float("nan"))).when(F.col("q") % 5 == 0, F.lit(-3.4028e38)).otherwise(F.col("v"))
@@ -193,7 +198,8 @@ add("support_cells", lambda c: c.px.withColumn("p", F.when(F.col("q") % 7 == 0,
 add("payload_cells", lambda c: stencil.anti(c.pred, c.free), f"WITH {SETS} SELECT * FROM pred p WHERE {NOT_FREE}")
 add(
     "load_stack", lambda c: G.load_stack({"v": c.px.select("y", "x", _dirty().alias("v"))}, c.px.select("y", "x", F.when(F.col("q") > 1, F.col("d") - 5).alias("lab")), optional={"d": c.px.where("d > 2").select("y", "x", F.col("d").cast("double").alias("d"))}),
-    f"""WITH {PX} SELECT y, x, q > 1 AS inside, coalesce(q > 1 AND d > 5, false) AS known, CASE WHEN q % 7 = 0 OR q % 5 = 0 THEN NULL ELSE v END AS v, CASE WHEN d > 2 THEN CAST(d AS DOUBLE) END AS d FROM px""",
+    f"""WITH {PX} SELECT y, x, q > 1 AS inside, coalesce(q > 1 AND d > 5, false) AS known, CASE WHEN q % 7 = 0 OR q % 5 = 0 THEN NULL ELSE v END AS v,
+  CASE WHEN d > 2 THEN CAST(d AS DOUBLE) END AS d FROM px""",
 )
 add(
     "eligible_cells", lambda c: c.px.join(geometry.distance_within(c.px, c.truth, 3).withColumnRenamed("dist", "near"), ["y", "x"]).where(P.eligible(F.col("d") >= 1, F.col("q") <= 2, F.coalesce("near", F.lit(99.0)), 2)).select("y", "x"),
@@ -255,7 +261,8 @@ def _direction():
 add(
     "ray_walk", lambda c: geometry.walk(c.px.where("q <= 2").select("y", "x", *_direction()), c.grid, 12),
     f"""WITH {SETS}, s AS (SELECT y, x, (q % 5 - 2) / 2.0e0 AS c, (d % 3 - 1) / 1.0e0 AS s FROM px WHERE q <= 2)
-SELECT DISTINCT CAST(round_even(y + c * t, 0) AS INT) AS y, CAST(round_even(x + s * t, 0) AS INT) AS x FROM s, range(1, 13) r(t), gs WHERE (c <> 0 OR s <> 0) AND round_even(y + c * t, 0) BETWEEN 0 AND h - 1 AND round_even(x + s * t, 0) BETWEEN 0 AND w - 1""",
+SELECT DISTINCT CAST(round_even(y + c * t, 0) AS INT) AS y, CAST(round_even(x + s * t, 0) AS INT) AS x FROM s, range(1, 13) r(t), gs
+  WHERE (c <> 0 OR s <> 0) AND round_even(y + c * t, 0) BETWEEN 0 AND h - 1 AND round_even(x + s * t, 0) BETWEEN 0 AND w - 1""",
 )
 add(
     "pairs_within", lambda c: stencil.range_join(c.truth, c.truth, 6).where("a_y < b_y or (a_y = b_y and a_x < b_x)").select("a_y", "a_x", "b_y", "b_x", *r6("dist")),
@@ -325,11 +332,14 @@ add(
 )
 add(
     "parallel_offsets", lambda c: geometry.parallel_strands(c.px.where("q <= 2").select("y", "x", F.lit(0.6).alias("cos"), F.lit(0.8).alias("sin")), c.truth, c.grid, (4, 6), 3),
-    f"""WITH RECURSIVE {SETS}, o AS (SELECT unnest([4, -4, 6, -6]) AS o), m AS (SELECT DISTINCT y, x FROM (SELECT CAST(round_even(y - o * 0.8e0, 0) AS INT) AS y, CAST(round_even(x + o * 0.6e0, 0) AS INT) AS x FROM truth, o), gs
+    f"""WITH RECURSIVE {SETS}, o AS (SELECT unnest([4, -4, 6, -6]) AS o), m AS (SELECT DISTINCT y, x FROM (SELECT CAST(round_even(y - o * 0.8e0,
+  0) AS INT) AS y, CAST(round_even(x + o * 0.6e0, 0) AS INT) AS x FROM truth, o), gs
   WHERE y BETWEEN 0 AND h - 1 AND x BETWEEN 0 AND w - 1 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.y = y AND t.x = x)),
 m2 AS (SELECT m.* FROM m LEFT JOIN truth t ON t.y = m.y AND t.x = m.x WHERE t.y IS NULL),
-reach(y, x, ry, rx) AS (SELECT y, x, y, x FROM m2 UNION SELECT r.y, r.x, n.y, n.x FROM reach r JOIN m2 n ON n.y BETWEEN r.ry - 1 AND r.ry + 1 AND n.x BETWEEN r.rx - 1 AND r.rx + 1 AND abs(n.y - r.ry) + abs(n.x - r.rx) <= 1),
-lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM reach GROUP BY 1, 2) SELECT y, x FROM lab WHERE label IN (SELECT label FROM lab GROUP BY 1 HAVING count(*) >= 3)""".replace(" AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.y = y AND t.x = x)", ""),
+reach(y, x, ry, rx) AS (SELECT y, x, y, x FROM m2 UNION SELECT r.y, r.x, n.y, n.x FROM reach r JOIN m2 n ON n.y BETWEEN r.ry - 1 AND r.ry + 1
+  AND n.x BETWEEN r.rx - 1 AND r.rx + 1 AND abs(n.y - r.ry) + abs(n.x - r.rx) <= 1),
+lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM reach GROUP BY 1, 2) SELECT y, x FROM lab WHERE label IN (SELECT label
+  FROM lab GROUP BY 1 HAVING count(*) >= 3)""".replace(" AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.y = y AND t.x = x)", ""),
 )
 
 

@@ -16,7 +16,8 @@ _TAPS = [float(t) for t in filters.taps(1.5)]
 _TAPS_SQL = "tp(o, k) AS (VALUES " + ", ".join(f"({i - len(_TAPS) // 2}, {t!r}e0)" if "e" not in repr(t) else f"({i - len(_TAPS) // 2}, {t!r})" for i, t in enumerate(_TAPS)) + ")"
 add(
     "gaussian_1d", lambda c: filters.gaussian_axis(c.px.select("y", "x", F.col("d").cast("double").alias("v")), "v", 1.5, c.grid).select("y", "x", *r6("blur")),
-    f"""WITH {SETS}, {_TAPS_SQL}, s AS (SELECT y, i - o AS t, d * k AS c FROM px, gs, tp, (SELECT unnest([0, 1, 2]) AS f), LATERAL (SELECT CASE f WHEN 0 THEN x WHEN 1 THEN -x - 1 ELSE 2 * w - 1 - x END AS i))
+    f"""WITH {SETS}, {_TAPS_SQL}, s AS (SELECT y, i - o AS t, d * k AS c FROM px, gs, tp, (SELECT unnest([0, 1, 2]) AS f),
+  LATERAL (SELECT CASE f WHEN 0 THEN x WHEN 1 THEN -x - 1 ELSE 2 * w - 1 - x END AS i))
 SELECT px.y, px.x, round(sum(c), 6) AS blur FROM px JOIN s ON s.y = px.y AND s.t = px.x GROUP BY 1, 2""",
 )
 add(
@@ -52,7 +53,8 @@ add(
 add(
     "composite", lambda c: fields.composite(c.px.select("y", "x", F.col("d").cast("double").alias("d"), "v"), {"d": 2.0, "v": 1.0}).select("y", "x", *r6("v")),
     f"""WITH {PX}, c AS (SELECT quantile_cont(d, 0.01) AS dl, quantile_cont(d, 0.99) AS dh, quantile_cont(v, 0.01) AS vl, quantile_cont(v, 0.99) AS vh FROM px WHERE y % 8 = 0 AND x % 8 = 0),
-a AS (SELECT y, x, (2.0e0 * least(greatest((d - dl) / (dh - dl), 0.0e0), 1.0e0) + least(greatest((v - vl) / (vh - vl), 0.0e0), 1.0e0)) AS v FROM px, c), s AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM a WHERE y % 8 = 0 AND x % 8 = 0)
+a AS (SELECT y, x, (2.0e0 * least(greatest((d - dl) / (dh - dl), 0.0e0), 1.0e0) + least(greatest((v - vl) / (vh - vl), 0.0e0), 1.0e0)) AS v FROM px,
+  c), s AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM a WHERE y % 8 = 0 AND x % 8 = 0)
 SELECT y, x, round({_SCALE}, 6) AS v FROM a, s""",
 )
 add(
@@ -78,7 +80,8 @@ add(
 add(
     "tile_argmax", lambda c: select.tile_argmax(c.px.select("y", "x", "v"), "v", 60000.0, 3, c.free).select("y", "x", "p"),
     f"""WITH {SETS}, o AS (SELECT * FROM px p WHERE v > 60000.0e0 AND NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x))
-SELECT y, x, 1.0e0 AS p FROM (SELECT y, x, row_number() OVER (PARTITION BY y // 3, x // 3 ORDER BY v DESC, y, x) AS n FROM o) WHERE n = 1 UNION ALL SELECT y, x, 1.0e0 FROM px JOIN free USING (y, x) WHERE v > 0""",
+SELECT y, x, 1.0e0 AS p FROM (SELECT y, x, row_number() OVER (PARTITION BY y // 3, x // 3 ORDER BY v DESC, y, x) AS n FROM o) WHERE n = 1 UNION ALL
+  SELECT y, x, 1.0e0 FROM px JOIN free USING (y, x) WHERE v > 0""",
 )
 #: Rounds of a recursive query: a cell next to a taken one goes, a cell before all its open neighbours is taken.
 _GREEDY = f"""WITH RECURSIVE {PX}, o AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx < 9),
@@ -97,18 +100,22 @@ add("topk_cap", lambda c: select.top(c.px.select("y", "x", "v"), "v", 1000), f"W
 _BLOCKED = "b AS (SELECT y, x, v, CAST((y // 100) * 40 + x // 100 AS INT) AS block FROM px)"
 add(
     "round_robin", lambda c: select.round_robin(c.px.select("y", "x", "v", folds.fixed_block().alias("block")), "v", "block"),
-    f"""WITH {PX}, {_BLOCKED}, n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS nth FROM b) SELECT y, x, v, block, nth, row_number() OVER (ORDER BY nth, v DESC, y, x) AS rank FROM n""",
+    f"""WITH {PX}, {_BLOCKED}, n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS nth FROM b) SELECT y, x, v, block, nth,
+  row_number() OVER (ORDER BY nth, v DESC, y, x) AS rank FROM n""",
 )
 _EDGES, _CUM = [1.0, 2.0, 3.0, 5.0], [0.1, 0.35, 0.6, 0.9]
 _QUOTA = select.quotas(_CUM, 400)
 add(
     "stratified_select", lambda c: select.stratified_select(select.local_max(c.px.select("y", "x", "v"), "v", 1).join(geometry.distance(c.px, c.truth, c.grid), ["y", "x"]).withColumn("block", folds.fixed_block(20, 20)), "v", "dist", "block", _EDGES, _CUM, 400).select("y", "x", "v", "block", "bin"),
-    f"""WITH {SETS}, {DIST}, o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)), top AS (SELECT a.y, a.x, any_value(a.v) AS v, max(b.v) AS t FROM px a CROSS JOIN o JOIN px b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2),
-pk AS (SELECT y, x, v, CAST((y // 20) * 20 + x // 20 AS INT) AS block, CAST((dist > 1)::INT + (dist > 2)::INT + (dist > 3)::INT + (dist > 5)::INT AS INT) AS bin FROM top JOIN dist USING (y, x) WHERE v >= t),
+    f"""WITH {SETS}, {DIST}, o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)), top AS (SELECT a.y, a.x, any_value(a.v) AS v,
+  max(b.v) AS t FROM px a CROSS JOIN o JOIN px b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2),
+pk AS (SELECT y, x, v, CAST((y // 20) * 20 + x // 20 AS INT) AS block,
+  CAST((dist > 1)::INT + (dist > 2)::INT + (dist > 3)::INT + (dist > 5)::INT AS INT) AS bin FROM top JOIN dist USING (y, x) WHERE v >= t),
 qt(bin, quota) AS (VALUES {", ".join(f"({k}, {q})" for k, q in enumerate(_QUOTA))}),
 r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY nth, v DESC, y, x) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY bin, block ORDER BY v DESC, y, x) AS nth FROM pk)),
 f AS (SELECT y, x, v, block, bin FROM r JOIN qt USING (bin) WHERE pos <= quota),
-rest AS (SELECT *, row_number() OVER (ORDER BY nth, v DESC, y, x) AS pos FROM (SELECT pk.*, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS nth FROM pk WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.y = pk.y AND f.x = pk.x)))
+rest AS (SELECT *, row_number() OVER (ORDER BY nth, v DESC, y, x) AS pos FROM (SELECT pk.*, row_number() OVER (PARTITION BY block ORDER BY v DESC, y,
+  x) AS nth FROM pk WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.y = pk.y AND f.x = pk.x)))
 SELECT * FROM f UNION ALL SELECT y, x, v, block, bin FROM rest WHERE pos <= 400 - (SELECT count(*) FROM f)""",
 )
 _KEY = "(y * 7919 + x * 104729) % 1000003"
@@ -128,15 +135,18 @@ add("expected_credit", lambda c: select.expected_credit(c.truth, c.px.select("y"
 add("fold_cells", lambda c: folds.fold_cells(c.truth, 3, c.grid, 10), f"WITH {SETS}, kb AS (SELECT y, x, {_block_sql(3)} AS fold FROM truth, gs) SELECT fold, y, x FROM kb WHERE fold IN (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10)")
 add(
     "fold_free", lambda c: folds.fold_free(c.truth, folds.fold_cells(c.truth, 2, c.grid, 10), 2, c.grid, 1),
-    f"""WITH {SETS}, kb AS (SELECT y, x, {_block_sql(2)} AS fold FROM truth, gs), adm AS (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10), ff AS (SELECT adm.fold, y, x FROM kb, adm WHERE kb.fold <> adm.fold)
+    f"""WITH {SETS}, kb AS (SELECT y, x, {_block_sql(2)} AS fold FROM truth, gs), adm AS (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10),
+  ff AS (SELECT adm.fold, y, x FROM kb, adm WHERE kb.fold <> adm.fold)
 SELECT DISTINCT fold, y + dy AS y, x + dx AS x FROM ff, range(-1, 2) a(dy), range(-1, 2) b(dx), gs WHERE abs(dy) + abs(dx) <= 1 AND y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND w - 1""",
 )
 add("sized_blocks", lambda c: c.px.groupBy(folds.sized_block(4, c.grid).alias("block")).agg(F.count("*").alias("n")), f"WITH {SETS} SELECT CAST((y // ((h + 3) // 4)) * 4 + x // ((w + 3) // 4) AS INT) AS block, count(*) AS n FROM px, gs GROUP BY 1")
 add("fixed_blocks", lambda c: c.px.groupBy(folds.fixed_block().alias("block")).agg(F.count("*").alias("n")), f"WITH {PX}, {_BLOCKED} SELECT block, count(*) AS n FROM b GROUP BY 1")
 add(
     "fold_windows", lambda c: folds.windows(folds.fold_cells(c.truth, 3, c.grid, 10), c.grid, 1000),
-    f"""WITH {SETS}, b AS (SELECT {_block_sql(3)} AS fold, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1, greatest(min(x) - 6, 0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1, count(*) AS n, any_value(h * w) AS total FROM truth, gs GROUP BY 1)
-SELECT fold, y0, y1, x0, x1, (y1 - y0 + 1) * (x1 - x0 + 1) AS area, CAST(greatest(1, round_even(1000.0e0 * ((y1 - y0 + 1) * (x1 - x0 + 1)) / CAST(total AS DOUBLE), 0)) AS INT) AS budget FROM b WHERE n >= 10""",
+    f"""WITH {SETS}, b AS (SELECT {_block_sql(3)} AS fold, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1,
+  greatest(min(x) - 6, 0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1, count(*) AS n, any_value(h * w) AS total FROM truth, gs GROUP BY 1)
+SELECT fold, y0, y1, x0, x1, (y1 - y0 + 1) * (x1 - x0 + 1) AS area, CAST(greatest(1,
+  round_even(1000.0e0 * ((y1 - y0 + 1) * (x1 - x0 + 1)) / CAST(total AS DOUBLE), 0)) AS INT) AS budget FROM b WHERE n >= 10""",
 )
 # ---------------------------------------------------------------- statistics
 
@@ -190,18 +200,24 @@ def _sets(c: Ctx) -> DataFrame:
 _RANKS_SQL = "pr AS (SELECT y, x, (row_number() OVER (ORDER BY v, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pv, (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pq FROM px)"
 add(
     "percentile_lift", lambda c: stats.percentile_lift(_ranks(c), ["pv", "pq"], _sets(c)).select("name", "band", *r6("mean_rank", "lift", "pct_top10", "pct_top1")),
-    f"""WITH {SETS}, {_RANKS_SQL}, l AS (SELECT y, x, 'pv' AS band, pv AS r FROM pr UNION ALL SELECT y, x, 'pq', pq FROM pr), s AS (SELECT 'pred' AS name, y, x FROM pred UNION ALL SELECT 'free', y, x FROM free), b AS (SELECT band, avg(r) AS base FROM l GROUP BY 1)
-SELECT name, band, round(avg(r), 6) AS mean_rank, round(avg(r) - any_value(base), 6) AS lift, round(100.0e0 * avg(CASE WHEN r >= 0.9e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_top10, round(100.0e0 * avg(CASE WHEN r >= 0.99e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_top1
+    f"""WITH {SETS}, {_RANKS_SQL}, l AS (SELECT y, x, 'pv' AS band, pv AS r FROM pr UNION ALL SELECT y, x, 'pq', pq FROM pr),
+  s AS (SELECT 'pred' AS name, y, x FROM pred UNION ALL SELECT 'free', y, x FROM free), b AS (SELECT band, avg(r) AS base FROM l GROUP BY 1)
+SELECT name, band, round(avg(r), 6) AS mean_rank, round(avg(r) - any_value(base), 6) AS lift,
+  round(100.0e0 * avg(CASE WHEN r >= 0.9e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_top10,
+  round(100.0e0 * avg(CASE WHEN r >= 0.99e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_top1
 FROM l JOIN s USING (y, x) JOIN b USING (band) GROUP BY 1, 2""",
 )
 add(
     "distance_profile", lambda c: stats.distance_profile(_sets(c), geometry.distance(c.px, c.truth, c.grid)).select("name", "n", *r6("p10", "p50", "p90", "within_3", "within_10")),
-    f"""WITH {SETS}, {DIST}, s AS (SELECT 'pred' AS name, y, x FROM pred UNION ALL SELECT 'free', y, x FROM free) SELECT name, count(*) AS n, round(quantile_cont(dist, 0.1), 6) AS p10, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.9), 6) AS p90,
+    f"""WITH {SETS}, {DIST}, s AS (SELECT 'pred' AS name, y, x FROM pred UNION ALL SELECT 'free', y, x FROM free) SELECT name, count(*) AS n,
+  round(quantile_cont(dist, 0.1), 6) AS p10, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.9), 6) AS p90,
 round(avg(CASE WHEN dist <= 3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS within_3, round(avg(CASE WHEN dist <= 10 THEN 1.0e0 ELSE 0.0e0 END), 6) AS within_10 FROM s JOIN dist USING (y, x) GROUP BY 1""",
 )
 _BUDGETS = [100, 500, 1000, 5000]
-_CURVE = f"""WITH {SETS}, {CONE}, r AS (SELECT y, x, row_number() OVER (ORDER BY v DESC, y, x) AS rank FROM px), t AS (SELECT y, x, {_block_sql(2)} AS fold FROM truth, gs), n AS (SELECT unnest([100, 500, 1000, 5000]) AS n),
-b AS (SELECT n, fold, t.y, t.x, max(k) AS c FROM t CROSS JOIN k JOIN r ON r.y = t.y + dy AND r.x = t.x + dx JOIN n ON rank <= n GROUP BY 1, 2, 3, 4), cv AS (SELECT n, fold, sum(c) AS t FROM b GROUP BY 1, 2)"""
+_CURVE = f"""WITH {SETS}, {CONE}, r AS (SELECT y, x, row_number() OVER (ORDER BY v DESC, y, x) AS rank FROM px), t AS (SELECT y, x,
+  {_block_sql(2)} AS fold FROM truth, gs), n AS (SELECT unnest([100, 500, 1000, 5000]) AS n),
+b AS (SELECT n, fold, t.y, t.x, max(k) AS c FROM t CROSS JOIN k JOIN r ON r.y = t.y + dy AND r.x = t.x + dx JOIN n ON rank <= n GROUP BY 1, 2, 3, 4),
+  cv AS (SELECT n, fold, sum(c) AS t FROM b GROUP BY 1, 2)"""
 
 
 def _curve(c: Ctx) -> DataFrame:
@@ -269,18 +285,22 @@ add(
 
 add(
     "registry_summary", lambda c: similarity.registry_summary(_art(c), c.truth, geometry.distance(c.px, c.truth, c.grid), c.free).select("a", "n_positive", *r6("pct_on_known", "pct_within_3"), "payload"),
-    f"""WITH {SETS}, {ART}, {DIST} SELECT a, count(*) AS n_positive, round(100.0e0 * avg(CASE WHEN dist = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_on_known, round(100.0e0 * avg(CASE WHEN dist <= 3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_within_3,
+    f"""WITH {SETS}, {ART}, {DIST} SELECT a, count(*) AS n_positive, round(100.0e0 * avg(CASE WHEN dist = 0 THEN 1.0e0 ELSE 0.0e0 END),
+  6) AS pct_on_known, round(100.0e0 * avg(CASE WHEN dist <= 3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_within_3,
 count(*) FILTER (f.y IS NULL) AS payload FROM art JOIN dist USING (y, x) LEFT JOIN free f ON f.y = art.y AND f.x = art.x GROUP BY 1""",
 )
 add(
     "surface_correlation", lambda c: similarity.surface_correlation(_art(c).where("a = 1").select("y", "x", "p"), _art(c).where("a = 2").select("y", "x", "p"), c.grid).select(*r6("pearson_full"), "n_support", *r6("pearson_support", "spearman_support")),
-    f"""WITH {SETS}, {ART}, j AS (SELECT coalesce(u.p, 0.0e0) AS u, coalesce(v.p, 0.0e0) AS w FROM (SELECT * FROM art WHERE a = 1) u FULL JOIN (SELECT * FROM art WHERE a = 2) v ON u.y = v.y AND u.x = v.x), g AS (SELECT CAST(h AS DOUBLE) * gs.w AS n FROM gs)
-SELECT round((sum(u * w) - sum(u) * sum(w) / any_value(n)) / sqrt((sum(u * u) - sum(u) * sum(u) / any_value(n)) * (sum(w * w) - sum(w) * sum(w) / any_value(n))), 6) AS pearson_full, count(*) AS n_support, round(corr(u, w), 6) AS pearson_support, round(corr(u, w), 6) AS spearman_support FROM j, g""",
+    f"""WITH {SETS}, {ART}, j AS (SELECT coalesce(u.p, 0.0e0) AS u, coalesce(v.p, 0.0e0) AS w FROM (SELECT * FROM art WHERE a = 1) u FULL
+  JOIN (SELECT * FROM art WHERE a = 2) v ON u.y = v.y AND u.x = v.x), g AS (SELECT CAST(h AS DOUBLE) * gs.w AS n FROM gs)
+SELECT round((sum(u * w) - sum(u) * sum(w) / any_value(n)) / sqrt((sum(u * u) - sum(u) * sum(u) / any_value(n)) * (sum(w * w) - sum(w) * sum(w) / any_value(n))),
+  6) AS pearson_full, count(*) AS n_support, round(corr(u, w), 6) AS pearson_support, round(corr(u, w), 6) AS spearman_support FROM j, g""",
 )
 query(
     "ledger_resolve",
     """WITH f AS (SELECT DISTINCT p_name AS name FROM part), l AS (SELECT p_partkey AS claim, split_part(p_name, ' ', 1) AS repo, split_part(p_name, ' ', 2) AS needle FROM part),
-m AS (SELECT claim, repo, needle, name, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN starts_with(name, repo || '__') THEN 0 ELSE 1 END, length(name), name) AS n FROM l LEFT JOIN f ON contains(name, needle)) SELECT claim, repo, needle, name FROM m WHERE n = 1""",
+m AS (SELECT claim, repo, needle, name, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN starts_with(name, repo || '__') THEN 0 ELSE 1 END,
+  length(name), name) AS n FROM l LEFT JOIN f ON contains(name, needle)) SELECT claim, repo, needle, name FROM m WHERE n = 1""",
 )(_on("part", lambda t: similarity.resolve_names(t.select(F.col("p_partkey").alias("claim"), F.split("p_name", " ")[0].alias("repo"), F.split("p_name", " ")[1].alias("needle")), t.select(F.col("p_name").alias("name")).distinct())))
 query("name_rules", "SELECT DISTINCT p_name AS name, CASE WHEN p_name LIKE '%bolt%' THEN 'x' WHEN p_name LIKE '%red%' THEN 'y' END AS label FROM part")(
     _on("part", lambda t: similarity.classify_names(t.select(F.col("p_name").alias("name")).distinct(), [("x", "Bolt"), ("y", "red")]))
@@ -303,11 +323,14 @@ def _sweep(c: Ctx) -> DataFrame:
 add(
     "sweep_best", lambda c: model.choose(_sweep(c), "mean_dti", ["bar"]).select("bar", "n_folds", *r6("mean_dti")),
     f"""WITH {SETS}, {CONE}, ft AS (SELECT y, x, {_block_sql(2)} AS fold FROM truth, gs), bars AS (SELECT unnest([7, 8, 9]) AS bar), dots AS (SELECT bar, y, x FROM px, bars WHERE d >= bar),
-cr AS (SELECT bar, fold, t.y, t.x, max(CASE WHEN p.y IS NOT NULL THEN k ELSE 0.0e0 END) AS c FROM ft t CROSS JOIN k CROSS JOIN bars LEFT JOIN dots p USING (bar) WHERE true AND p.y = t.y + dy AND p.x = t.x + dx GROUP BY 1, 2, 3, 4),
+cr AS (SELECT bar, fold, t.y, t.x, max(CASE WHEN p.y IS NOT NULL THEN k ELSE 0.0e0 END) AS c FROM ft t CROSS JOIN k CROSS JOIN bars LEFT
+  JOIN dots p USING (bar) WHERE true AND p.y = t.y + dy AND p.x = t.x + dx GROUP BY 1, 2, 3, 4),
 tp AS (SELECT bar, fold, sum(c) AS tp FROM cr GROUP BY 1, 2), nt AS (SELECT fold, count(*) AS n FROM ft GROUP BY 1),
-rc AS (SELECT bar, f.fold, p.y, p.x, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k END), 0.0e0) AS k FROM dots p CROSS JOIN nt f CROSS JOIN k LEFT JOIN ft t ON t.fold = f.fold AND t.y = p.y + dy AND t.x = p.x + dx GROUP BY 1, 2, 3, 4),
+rc AS (SELECT bar, f.fold, p.y, p.x, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k END), 0.0e0) AS k FROM dots p CROSS JOIN nt f CROSS JOIN k LEFT
+  JOIN ft t ON t.fold = f.fold AND t.y = p.y + dy AND t.x = p.x + dx GROUP BY 1, 2, 3, 4),
 fp AS (SELECT bar, fold, sum(1.0e0 - k) AS fp FROM rc GROUP BY 1, 2),
-s AS (SELECT bar, tp / (tp + 0.2e0 * fp + 0.8e0 * (n - tp) + 1.0e-12) AS dti FROM tp JOIN fp USING (bar, fold) JOIN nt USING (fold)) SELECT bar, count(*) AS n_folds, round(avg(dti), 6) AS mean_dti FROM s GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1""",
+s AS (SELECT bar, tp / (tp + 0.2e0 * fp + 0.8e0 * (n - tp) + 1.0e-12) AS dti FROM tp JOIN fp USING (bar, fold) JOIN nt USING (fold)) SELECT bar,
+  count(*) AS n_folds, round(avg(dti), 6) AS mean_dti FROM s GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1""",
 )
 add("best_by_block", lambda c: stats.best_by(c.px.select("y", "x", "v", folds.fixed_block().alias("block")), "v", ["block"], ["y", "x"]), f"WITH {PX}, {_BLOCKED} SELECT y, x, v, block FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS n FROM b) WHERE n = 1")
 
@@ -353,9 +376,11 @@ def _loo(c: Ctx, subsets: dict[str, list[str]]) -> DataFrame:
 _LOO_1D = """WITH z AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, CAST(embedding[@K@] AS DOUBLE) AS f FROM embeddings),
 t AS (SELECT count(*) - 1 AS m, sum(f) AS sf, sum(f * f) AS sff, sum(y) AS sy, sum(f * y) AS sfy FROM z),
 o AS (SELECT vec_id, y, f, m, (sf - f) / m AS mu, (sy - y) / m AS yb, sqrt((sff - f * f) / m - ((sf - f) / m) * ((sf - f) / m)) + 1.0e-12 AS sd, sfy - f * y AS xy FROM z, t),
-p AS (SELECT lam, vec_id, y, yb + (f - mu) / sd * (((xy - mu * yb * m) / sd) / (m * ((sd - 1.0e-12) / sd) * ((sd - 1.0e-12) / sd) + lam)) AS pred FROM o, (SELECT unnest([0.3e0, 1.0e0, 3.0e0, 10.0e0]) AS lam)),
+p AS (SELECT lam, vec_id, y, yb + (f - mu) / sd * (((xy - mu * yb * m) / sd) / (m * ((sd - 1.0e-12) / sd) * ((sd - 1.0e-12) / sd) + lam)) AS pred
+  FROM o, (SELECT unnest([0.3e0, 1.0e0, 3.0e0, 10.0e0]) AS lam)),
 r AS (SELECT *, row_number() OVER (PARTITION BY lam ORDER BY pred, vec_id) AS rp, row_number() OVER (PARTITION BY lam ORDER BY y, vec_id) AS rt FROM p)
-SELECT lam, '@N@' AS subset, count(*) AS n, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(1.0e0 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, round(corr(rp, rt), 6) AS spearman
+SELECT lam, '@N@' AS subset, count(*) AS n, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse,
+  round(1.0e0 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, round(corr(rp, rt), 6) AS spearman
 FROM r GROUP BY 1"""
 add("loo_ridge", lambda c: _loo(c, {"all": _SIX, "first": ["f0"]}))
 add("loo_single", lambda c: _loo(c, {f: [f] for f in _SIX[:3]}), " UNION ALL ".join(f"SELECT * FROM ({_LOO_1D.replace('@K@', str(k + 1)).replace('@N@', f'f{k}')})" for k in range(3)))

@@ -203,7 +203,8 @@ charged AS (SELECT e.fold, p.* FROM pred p, every e WHERE NOT EXISTS (SELECT 1 F
 rc AS (SELECT c.fold, c.y, c.x, c.p, coalesce(max(CASE WHEN t.y IS NOT NULL THEN k.k END), 0.0e0) AS k
   FROM charged c CROSS JOIN k LEFT JOIN ft t ON t.fold = c.fold AND t.y = c.y + k.dy AND t.x = c.x + k.dx GROUP BY 1, 2, 3, 4),
 fp AS (SELECT fold, sum(p * (1.0e0 - k)) AS fp FROM rc GROUP BY 1),
-s AS (SELECT n.fold, n_truth, coalesce(tp, 0.0e0) AS tp, CASE WHEN n_truth = 0 THEN (SELECT sum(p) FROM pred) ELSE fp END AS fp, CASE WHEN n_truth = 0 THEN 0.0e0 ELSE n_truth - coalesce(tp, 0.0e0) END AS fn
+s AS (SELECT n.fold, n_truth, coalesce(tp, 0.0e0) AS tp, CASE WHEN n_truth = 0 THEN (SELECT sum(p) FROM pred) ELSE fp END AS fp,
+  CASE WHEN n_truth = 0 THEN 0.0e0 ELSE n_truth - coalesce(tp, 0.0e0) END AS fn
   FROM n LEFT JOIN tp USING (fold) LEFT JOIN fp USING (fold))
 SELECT fold, n_truth, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(CASE WHEN n_truth = 0 THEN 0.0e0 ELSE tp / (tp + 0.2e0 * fp + 0.8e0 * fn + 1.0e-12) END, 6) AS dti FROM s""",
 )
