@@ -91,7 +91,8 @@ add("dti_score", lambda c: _row(metric.score(c.pred, c.truth, c.free)), f"WITH {
 add("dti_literal_range_join", lambda c: _row(metric.score_literal(c.pred, c.truth, c.free)), f"WITH {SCORE_SQL.replace('@RULE@', NOT_FREE)} SELECT {ROW} FROM s")
 add(
     "dti_free_vs_charged", lambda c: _row(metric.score(c.pred, c.truth, c.free).withColumn("mode", F.lit("free")).union(metric.score(c.pred, c.truth).withColumn("mode", F.lit("charged"))), "mode"),
-    f"SELECT 'free' AS mode, * FROM (WITH {SCORE_SQL.replace('@RULE@', NOT_FREE)} SELECT {ROW} FROM s) UNION ALL SELECT 'charged', * FROM (WITH {SCORE_SQL.replace('@RULE@', 'true')} SELECT {ROW} FROM s)",
+    f"""SELECT 'free' AS mode, * FROM (WITH {SCORE_SQL.replace('@RULE@', NOT_FREE)} SELECT {ROW} FROM s) UNION ALL SELECT 'charged', *
+  FROM (WITH {SCORE_SQL.replace('@RULE@', 'true')} SELECT {ROW} FROM s)""",
 )
 add(
     "credit_per_truth", lambda c: metric.credit(c.pred, c.truth).select("y", "x", *r6("credit")),
@@ -212,13 +213,15 @@ add(
 )
 add(
     "surrogate_set", lambda c: stencil.anti(stencil.semi(G.union_masks(c.pred, c.free), c.px.where("d >= 1")), c.truth),
-    f"WITH {SETS} SELECT DISTINCT y, x FROM (SELECT y, x FROM pred UNION SELECT y, x FROM free) u JOIN px USING (y, x) WHERE d >= 1 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.y = u.y AND t.x = u.x)",
+    f"""WITH {SETS} SELECT DISTINCT y, x FROM (SELECT y, x FROM pred UNION SELECT y, x FROM free) u JOIN px USING (y, x) WHERE d >= 1
+  AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.y = u.y AND t.x = u.x)""",
 )
 _BLEND = {"d": 0.5, "q": 0.3, "absent": 0.2}
 add("band_blend", lambda c: c.px.select("y", "x", F.round(P.blend(_BLEND, c.px.columns), 6).alias("v")), f"WITH {PX} SELECT y, x, round((0.5e0 * d + 0.3e0 * q) / 0.8e0, 6) AS v FROM px")
 add(
     "elementwise_math", lambda c: c.px.select("y", "x", F.round(F.exp(-F.col("d") / 10.0), 6).alias("e"), F.round(F.ln(F.col("v")), 6).alias("l"), F.round(F.cbrt(F.col("v")), 6).alias("c"), F.round(F.hypot("d", "q"), 6).alias("h"), F.round(F.atan2("d", "q"), 6).alias("a"), P.half_even(F.col("d") / 2.0).alias("r")),
-    f"WITH {PX} SELECT y, x, round(exp(-d / 10.0e0), 6) AS e, round(ln(v), 6) AS l, round(cbrt(v), 6) AS c, round(sqrt(CAST(d * d + q * q AS DOUBLE)), 6) AS h, round(atan2(d, q), 6) AS a, CAST(round_even(d / 2.0e0, 0) AS INT) AS r FROM px",
+    f"""WITH {PX} SELECT y, x, round(exp(-d / 10.0e0), 6) AS e, round(ln(v), 6) AS l, round(cbrt(v), 6) AS c,
+  round(sqrt(CAST(d * d + q * q AS DOUBLE)), 6) AS h, round(atan2(d, q), 6) AS a, CAST(round_even(d / 2.0e0, 0) AS INT) AS r FROM px""",
 )
 
 
@@ -248,9 +251,11 @@ query("file_listing", "SELECT p_name AS path, CAST(p_partkey AS BIGINT) AS lengt
 add("edt", lambda c: geometry.distance(c.px, c.truth, c.grid).select("y", "x", *r6("dist")), f"WITH {SETS}, {DIST} SELECT y, x, round(dist, 6) AS dist FROM dist")
 add(
     "dilate_diamond", lambda c: geometry.dilate(c.truth, 2, c.grid),
-    f"WITH {SETS} SELECT DISTINCT t.y + dy AS y, t.x + dx AS x FROM truth t, range(-2, 3) a(dy), range(-2, 3) b(dx), gs WHERE abs(dy) + abs(dx) <= 2 AND t.y + dy BETWEEN 0 AND h - 1 AND t.x + dx BETWEEN 0 AND w - 1",
+    f"""WITH {SETS} SELECT DISTINCT t.y + dy AS y, t.x + dx AS x FROM truth t, range(-2, 3) a(dy), range(-2, 3) b(dx), gs WHERE abs(dy) + abs(dx) <= 2
+  AND t.y + dy BETWEEN 0 AND h - 1 AND t.x + dx BETWEEN 0 AND w - 1""",
 )
-NEIGHBOURS = "o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy <> 0 OR dx <> 0), nb AS (SELECT a.y, a.x, CAST(count(b.y) AS BIGINT) AS n FROM pred a CROSS JOIN o LEFT JOIN pred b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)"
+NEIGHBOURS = """o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy <> 0 OR dx <> 0), nb AS (SELECT a.y, a.x,
+  CAST(count(b.y) AS BIGINT) AS n FROM pred a CROSS JOIN o LEFT JOIN pred b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)"""
 add("neighbour_count", lambda c: geometry.neighbour_count(c.pred), f"WITH {SETS}, {NEIGHBOURS} SELECT * FROM nb")
 add("tips", lambda c: geometry.tips(c.pred), f"WITH {SETS}, {NEIGHBOURS} SELECT y, x FROM nb WHERE n = 1")
 def _direction():
@@ -303,7 +308,9 @@ lab AS (SELECT y, x, min(CAST(ry AS BIGINT) * 4294967296 + rx) AS label FROM rea
 add("components", _labelled, _comp_sql("SELECT y, x, CAST(label // 4294967296 AS INT) AS ly, CAST(label % 4294967296 AS INT) AS lx FROM lab"))
 add(
     "component_stats", lambda c: stats.component_stats(c.truth).select("components", "max_size", *r6("mean_size", "pct_single")),
-    _comp_sql(", s AS (SELECT label, count(*) AS n FROM lab GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS components, CAST(max(n) AS BIGINT) AS max_size, round(avg(n), 6) AS mean_size, round(100.0e0 * avg(CASE WHEN n = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_single FROM s"),
+    _comp_sql(""", s AS (SELECT label, count(*) AS n FROM lab GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS components,
+  CAST(max(n) AS BIGINT) AS max_size, round(avg(n), 6) AS mean_size, round(100.0e0 * avg(CASE WHEN n = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS pct_single
+  FROM s"""),
 )
 add("large_components", lambda c: geometry.large_components(c.truth, 3), _comp_sql("SELECT y, x FROM lab WHERE label IN (SELECT label FROM lab GROUP BY 1 HAVING count(*) >= 3)", eight=False))
 def _nearest_sql(a: str, b: str, k: int, apart: bool) -> str:
@@ -320,9 +327,11 @@ add("nearest_two", lambda c: _near(stencil.nearest(c.truth, c.truth, 4, k=2)), _
 add("nearest_of_few", lambda c: _near(stencil.nearest(c.truth, c.px.where("q = 1 and d = 10 and y % 3 = 0"), 2, k=3)), _nearest_sql(_T, _FEW, 3, False))
 add(
     "bbox_by_block", lambda c: geometry.bbox(c.truth.withColumn("block", folds.block_column(3, c.grid)), c.grid, 6, ("block",)),
-    f"WITH {SETS} SELECT {_block_sql(3)} AS block, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1, greatest(min(x) - 6, 0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1 FROM truth, gs GROUP BY 1",
+    f"""WITH {SETS} SELECT {_block_sql(3)} AS block, greatest(min(y) - 6, 0) AS y0, least(max(y) + 6, any_value(h) - 1) AS y1, greatest(min(x) - 6,
+  0) AS x0, least(max(x) + 6, any_value(w) - 1) AS x1 FROM truth, gs GROUP BY 1""",
 )
-LOCAL = "o AS (SELECT dy, dx FROM range(-{r}, {r1}) a(dy), range(-{r}, {r1}) b(dx)), top AS (SELECT a.y, a.x, any_value(a.v) AS v, max(b.v) AS t FROM px a CROSS JOIN o JOIN px b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)"
+LOCAL = """o AS (SELECT dy, dx FROM range(-{r}, {r1}) a(dy), range(-{r}, {r1}) b(dx)), top AS (SELECT a.y, a.x, any_value(a.v) AS v, max(b.v) AS t
+  FROM px a CROSS JOIN o JOIN px b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2)"""
 add("max_filter", lambda c: geometry.max_filter(c.px.select("y", "x", "v"), "v", 1), f"WITH {PX}, {LOCAL.format(r=1, r1=2)} SELECT y, x, v, t AS top FROM top")
 add("local_max3", lambda c: select.local_max(c.px.select("y", "x", "v"), "v", 1), f"WITH {PX}, {LOCAL.format(r=1, r1=2)} SELECT y, x, v FROM top WHERE v >= t")
 add("local_max7_rank", lambda c: select.ranked_peaks(c.px, "v", 3), f"WITH {PX}, {LOCAL.format(r=3, r1=4)} SELECT y, x, v, row_number() OVER (ORDER BY v DESC, y, x) AS rank FROM top WHERE v >= t")

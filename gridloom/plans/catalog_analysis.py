@@ -22,7 +22,8 @@ SELECT px.y, px.x, round(sum(c), 6) AS blur FROM px JOIN s ON s.y = px.y AND s.t
 )
 add(
     "smooth_tau", lambda c: filters.smooth(c.px.select("y", "x", (F.col("d") / 10.0).alias("v")), "v", c.grid).select("y", "x", *r6("tau")),
-    f"WITH {SETS}, {CONE} SELECT y + dy AS y, x + dx AS x, round(sum(d / 10.0e0 * k), 6) AS tau FROM px, k, gs WHERE y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND w - 1 GROUP BY px.y + dy, px.x + dx",
+    f"""WITH {SETS}, {CONE} SELECT y + dy AS y, x + dx AS x, round(sum(d / 10.0e0 * k), 6) AS tau FROM px, k, gs WHERE y + dy BETWEEN 0 AND h - 1
+  AND x + dx BETWEEN 0 AND w - 1 GROUP BY px.y + dy, px.x + dx""",
 )
 _SCALE6 = "CASE WHEN hi <= lo THEN 0.0e0 ELSE least(greatest((v - lo) / (hi - lo), 0.0e0), 1.0e0) END"
 _SCALE = "CASE WHEN hi <= lo + 1.0e-7 THEN 0.0e0 ELSE least(greatest((v - lo) / (hi - lo), 0.0e0), 1.0e0) END"
@@ -36,7 +37,8 @@ def _dirtied(c: Ctx) -> DataFrame:
 
 add(
     "norm_percentile", lambda c: filters.percentile_scale(_dirtied(c), "v").select("y", "x", *r6("z")),
-    f"WITH {PX}, n AS (SELECT y, x, {_DIRTY} FROM px), c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM n) SELECT y, x, round(CASE WHEN v IS NULL THEN 0.0e0 ELSE {_SCALE6} END, 6) AS z FROM n, c",
+    f"""WITH {PX}, n AS (SELECT y, x, {_DIRTY} FROM px), c AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM n) SELECT y, x,
+  round(CASE WHEN v IS NULL THEN 0.0e0 ELSE {_SCALE6} END, 6) AS z FROM n, c""",
 )
 add(
     "norm_strided", lambda c: filters.percentile_scale(c.px.select("y", "x", "v"), "v", strided=8).select("y", "x", *r6("z")),
@@ -48,7 +50,8 @@ add(
 )
 add(
     "pct_rank", lambda c: filters.pct_rank(c.px.select("y", "x", "q"), "q", F.col("q") > 2).select("y", "x", *r6("pr")),
-    f"WITH {PX}, r AS (SELECT y, x, (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE) AS pr FROM px WHERE q > 2) SELECT px.y, px.x, round(pr, 6) AS pr FROM px LEFT JOIN r ON r.y = px.y AND r.x = px.x",
+    f"""WITH {PX}, r AS (SELECT y, x, (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE) AS pr FROM px
+  WHERE q > 2) SELECT px.y, px.x, round(pr, 6) AS pr FROM px LEFT JOIN r ON r.y = px.y AND r.x = px.x""",
 )
 add(
     "composite", lambda c: fields.composite(c.px.select("y", "x", F.col("d").cast("double").alias("d"), "v"), {"d": 2.0, "v": 1.0}).select("y", "x", *r6("v")),
@@ -126,20 +129,23 @@ add(
 add("matched_sample", lambda c: select.matched_sample(c.px.select("y", "x"), 500, F.expr(_KEY)), f"WITH {PX} SELECT y, x FROM px ORDER BY {_KEY}, y, x LIMIT 500")
 add(
     "emission_compose", lambda c: select.compose(select.carpet(c.free), c.pred, select.top(c.px.select("y", "x", "v"), "v", 300).select("y", "x", F.lit(0.5).alias("p"))),
-    f"WITH {SETS}, t AS (SELECT y, x, 0.5e0 AS p FROM px ORDER BY v DESC, y, x LIMIT 300) SELECT y, x, max(p) AS p FROM (SELECT y, x, 1.0e0 AS p FROM free UNION ALL SELECT y, x, p FROM pred UNION ALL SELECT * FROM t) GROUP BY 1, 2",
+    f"""WITH {SETS}, t AS (SELECT y, x, 0.5e0 AS p FROM px ORDER BY v DESC, y, x LIMIT 300) SELECT y, x, max(p) AS p FROM (SELECT y, x, 1.0e0 AS p
+  FROM free UNION ALL SELECT y, x, p FROM pred UNION ALL SELECT * FROM t) GROUP BY 1, 2""",
 )
 add("expected_credit", lambda c: select.expected_credit(c.truth, c.px.select("y", "x", "v")).select(*r6("credit")), f"WITH {PX} SELECT round(sum(v), 6) AS credit FROM px WHERE q <= 2")
 
 # ---------------------------------------------------------------- folds
 
-add("fold_cells", lambda c: folds.fold_cells(c.truth, 3, c.grid, 10), f"WITH {SETS}, kb AS (SELECT y, x, {_block_sql(3)} AS fold FROM truth, gs) SELECT fold, y, x FROM kb WHERE fold IN (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10)")
+add("fold_cells", lambda c: folds.fold_cells(c.truth, 3, c.grid, 10), f"""WITH {SETS}, kb AS (SELECT y, x, {_block_sql(3)} AS fold FROM truth, gs)
+  SELECT fold, y, x FROM kb WHERE fold IN (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10)""")
 add(
     "fold_free", lambda c: folds.fold_free(c.truth, folds.fold_cells(c.truth, 2, c.grid, 10), 2, c.grid, 1),
     f"""WITH {SETS}, kb AS (SELECT y, x, {_block_sql(2)} AS fold FROM truth, gs), adm AS (SELECT fold FROM kb GROUP BY 1 HAVING count(*) >= 10),
   ff AS (SELECT adm.fold, y, x FROM kb, adm WHERE kb.fold <> adm.fold)
 SELECT DISTINCT fold, y + dy AS y, x + dx AS x FROM ff, range(-1, 2) a(dy), range(-1, 2) b(dx), gs WHERE abs(dy) + abs(dx) <= 1 AND y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND w - 1""",
 )
-add("sized_blocks", lambda c: c.px.groupBy(folds.sized_block(4, c.grid).alias("block")).agg(F.count("*").alias("n")), f"WITH {SETS} SELECT CAST((y // ((h + 3) // 4)) * 4 + x // ((w + 3) // 4) AS INT) AS block, count(*) AS n FROM px, gs GROUP BY 1")
+add("sized_blocks", lambda c: c.px.groupBy(folds.sized_block(4, c.grid).alias("block")).agg(F.count("*").alias("n")), f"""WITH {SETS}
+  SELECT CAST((y // ((h + 3) // 4)) * 4 + x // ((w + 3) // 4) AS INT) AS block, count(*) AS n FROM px, gs GROUP BY 1""")
 add("fixed_blocks", lambda c: c.px.groupBy(folds.fixed_block().alias("block")).agg(F.count("*").alias("n")), f"WITH {PX}, {_BLOCKED} SELECT block, count(*) AS n FROM b GROUP BY 1")
 add(
     "fold_windows", lambda c: folds.windows(folds.fold_cells(c.truth, 3, c.grid, 10), c.grid, 1000),
@@ -150,23 +156,32 @@ SELECT fold, y0, y1, x0, x1, (y1 - y0 + 1) * (x1 - x0 + 1) AS area, CAST(greates
 )
 # ---------------------------------------------------------------- statistics
 
-add("mask_stats", lambda c: stats.mask_stats(c.px.where("d >= 5"), "v").select("n", *r6("sum", "mean", "min", "max")), f"WITH {PX} SELECT CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS sum, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max FROM px WHERE d >= 5")
+add("mask_stats", lambda c: stats.mask_stats(c.px.where("d >= 5"), "v").select("n", *r6("sum", "mean", "min", "max")), f"""WITH {PX}
+  SELECT CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS sum, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max FROM px
+  WHERE d >= 5""")
 add(
     "distance_fractions", lambda c: geometry.distance(c.px, c.truth, c.grid).agg(*[F.round(stats.fraction_within(F.col("dist"), d), 6).alias(f"le_{d}") for d in (1, 3, 5, 10)]),
     f"WITH {SETS}, {DIST} SELECT " + ", ".join(f"round(avg(CASE WHEN dist <= {d} THEN 1.0e0 ELSE 0.0e0 END), 6) AS le_{d}" for d in (1, 3, 5, 10)) + " FROM dist",
 )
-add("distance_hist", lambda c: stats.histogram(geometry.distance(c.px, c.truth, c.grid), "dist", [0, 1, 2, 3, 5, 10]), f"WITH {SETS}, {DIST} SELECT CAST((dist >= 1)::INT + (dist >= 2)::INT + (dist >= 3)::INT + (dist >= 5)::INT AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM dist WHERE dist >= 0 AND dist < 10 GROUP BY 1")
+add("distance_hist", lambda c: stats.histogram(geometry.distance(c.px, c.truth, c.grid), "dist", [0, 1, 2, 3, 5, 10]), f"""WITH {SETS},
+  {DIST} SELECT CAST((dist >= 1)::INT + (dist >= 2)::INT + (dist >= 3)::INT + (dist >= 5)::INT AS INT) AS bin, CAST(count(*) AS BIGINT) AS n FROM dist
+  WHERE dist >= 0 AND dist < 10 GROUP BY 1""")
 add(
     "distance_percentiles", lambda c: stats.percentiles(geometry.distance(c.px, c.truth, c.grid).join(c.px, ["y", "x"]), "dist", [0.1, 0.5, 0.9], ("d",)).select("d", *r6("p10", "p50", "p90")),
-    f"WITH {SETS}, {DIST} SELECT d, round(quantile_cont(dist, 0.1), 6) AS p10, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.9), 6) AS p90 FROM dist JOIN px USING (y, x) GROUP BY 1",
+    f"""WITH {SETS}, {DIST} SELECT d, round(quantile_cont(dist, 0.1), 6) AS p10, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist,
+  0.9), 6) AS p90 FROM dist JOIN px USING (y, x) GROUP BY 1""",
 )
 add("median_offset", lambda c: stats.median_offset(c.px, "v", 40000.0, ("d",)).select("d", *r6("mad")), f"WITH {PX} SELECT d, round(quantile_cont(abs(v - 40000.0e0), 0.5), 6) AS mad FROM px GROUP BY 1")
 add(
     "block_density", lambda c: stats.block_density(c.pred, c.grid).select("bi", "bj", *r6("density")),
-    f"WITH {SETS} SELECT CAST(y // 32 AS INT) AS bi, CAST(x // 32 AS INT) AS bj, round(count(*) / CAST(any_value(least(32, h - (y // 32) * 32) * least(32, w - (x // 32) * 32)) AS DOUBLE), 6) AS density FROM pred, gs GROUP BY 1, 2",
-)
-add("block_counts", lambda c: stats.block_counts(c.pred, folds.fixed_block(50)), f"WITH {SETS} SELECT CAST((y // 50) * 40 + x // 50 AS INT) AS block, CAST(count(*) AS BIGINT) AS n FROM pred GROUP BY 1")
-add("block_occupancy", lambda c: stats.occupancy(c.truth, c.px, folds.fixed_block(10, 100)).select("occupied", "blocks", *r6("occupancy")), f"WITH {SETS} SELECT *, round(occupied / CAST(blocks AS DOUBLE), 6) AS occupancy FROM (SELECT (SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM truth) AS occupied, (SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM px) AS blocks)")
+    f"""WITH {SETS} SELECT CAST(y // 32 AS INT) AS bi, CAST(x // 32 AS INT) AS bj, round(count(*) / CAST(any_value(least(32,
+  h - (y // 32) * 32) * least(32, w - (x // 32) * 32)) AS DOUBLE), 6) AS density FROM pred, gs GROUP BY 1, 2""",
+)
+add("block_counts", lambda c: stats.block_counts(c.pred, folds.fixed_block(50)), f"""WITH {SETS}
+  SELECT CAST((y // 50) * 40 + x // 50 AS INT) AS block, CAST(count(*) AS BIGINT) AS n FROM pred GROUP BY 1""")
+add("block_occupancy", lambda c: stats.occupancy(c.truth, c.px, folds.fixed_block(10, 100)).select("occupied", "blocks", *r6("occupancy")), f"""WITH {SETS}
+  SELECT *, round(occupied / CAST(blocks AS DOUBLE), 6) AS occupancy FROM (SELECT (SELECT count(DISTINCT (y // 10) * 100 + x // 10)
+  FROM truth) AS occupied, (SELECT count(DISTINCT (y // 10) * 100 + x // 10) FROM px) AS blocks)""")
 add("centroid", lambda c: stats.centroid(c.truth).select(*r6("cy", "cx")), f"WITH {SETS} SELECT round(avg(y), 6) AS cy, round(avg(x), 6) AS cx FROM truth")
 add(
     "pearson_pairs", lambda c: stats.pearson(c.px, "v", "q", ("d",)).select("d", *r6("pearson")),
@@ -178,14 +193,20 @@ def _parts(c: Ctx) -> DataFrame:
     return c.spark.read.parquet(f"{c.sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
 
 
-add("spearman_ordinal", lambda c: stats.spearman(_parts(c), "a", "b").select("n", *r6("spearman")), "SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS ra, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS rb FROM customer)")
+add("spearman_ordinal", lambda c: stats.spearman(_parts(c), "a", "b").select("n", *r6("spearman")), """SELECT count(*) AS n, round(corr(ra, rb),
+  6) AS spearman FROM (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS ra, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS rb
+  FROM customer)""")
 add(
     "spearman_avg_ties", lambda c: stats.spearman(_parts(c), "a", "b", "average").select("n", *r6("spearman")),
-    "SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0e0 AS ra, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0e0 AS rb FROM customer)",
+    """SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman
+  FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0e0 AS ra,
+  rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0e0 AS rb FROM customer)""",
 )
 add(
     "fit_quality", lambda c: stats.fit_quality(c.px.withColumn("guess", F.col("q") * 1500.0), "v", "guess").select("n", *r6("rmse", "r2", "mae", "max_residual")),
-    f"WITH {PX}, e AS (SELECT v, v - q * 1500.0e0 AS e FROM px) SELECT count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(1.0e0 - sum(e * e) / (sum(v * v) - sum(v) * sum(v) / count(*)), 6) AS r2, round(avg(abs(e)), 6) AS mae, round(max(abs(e)), 6) AS max_residual FROM e",
+    f"""WITH {PX}, e AS (SELECT v, v - q * 1500.0e0 AS e FROM px) SELECT count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse,
+  round(1.0e0 - sum(e * e) / (sum(v * v) - sum(v) * sum(v) / count(*)), 6) AS r2, round(avg(abs(e)), 6) AS mae, round(max(abs(e)), 6) AS max_residual
+  FROM e""",
 )
 
 
@@ -197,7 +218,8 @@ def _sets(c: Ctx) -> DataFrame:
     return c.pred.select(F.lit("pred").alias("name"), "y", "x").union(c.free.select(F.lit("free"), "y", "x"))
 
 
-_RANKS_SQL = "pr AS (SELECT y, x, (row_number() OVER (ORDER BY v, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pv, (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pq FROM px)"
+_RANKS_SQL = """pr AS (SELECT y, x, (row_number() OVER (ORDER BY v, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pv,
+  (row_number() OVER (ORDER BY q, y, x) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS pq FROM px)"""
 add(
     "percentile_lift", lambda c: stats.percentile_lift(_ranks(c), ["pv", "pq"], _sets(c)).select("name", "band", *r6("mean_rank", "lift", "pct_top10", "pct_top1")),
     f"""WITH {SETS}, {_RANKS_SQL}, l AS (SELECT y, x, 'pv' AS band, pv AS r FROM pr UNION ALL SELECT y, x, 'pq', pq FROM pr),
@@ -226,7 +248,8 @@ def _curve(c: Ctx) -> DataFrame:
 
 
 add("credit_curve", lambda c: _curve(c).select("n", "fold", *r6("t")), f"{_CURVE} SELECT n, fold, round(t, 6) AS t FROM cv")
-add("credit_curve_summary", lambda c: stats.curve_summary(_curve(c)).select("n", "positive", *r6("mean_t", "min_t")), f"{_CURVE} SELECT n, count(*) FILTER (t > 0) AS positive, round(avg(t), 6) AS mean_t, round(min(t), 6) AS min_t FROM cv GROUP BY 1")
+add("credit_curve_summary", lambda c: stats.curve_summary(_curve(c)).select("n", "positive", *r6("mean_t", "min_t")), f"""{_CURVE}
+  SELECT n, count(*) FILTER (t > 0) AS positive, round(avg(t), 6) AS mean_t, round(min(t), 6) AS min_t FROM cv GROUP BY 1""")
 add(
     "elasticity", lambda c: stats.marginals(_curve(c), "n", "t", ("fold",)).select("fold", "n", *r6("t", "marginal", "elasticity")),
     f"""{_CURVE}, l AS (SELECT *, lag(n) OVER w AS n0, lag(t) OVER w AS t0 FROM cv WINDOW w AS (PARTITION BY fold ORDER BY n))
@@ -253,7 +276,8 @@ FROM truth JOIN dist USING (y, x) JOIN pr USING (y, x)""",
 
 AGREE = "round(CASE WHEN na + nb > 0 THEN 2.0e0 * i / (na + nb) END, 6) AS dice, round(CASE WHEN na + nb - i > 0 THEN CAST(i AS DOUBLE) / (na + nb - i) END, 6) AS jaccard, round(CASE WHEN na > 0 THEN CAST(i AS DOUBLE) / na END, 6) AS a_in_b, round(CASE WHEN nb > 0 THEN CAST(i AS DOUBLE) / nb END, 6) AS b_in_a"
 COUNTS = "na AS n_a, nb AS n_b, i AS intersection, na + nb - i AS \"union\""
-PAIRS = f"{ART}, n AS (SELECT a, count(*) AS n FROM art GROUP BY 1), pr AS (SELECT n1.a AS a, n2.a AS b, n1.n AS na, n2.n AS nb, (SELECT count(*) FROM art u JOIN art v USING (y, x) WHERE u.a = n1.a AND v.a = n2.a) AS i FROM n n1 JOIN n n2 ON n1.a < n2.a)"
+PAIRS = f"""{ART}, n AS (SELECT a, count(*) AS n FROM art GROUP BY 1), pr AS (SELECT n1.a AS a, n2.a AS b, n1.n AS na, n2.n AS nb, (SELECT count(*)
+  FROM art u JOIN art v USING (y, x) WHERE u.a = n1.a AND v.a = n2.a) AS i FROM n n1 JOIN n n2 ON n1.a < n2.a)"""
 
 
 def _art(c: Ctx) -> DataFrame:
@@ -262,11 +286,14 @@ def _art(c: Ctx) -> DataFrame:
 
 add(
     "final_agreement", lambda c: similarity.agreement(_art(c).where("a = 1"), _art(c).where("a = 2")).select("n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a")),
-    f"WITH {ART}, s AS (SELECT (SELECT count(*) FROM art WHERE a = 1) AS na, (SELECT count(*) FROM art WHERE a = 2) AS nb, (SELECT count(*) FROM art u JOIN art v USING (y, x) WHERE u.a = 1 AND v.a = 2) AS i) SELECT {COUNTS}, {AGREE} FROM s",
+    f"""WITH {ART}, s AS (SELECT (SELECT count(*) FROM art WHERE a = 1) AS na, (SELECT count(*) FROM art WHERE a = 2) AS nb, (SELECT count(*)
+  FROM art u JOIN art v USING (y, x) WHERE u.a = 1 AND v.a = 2) AS i) SELECT {COUNTS}, {AGREE} FROM s""",
 )
 add(
     "payload_agreement", lambda c: similarity.agreement(similarity.payloads(_art(c).where("a = 1"), c.free), similarity.payloads(_art(c).where("a = 2"), c.free)).select("n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a")),
-    f"WITH {SETS}, {ART}, py AS (SELECT * FROM art p WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x)), s AS (SELECT (SELECT count(*) FROM py WHERE a = 1) AS na, (SELECT count(*) FROM py WHERE a = 2) AS nb, (SELECT count(*) FROM py u JOIN py v USING (y, x) WHERE u.a = 1 AND v.a = 2) AS i) SELECT {COUNTS}, {AGREE} FROM s",
+    f"""WITH {SETS}, {ART}, py AS (SELECT * FROM art p WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.y = p.y AND f.x = p.x)),
+  s AS (SELECT (SELECT count(*) FROM py WHERE a = 1) AS na, (SELECT count(*) FROM py WHERE a = 2) AS nb, (SELECT count(*) FROM py u
+  JOIN py v USING (y, x) WHERE u.a = 1 AND v.a = 2) AS i) SELECT {COUNTS}, {AGREE} FROM s""",
 )
 add(
     "all_pairs_overlap", lambda c: similarity.all_pairs(_art(c), c.grid).select("a", "b", "n_a", "n_b", "intersection", "union", *r6("dice", "jaccard", "a_in_b", "b_in_a", "pearson", "pearson_support")),
@@ -306,7 +333,9 @@ query("name_rules", "SELECT DISTINCT p_name AS name, CASE WHEN p_name LIKE '%bol
     _on("part", lambda t: similarity.classify_names(t.select(F.col("p_name").alias("name")).distinct(), [("x", "Bolt"), ("y", "red")]))
 )
 query(
-    "first_match", "WITH w AS (SELECT unnest(['RED', 'bolt', 'none']) AS wanted), m AS (SELECT wanted, p_name AS name, row_number() OVER (PARTITION BY wanted ORDER BY CASE WHEN starts_with(lower(p_name), lower(wanted)) THEN 0 ELSE 1 END, p_partkey) AS n FROM w LEFT JOIN part ON contains(lower(p_name), lower(wanted))) SELECT wanted, name FROM m WHERE n = 1"
+    "first_match", """WITH w AS (SELECT unnest(['RED', 'bolt', 'none']) AS wanted), m AS (SELECT wanted, p_name AS name,
+  row_number() OVER (PARTITION BY wanted ORDER BY CASE WHEN starts_with(lower(p_name), lower(wanted)) THEN 0 ELSE 1 END, p_partkey) AS n FROM w LEFT
+  JOIN part ON contains(lower(p_name), lower(wanted))) SELECT wanted, name FROM m WHERE n = 1"""
 )(_on("part", lambda t: similarity.first_match(t.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("position")), ["RED", "bolt", "none"])))
 
 # ---------------------------------------------------------------- models and sweeps
@@ -332,7 +361,8 @@ fp AS (SELECT bar, fold, sum(1.0e0 - k) AS fp FROM rc GROUP BY 1, 2),
 s AS (SELECT bar, tp / (tp + 0.2e0 * fp + 0.8e0 * (n - tp) + 1.0e-12) AS dti FROM tp JOIN fp USING (bar, fold) JOIN nt USING (fold)) SELECT bar,
   count(*) AS n_folds, round(avg(dti), 6) AS mean_dti FROM s GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1""",
 )
-add("best_by_block", lambda c: stats.best_by(c.px.select("y", "x", "v", folds.fixed_block().alias("block")), "v", ["block"], ["y", "x"]), f"WITH {PX}, {_BLOCKED} SELECT y, x, v, block FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS n FROM b) WHERE n = 1")
+add("best_by_block", lambda c: stats.best_by(c.px.select("y", "x", "v", folds.fixed_block().alias("block")), "v", ["block"], ["y", "x"]), f"""WITH {PX},
+  {_BLOCKED} SELECT y, x, v, block FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY v DESC, y, x) AS n FROM b) WHERE n = 1""")
 
 
 def _design(c: Ctx, p: int) -> DataFrame:
@@ -340,7 +370,9 @@ def _design(c: Ctx, p: int) -> DataFrame:
     return e.select("vec_id", F.col("label").cast("double").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(p)])
 
 
-_ZSQL = "z AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS f FROM embeddings), m AS (SELECT avg(f) AS mu, stddev_pop(f) + 1.0e-12 AS sd, avg(y) AS yb FROM z), w AS (SELECT sum((f - mu) / sd * (y - yb)) / (sum((f - mu) / sd * ((f - mu) / sd)) + 10.0e0) AS w FROM z, m)"
+_ZSQL = """z AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS f FROM embeddings), m AS (SELECT avg(f) AS mu,
+  stddev_pop(f) + 1.0e-12 AS sd, avg(y) AS yb FROM z),
+  w AS (SELECT sum((f - mu) / sd * (y - yb)) / (sum((f - mu) / sd * ((f - mu) / sd)) + 10.0e0) AS w FROM z, m)"""
 
 
 def _ridge_1d(c: Ctx) -> DataFrame:
@@ -359,8 +391,11 @@ def _clip(c: Ctx) -> DataFrame:
 
 add(
     "hull_clip", _clip,
-    f"WITH {_ZSQL.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 2 = 0)')}, b AS (SELECT (min(f) - any_value(mu)) / any_value(sd) AS lo, (max(f) - any_value(mu)) / any_value(sd) AS hi FROM z, m), "
-    "o AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) - mu) / sd AS s, yb, w, lo, hi FROM embeddings, m, w, b WHERE vec_id % 2 = 1) SELECT vec_id, round(yb + least(greatest(s, lo), hi) * w, 6) AS pred, round(abs(s - least(greatest(s, lo), hi)), 6) AS worst_clip, CAST(abs(s - least(greatest(s, lo), hi)) > 1.0e-9 AS INT) AS n_clipped FROM o",
+    f"""WITH {_ZSQL.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 2 = 0)')},
+  b AS (SELECT (min(f) - any_value(mu)) / any_value(sd) AS lo, (max(f) - any_value(mu)) / any_value(sd) AS hi FROM z, m), """
+    """o AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) - mu) / sd AS s, yb, w, lo, hi FROM embeddings, m, w, b WHERE vec_id % 2 = 1) SELECT vec_id,
+  round(yb + least(greatest(s, lo), hi) * w, 6) AS pred, round(abs(s - least(greatest(s, lo), hi)), 6) AS worst_clip, CAST(abs(s - least(greatest(s,
+  lo), hi)) > 1.0e-9 AS INT) AS n_clipped FROM o""",
 )
 _SIX = [f"f{k}" for k in range(6)]
 _LAMS = [0.3, 1.0, 3.0, 10.0]
@@ -402,11 +437,13 @@ SELECT feature, CAST(row_number() OVER (ORDER BY abs(w) DESC, feature) AS INT) A
 )
 add(
     "feature_correlations", lambda c: model.correlations(_design(c, 4), [f"f{k}" for k in range(4)], "y").select("feature", "nth", *r6("r")),
-    "WITH r AS (" + " UNION ALL ".join(f"SELECT 'f{k}' AS feature, corr(CAST(embedding[{k + 1}] AS DOUBLE), CAST(label AS DOUBLE)) AS r FROM embeddings" for k in range(4)) + ") SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) AS nth, round(r, 6) AS r FROM r",
+    "WITH r AS (" + " UNION ALL ".join(f"""SELECT 'f{k}' AS feature, corr(CAST(embedding[{k + 1}] AS DOUBLE), CAST(label AS DOUBLE)) AS r
+  FROM embeddings""" for k in range(4)) + ") SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) AS nth, round(r, 6) AS r FROM r",
 )
 add(
     "grid_fit", lambda c: model.grid_fit(c.px.select("v", "q"), lambda m: F.col("v") - F.col("q") * m, 500, 2500, 50).select(F.col("param").cast("int").alias("param"), *r6("rmse")),
-    f"WITH {PX}, s AS (SELECT p AS param, sqrt(avg((v - q * p) * (v - q * p))) AS rmse FROM px, range(500, 2501, 50) t(p) GROUP BY 1) SELECT CAST(param AS INT) AS param, round(rmse, 6) AS rmse FROM s ORDER BY s.rmse, 1 LIMIT 1",
+    f"""WITH {PX}, s AS (SELECT p AS param, sqrt(avg((v - q * p) * (v - q * p))) AS rmse FROM px, range(500, 2501, 50) t(p) GROUP BY 1)
+  SELECT CAST(param AS INT) AS param, round(rmse, 6) AS rmse FROM s ORDER BY s.rmse, 1 LIMIT 1""",
 )
 _NEST = [(0.10, 10000.0, 0.14, 18000.0), (0.14, 18000.0, 0.2, 37000.0), (0.2, 37000.0, 0.18, 60000.0), (0.05, 5000.0, 0.10, 10000.0)]
 _NEST_SQL = "pr(s0, n0, s1, n1) AS (VALUES " + ", ".join("(" + ", ".join(f"{x:e}" for x in r) + ")" for r in _NEST) + ")"
@@ -419,11 +456,14 @@ def _nested(c: Ctx) -> DataFrame:
 _T = lambda s, n: f"{s} * (0.2e0 * {n} + 0.8e0 * m) / (1.0e0 - 0.2e0 * {s})"
 add(
     "mass_bounds", lambda c: model.mass_bounds(_nested(c), 1000.0, 1000000.0, 500).select(*r6("lower", "upper")),
-    f"WITH {_NEST_SQL}, g AS (SELECT 1000.0e0 * pow(pow(1000.0e0, 1.0e0 / 499), i) AS m FROM range(500) t(i)) SELECT round((SELECT max(greatest(0.2e0 * s0 * n0 / (1.0e0 - s0), 0.2e0 * s1 * n1 / (1.0e0 - s1))) FROM pr), 6) AS lower, round((SELECT min(m) FROM pr, g WHERE {_T('s1', 'n1')} < {_T('s0', 'n0')}), 6) AS upper",
+    f"""WITH {_NEST_SQL}, g AS (SELECT 1000.0e0 * pow(pow(1000.0e0, 1.0e0 / 499), i) AS m FROM range(500) t(i))
+  SELECT round((SELECT max(greatest(0.2e0 * s0 * n0 / (1.0e0 - s0), 0.2e0 * s1 * n1 / (1.0e0 - s1))) FROM pr), 6) AS lower, round((SELECT min(m)
+  FROM pr, g WHERE {_T('s1', 'n1')} < {_T('s0', 'n0')}), 6) AS upper""",
 )
 add(
     "pair_marginals", lambda c: model.pair_marginals(_nested(c), [60988.0, 218910.0]).select("s0", "s1", "m", *r6("marginal", "elasticity")),
-    f"WITH {_NEST_SQL}, t AS (SELECT *, {_T('s0', 'n0')} AS t0, {_T('s1', 'n1')} AS t1 FROM pr, (SELECT unnest([60988.0e0, 218910.0e0]) AS m)) SELECT s0, s1, m, round((t1 - t0) / (n1 - n0), 6) AS marginal, round(ln(t1 / t0) / ln(n1 / n0), 6) AS elasticity FROM t",
+    f"""WITH {_NEST_SQL}, t AS (SELECT *, {_T('s0', 'n0')} AS t0, {_T('s1', 'n1')} AS t1 FROM pr, (SELECT unnest([60988.0e0, 218910.0e0]) AS m))
+  SELECT s0, s1, m, round((t1 - t0) / (n1 - n0), 6) AS marginal, round(ln(t1 / t0) / ln(n1 / n0), 6) AS elasticity FROM t""",
 )
 
 

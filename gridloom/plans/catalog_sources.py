@@ -76,7 +76,8 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(
     "file_hashes",
-    "SELECT name, CAST(length(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM (VALUES ('a.tif.part-0', 'alpha'), ('a.tif.part-1', 'beta' || chr(10)), ('a.tif.part-2', '!'), ('b.bin.part-0', 'gamma')) u(name, body)",
+    """SELECT name, CAST(length(body) AS BIGINT) AS length, sha256(body) AS sha256 FROM (VALUES ('a.tif.part-0', 'alpha'), ('a.tif.part-1',
+  'beta' || chr(10)), ('a.tif.part-2', '!'), ('b.bin.part-0', 'gamma')) u(name, body)""",
 )(_hashes)
 
 
@@ -90,7 +91,8 @@ def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(
     "assembled_parts",
-    "SELECT name, CAST(n AS BIGINT) AS n_parts, CAST(length(body) AS BIGINT) AS length, sha256(body) AS sha256, ok AS verified FROM (VALUES ('features.tif', 3, 'alphabeta' || chr(10) || '!', true), ('b.bin', 1, 'gamma', false)) u(name, n, body, ok)",
+    """SELECT name, CAST(n AS BIGINT) AS n_parts, CAST(length(body) AS BIGINT) AS length, sha256(body) AS sha256, ok AS verified
+  FROM (VALUES ('features.tif', 3, 'alphabeta' || chr(10) || '!', true), ('b.bin', 1, 'gamma', false)) u(name, n, body, ok)""",
 )(_assembled)
 
 
@@ -146,7 +148,8 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(
     "report_table",
-    "SELECT '<table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>&lt;' || r_name || '&amp;&gt;</td></tr>', '' ORDER BY r_regionkey) || '</table>' AS html"
+    """SELECT '<table><tr><th>r_regionkey</th><th>r_name</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>&lt;' || r_name || '&amp;&gt;</td></tr>',
+  '' ORDER BY r_regionkey) || '</table>' AS html"""
     " FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 3)",
 )(_report)
 
@@ -157,7 +160,8 @@ def _output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", G.output_name(F.lower("o_orderstatus"), digest, F.col("o_orderdate")).alias("name"), F.current_timestamp().isNotNull().alias("now"))
 
 
-query("output_names", "SELECT o_orderkey, lower(o_orderstatus) || '-' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || left(sha256(CAST(o_orderkey AS VARCHAR)), 8) AS name, true AS now FROM orders")(_output_names)
+query("output_names", """SELECT o_orderkey, lower(o_orderstatus) || '-' || strftime(o_orderdate,
+  '%Y%m%dT%H%M%SZ') || '-' || left(sha256(CAST(o_orderkey AS VARCHAR)), 8) AS name, true AS now FROM orders""")(_output_names)
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +184,8 @@ def _lifts(c: Ctx) -> DataFrame:
 
 add(
     "lookup_join", _lifts,
-    f"WITH {PX} SELECT b AS band, CAST(count(*) AS BIGINT) AS n, any_value(lift) AS lift, any_value(target) AS target FROM px, (VALUES ('v', 0.25e0, 0.6e0), ('d', -0.1e0, 0.4e0), ('q', NULL, NULL)) u(b, lift, target) GROUP BY 1",
+    f"""WITH {PX} SELECT b AS band, CAST(count(*) AS BIGINT) AS n, any_value(lift) AS lift, any_value(target) AS target FROM px, (VALUES ('v', 0.25e0,
+  0.6e0), ('d', -0.1e0, 0.4e0), ('q', NULL, NULL)) u(b, lift, target) GROUP BY 1""",
 )
 
 # ---------------------------------------------------------------- M14: folds without truth
