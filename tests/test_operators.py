@@ -576,6 +576,28 @@ def test_names_are_found_wherever_they_stand(spark):
         assert got[claim] == (found[0][2] if found else None)
 
 
+def broadcasts(df):
+    """What stands below each broadcast of a plan, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for k in (k for k, x in enumerate(lines) if "BroadcastExchange" in x):
+        end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+        out.append("\n".join(lines[k:end]))
+    return out
+
+
+def test_lists_of_runs_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(k, n) for k, n in enumerate(["a Red Bolt", "red", "bolts", "BOLT", "x"])], "position int, name string").coalesce(1).write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    first = lambda: similarity.first_match(names, ["RED", "bolt", "none", ""])
+    assert {r.wanted: r.name for r in first().collect()} == {"RED": "red", "bolt": "bolts", "none": None, "": "a Red Bolt"}
+    claims = names.select(F.col("position").alias("claim"), F.lit("re").alias("repo"), F.substring("name", 1, 2).alias("needle"))
+    found = similarity.resolve_names(claims, names.select("name"))
+    assert {r.claim: r.name for r in found.collect()} == {0: "a Red Bolt", 1: "red", 2: "bolts", 3: "BOLT", 4: "x"}
+    assert not any("explode" in b for b in broadcasts(similarity.holding(names, "name", claims, "needle")) + broadcasts(first()))
+
+
 def test_fingerprint_samples_the_fixed_sites(spark):
     grid = G.Grid(40, 50)
     rng = np.random.default_rng(5)
